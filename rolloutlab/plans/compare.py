@@ -22,7 +22,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v, digits: int):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
@@ -48,7 +48,8 @@ def rows_of(df: pd.DataFrame, digits: int) -> list[tuple]:
 def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str, digits: int = 6) -> dict:
     t0 = time.time()
     sdf = fn(spark, sf_dir)
-    spd = pd.DataFrame([r.asDict(recursive=True) for r in sdf.collect()], columns=sdf.columns)
+    rows = [r.asDict(recursive=True) for r in sdf.collect()]
+    spd = pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in sdf.columns})
     t1 = time.time()
     res = {"query": name, "spark_rows": len(spd), "spark_sec": round(t1 - t0, 2)}
     if sql is None:
