@@ -139,11 +139,11 @@ def q_read_samples(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("sample_id", "data_source", F.length("code").cast("long").alias("code_chars"))
 
 
-_CHAT_SQL = S.with_(
-    "v_samples", _samples_sql(), *_match_sql(),
-    f"""chat AS (SELECT s.sample_id, CAST(to_json([{{'role': 'system', 'content': {S.text(system_text())}}},
+CHAT_CTE = f"""chat AS (SELECT s.sample_id, CAST(to_json([{{'role': 'system', 'content': {S.text(system_text())}}},
         {{'role': 'user', 'content': {_user_message_sql()}}}]) AS VARCHAR) AS prompt
-  FROM s LEFT JOIN ref USING (sample_id))""",
+  FROM s LEFT JOIN ref USING (sample_id))"""
+_CHAT_SQL = S.with_(
+    "v_samples", _samples_sql(), *_match_sql(), CHAT_CTE,
     body="""SELECT sample_id, CAST(length(prompt) AS BIGINT) AS prompt_chars,
        CAST(len(from_json(prompt, '[{"role":"VARCHAR","content":"VARCHAR"}]')) AS BIGINT) AS n_messages,
        from_json(prompt, '[{"role":"VARCHAR","content":"VARCHAR"}]')[2].role AS second_role,
