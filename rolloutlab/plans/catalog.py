@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolloutlab.plans import extract, numeric, prepare, scoring  # noqa: F401
+from rolloutlab.plans import extract, numeric, online, prepare, scoring  # noqa: F401
 from rolloutlab.plans.registry import OPERATOR_IDS, ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "OPERATOR_IDS"]
