@@ -146,32 +146,42 @@ def reduce_vector(a, kind: str = "sum") -> Column:
     return REDUCE[kind](a)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body``.
+
+    Expressions referenced inside a ``transform`` lambda are re-evaluated for
+    every element; binding a per-vector statistic through a one-element array
+    keeps a normalisation linear in the vector length."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / sqrt(population variance + eps), per vector, no affine."""
-    m = vec_mean(a)
-    var = _agg(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)
-    return F.transform(a, lambda x: (x - m) / F.sqrt(var + F.lit(eps)))
+    return let(vec_mean(a), lambda m: let(
+        _agg(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a),
+        lambda var: F.transform(a, lambda x: (x - m) / F.sqrt(var + F.lit(eps)))))
 
 
 def rms_norm(a: Column, eps: float = 1e-5, gamma: Column | None = None) -> Column:
     """X / sqrt(mean(x^2) + eps), optional per-element gamma."""
-    ms = _agg(a, F.lit(0.0), lambda s, x: s + x * x) / F.size(a)
-    y = F.transform(a, lambda x: x / F.sqrt(ms + F.lit(eps)))
+    y = let(_agg(a, F.lit(0.0), lambda s, x: s + x * x) / F.size(a),
+            lambda ms: F.transform(a, lambda x: x / F.sqrt(ms + F.lit(eps))))
     return y if gamma is None else F.zip_with(y, gamma, lambda u, g: u * g)
 
 
+def _softmax_parts(a: Column, body) -> Column:
+    return let(F.array_max(a), lambda mx: let(
+        _agg(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx)), lambda s: body(mx, s)))
+
+
 def softmax(a: Column) -> Column:
     """exp(x - max) / sum(exp(x - max)), per vector."""
-    mx = F.array_max(a)
-    s = _agg(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx))
-    return F.transform(a, lambda x: F.exp(x - mx) / s)
+    return _softmax_parts(a, lambda mx, s: F.transform(a, lambda x: F.exp(x - mx) / s))
 
 
 def log_softmax(a: Column) -> Column:
     """X - max - log(sum(exp(x - max)))."""
-    mx = F.array_max(a)
-    s = _agg(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx))
-    return F.transform(a, lambda x: x - mx - F.ln(s))
+    return _softmax_parts(a, lambda mx, s: F.transform(a, lambda x: x - mx - F.ln(s)))
 
 
 def group_norm(a: Column, groups: int, eps: float = 1e-5) -> Column:
@@ -180,6 +190,5 @@ def group_norm(a: Column, groups: int, eps: float = 1e-5) -> Column:
     g = F.size(a) / F.lit(groups)
 
     def norm_group(j: Column) -> Column:
-        part = F.slice(a, (j * g + 1).cast("int"), g.cast("int"))
-        return layer_norm(part, eps)
+        return let(F.slice(a, (j * g + 1).cast("int"), g.cast("int")), lambda part: layer_norm(part, eps))
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), norm_group))
