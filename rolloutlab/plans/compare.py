@@ -55,7 +55,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str, digits: int
     if sql is None:
         res["status"] = "rows-only"
         return res
-    odf = con.sql(sql).df()
+    rel = con.sql(sql)
+    cols, data = rel.columns, rel.fetchall()
+    odf = pd.DataFrame({c: pd.Series([r[i] for r in data], dtype=object) for i, c in enumerate(cols)})
     res["oracle_rows"] = len(odf)
     if sorted(spd.columns) != sorted(odf.columns):
         res["status"] = f"COLUMNS spark={sorted(spd.columns)} oracle={sorted(odf.columns)}"
