@@ -99,7 +99,10 @@ def spikes(log: DataFrame, factor: float = 3.0, window: int = 50, run: str = "ru
     trail = F.avg("value").over(w.rowsBetween(-window, -1))
     s = per_step.withColumn("trailing_mean", trail).withColumn(
         "is_spike", F.coalesce(F.col("value") > F.lit(factor) * F.col("trailing_mean"), F.lit(False)))
-    nxt = F.min(F.when(~F.col("is_spike"), F.col(step))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # next non-spike step: a running min in descending step order (incremental
+    # frame), not an UNBOUNDED FOLLOWING frame that is re-aggregated per row
+    w_desc = Window.partitionBy(run).orderBy(F.col(step).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.min(F.when(~F.col("is_spike"), F.col(step))).over(w_desc)
     rec = nxt - F.col(step)
     return (s.withColumn("recovery_steps", F.when(F.col("is_spike") & (rec <= max_recovery), rec))
             .where("is_spike"))

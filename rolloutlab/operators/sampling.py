@@ -55,8 +55,62 @@ def shuffled_rank(df: DataFrame, id_col: str = "sample_id", seed: int = 42) -> D
     return bucketed_rank(keyed, F.substring("shuffle_key", 1, HEX_DIGITS), [F.col("shuffle_key"), F.col(id_col)])
 
 
+# Largest boundary bucket whose rows are gathered to fix the exact threshold.
+MAX_BOUNDARY_ROWS = 20_000
+
+
+def split_threshold(df: DataFrame, n_val_fn, id_col: str = "sample_id", seed: int = 42):
+    """The (key, id) of the ``n_val``-th row in seeded-shuffle order, or None.
+
+    Finds it without ranking every row: count rows per md5 hex prefix (at most
+    4,096 groups, partial aggregation), walk the bounded count table to the
+    bucket holding the boundary, and refine inside that bucket with the next
+    three hex digits until it holds at most ``MAX_BOUNDARY_ROWS`` rows; only
+    those are gathered and sorted. Every job reads just (id, key)."""
+    keyed = df.select(F.col(id_col).alias("_id"), shuffle_key(id_col, seed).alias("_k"))
+    counts = keyed.groupBy(F.substring("_k", 1, HEX_DIGITS).alias("_b")).count().collect()
+    n = sum(r["count"] for r in counts)
+    k = n_val_fn(n)
+    if k <= 0:
+        return n, k, None
+    if k >= n:
+        return n, k, ("g" * 32, None)   # above every md5 key
+    prefix, level_rows, need = "", counts, k
+    while True:
+        acc = 0
+        for r in sorted(level_rows, key=lambda r: r["_b"]):
+            if acc + r["count"] >= need:
+                prefix, bucket_n, need = r["_b"], r["count"], need - acc
+                break
+            acc += r["count"]
+        sub = keyed.where(F.col("_k").startswith(prefix))
+        if bucket_n <= MAX_BOUNDARY_ROWS or len(prefix) >= 32:
+            rows = sub.orderBy("_k", "_id").limit(need).collect()
+            last = rows[-1]
+            return n, k, (last["_k"], last["_id"])
+        level_rows = sub.groupBy(F.substring("_k", 1, len(prefix) + HEX_DIGITS).alias("_b")).count().collect()
+
+
 def exact_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
-    """Exactly ``floor(n * ratio)`` rows get ``split='val'``, the rest 'train'."""
+    """Exactly ``floor(n * ratio)`` rows get ``split='val'`` (the first in
+    seeded-shuffle order), the rest 'train'.
+
+    The boundary (key, id) is found by ``split_threshold`` on a two-column
+    projection; the split itself is then a row-local comparison, so the wide
+    rows are neither shuffled nor sorted."""
+    _, _, thr = split_threshold(df, lambda n: int(n * float(ratio)), id_col, seed)
+    key = shuffle_key(id_col, seed)
+    if thr is None:
+        is_val = F.lit(False)
+    elif thr[1] is None:
+        is_val = F.lit(True)
+    else:
+        is_val = (key < F.lit(thr[0])) | ((key == F.lit(thr[0])) & (F.col(id_col) <= F.lit(thr[1])))
+    return df.withColumn("split", F.when(is_val, "val").otherwise("train"))
+
+
+def ranked_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
+    """D2 with the global rank of every row (bucketed rank; shuffles the rows)."""
     ranked = shuffled_rank(df, id_col, seed)
     n_val = F.floor(F.col("n_total") * F.lit(float(ratio)))
     return ranked.withColumn("split", F.when(F.col("rank") <= n_val, "val").otherwise("train"))

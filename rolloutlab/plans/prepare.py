@@ -304,7 +304,7 @@ def q_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     "v_samples", _samples_sql(), _split_sql(),
     body=f"SELECT sample_id, {_split_case()} AS split, CAST(rnk AS BIGINT) AS rank FROM sp"))
 def q_exact_split(spark: SparkSession, sf: str) -> DataFrame:
-    return D.exact_split(_samples(spark, sf).select("sample_id"), VAL_RATIO, "sample_id", SEED).select(
+    return D.ranked_split(_samples(spark, sf).select("sample_id"), VAL_RATIO, "sample_id", SEED).select(
         "sample_id", "split", "rank")
 
 

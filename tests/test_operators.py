@@ -144,10 +144,13 @@ def test_exact_split_is_exact_and_partition_invariant(spark):
     results = []
     for parts in (1, 7):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-        results.append(sorted(rows(D.exact_split(base, 0.29), "sample_id", "split", "rank")))
+        results.append(sorted(rows(D.ranked_split(base, 0.29), "sample_id", "split", "rank")))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
     r = results[0]
+    # the threshold form (no shuffle of the rows) gives the same split
+    thr = sorted(rows(D.exact_split(base, 0.29), "sample_id", "split"))
+    assert thr == [(a, b) for a, b, _ in r]
     assert len(r) == n and len({x[0] for x in r}) == n
     assert sum(1 for x in r if x[1] == "val") == math.floor(n * 0.29)
     assert sorted(x[2] for x in r) == list(range(1, n + 1))
@@ -192,6 +195,14 @@ def test_safe_apply_isolates_failures(spark):
     assert got[2][0] == -1.0 and "bad row" in got[2][1]
 
 
+def test_split_threshold_refines_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(D, "MAX_BOUNDARY_ROWS", 1)   # force the second hex level
+    base = spark.range(5000).withColumnRenamed("id", "sample_id")
+    a = sorted(rows(D.exact_split(base, 0.37), "sample_id", "split"))
+    b = sorted(rows(D.ranked_split(base, 0.37), "sample_id", "split"))
+    assert a == b and sum(1 for x in a if x[1] == "val") == int(5000 * 0.37)
+
+
 def test_write_split_with_empty_split(spark, tmp_path):
     df = spark.range(20).withColumnRenamed("id", "sample_id")
     out = str(tmp_path / "split")
