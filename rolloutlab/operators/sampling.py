@@ -152,7 +152,8 @@ def assign_batches(samples: DataFrame, batch: int = 1, accum: int = 8, generatio
     pos = F.col("rank") - 1
     return (r.select(id_col, "rank", "n_total",
                      F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-            .select(id_col, "epoch", F.explode(F.sequence(F.lit(0), F.lit(generations - 1))).alias("generation"),
+            .select(id_col, F.col("epoch").cast("long").alias("epoch"),
+                    F.explode(F.sequence(F.lit(0), F.lit(generations - 1)).cast("array<bigint>")).alias("generation"),
                     (F.col("epoch") * steps + F.floor(pos / F.lit(eff))).cast("long").alias("step"),
                     (pos % F.lit(eff)).cast("long").alias("slot"),
                     (pos >= steps * F.lit(eff)).alias("partial"),

@@ -178,7 +178,7 @@ def q_assemble_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("write_split", ["S3", "D2"], S.with_(
     "v_samples", _samples_sql(), _split_sql(),
-    body=f"""SELECT {_split_case()} AS split, count(*) AS n_rows, sum(s.sample_id) AS id_sum
+    body=f"""SELECT {_split_case()} AS split, count(*) AS n_rows, CAST(sum(s.sample_id) AS BIGINT) AS id_sum
 FROM s JOIN sp USING (sample_id) GROUP BY 1"""))
 def q_write_split(spark: SparkSession, sf: str) -> DataFrame:
     out = f"{checkpoint_dir(spark)}/write_split-{uuid.uuid4().hex}"
