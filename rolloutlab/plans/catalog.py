@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from rolloutlab.plans import extract, numeric, online, prepare, scoring  # noqa: F401
-from rolloutlab.plans.registry import OPERATOR_IDS, ORACLES, QUERIES
+from rolloutlab.plans.registry import OPERATOR_IDS, ORACLES, QUERIES, RAW_QUERIES
 
-__all__ = ["QUERIES", "ORACLES", "OPERATOR_IDS"]
+__all__ = ["QUERIES", "RAW_QUERIES", "ORACLES", "OPERATOR_IDS"]
