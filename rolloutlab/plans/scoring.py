@@ -20,6 +20,7 @@ from rolloutlab.plans.registry import register
 from rolloutlab.session import checkpoint_dir
 from rolloutlab.sources import fixtures as fx
 from rolloutlab.sources import samples as src
+from rolloutlab.sources.tables import read_table
 
 WARMUP, ITERS, N_CHECKS = 5, 10, 5
 
@@ -380,7 +381,7 @@ def q_spikes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _traj_turns(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.v_rollouts(spark, sf)
-    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id")
+    ev = read_table(spark, sf, "events", "event_id", "user_id")
     return (r.join(ev, "event_id").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "reward",
                                           F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code"))
                                           .alias("text")))
@@ -408,7 +409,7 @@ def q_trajectory(spark: SparkSession, sf: str) -> DataFrame:
 SELECT k.conv_id, coalesce(la.t, '') AS last_assistant
 FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN la USING (conv_id)""")
 def q_last_assistant(spark: SparkSession, sf: str) -> DataFrame:
-    conv = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     return H.last_assistant(conv)
 
 

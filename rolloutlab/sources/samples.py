@@ -23,11 +23,18 @@ def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_S
     ``rename`` maps the file's column names onto ``ops``/``data_source``/``code``
     for files laid out differently; only the named columns are read."""
     if rename:
-        df = spark.read.parquet(path)
-        return df.select(*[F.col(src).alias(dst) for src, dst in rename.items()])
+        df = spark.read.schema(", ".join(f"{src} {t}" for src, t in rename_types(schema, rename).items()))
+        return df.parquet(path).select(*[F.col(src).alias(dst) for src, dst in rename.items()])
     return spark.read.schema(schema).parquet(path)
 
 
+def rename_types(schema: T.StructType, rename: dict[str, str]) -> dict[str, str]:
+    """DDL types for the source columns of ``rename``: the target field's type,
+    or ``bigint`` for an id column that is not part of the sample schema."""
+    types = {f.name: f.dataType.simpleString() for f in schema.fields}
+    return {src: types.get(dst, "bigint") for src, dst in rename.items()}
+
+
 def parse_chat(df: DataFrame, col: str = "prompt") -> DataFrame:
     """S2 (parse step): JSON chat text -> ``array<struct<role,content>>`` as ``messages``."""
     return df.withColumn("messages", F.from_json(F.col(col), MESSAGES))
