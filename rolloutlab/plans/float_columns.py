@@ -10,6 +10,7 @@ FLOAT_COLUMNS: dict[str, list[str]] = {
     'adaptive_avg_pool': ['avg_pool'],
     'addmm': ['v'],
     'batch_norm': ['total', 'total_sq'],
+    'bmm': ['v'],
     'close_checks': ['mse'],
     'compare_variants': ['eager_us', 'compiled_us', 'candidate_us', 'speedup_eager', 'speedup_compile'],
     'completion_lengths': ['mean_length', 'p50', 'p90', 'p99', 'clipped_share'],
@@ -26,6 +27,7 @@ FLOAT_COLUMNS: dict[str, list[str]] = {
     'map_leaves': ['arr_sum', 'first_leaf', 'last_leaf', 'label_leaf'],
     'matmul': ['v'],
     'max_pool': ['max_pool'],
+    'mse_table': ['mse'],
     'pair_outputs': ['leaf_sum'],
     'parse_profile_log': ['eager_us', 'compiled_us', 'candidate_us'],
     'parse_verify_log': ['avg_mse'],

@@ -234,6 +234,25 @@ def q_matmul(spark: SparkSession, sf: str) -> DataFrame:
     return M.matmul(fx.v_matrix_a(spark, sf), fx.v_matrix_b(spark, sf))
 
 
+_BMM_SQL = """ba AS (SELECT l_returnflag AS batch, l_suppkey % 50 AS i, l_partkey % 40 AS k, sum(l_quantity) AS v
+  FROM lineitem GROUP BY ALL),
+bb AS (SELECT l_returnflag AS batch, l_partkey % 40 AS k, CAST(l_linenumber AS BIGINT) AS j, sum(l_discount) AS v
+  FROM lineitem GROUP BY ALL)"""
+
+
+@register("bmm", ["M1"], S.with_(_BMM_SQL, body="""SELECT ba.batch, ba.i, bb.j, sum(ba.v * bb.v) AS v
+FROM ba JOIN bb ON ba.batch = bb.batch AND ba.k = bb.k GROUP BY ALL"""))
+def q_bmm(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 batched: one product per return flag (the batch key joins with k)."""
+    li = read_table(spark, sf, "lineitem", "l_returnflag", "l_suppkey", "l_partkey", "l_linenumber",
+                    "l_quantity", "l_discount")
+    a = li.select(F.col("l_returnflag").alias("batch"), (F.col("l_suppkey") % 50).alias("i"),
+                  (F.col("l_partkey") % 40).alias("k"), F.col("l_quantity").alias("v"))
+    b = li.select(F.col("l_returnflag").alias("batch"), (F.col("l_partkey") % 40).alias("k"),
+                  F.col("l_linenumber").cast("long").alias("j"), F.col("l_discount").alias("v"))
+    return M.matmul(a, b, batch=["batch"])
+
+
 _C_SQL = """mc AS (SELECT l_suppkey % 50 AS i, CAST(l_linenumber AS BIGINT) AS j, sum(l_tax) AS v FROM lineitem GROUP BY ALL)"""
 
 

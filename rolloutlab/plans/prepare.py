@@ -348,3 +348,21 @@ def q_assign_batches(spark: SparkSession, sf: str) -> DataFrame:
 FROM v_samples"""))
 def q_dataset_plan(spark: SparkSession, sf: str) -> DataFrame:
     return D.dataset_plan(fx.v_samples(spark, sf), VAL_RATIO, BATCH, ACCUM, EPOCHS)
+
+
+@register("read_chat_file", ["S2", "S3", "P3", "D2"], S.with_(
+    "v_samples", _samples_sql(), *_match_sql(), CHAT_CTE, _split_sql(),
+    body=f"""SELECT {_split_case()} AS split, count(*) AS n_rows,
+       CAST(sum(len(from_json(chat.prompt, '[{{"role":"VARCHAR","content":"VARCHAR"}}]'))) AS BIGINT) AS n_messages,
+       CAST(sum(length(from_json(chat.prompt, '[{{"role":"VARCHAR","content":"VARCHAR"}}]')[2].content)) AS BIGINT)
+         AS user_chars
+FROM chat JOIN sp USING (sample_id) GROUP BY 1"""))
+def q_read_chat_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat rows written per split (S3) and read back through S2 from the files."""
+    out = f"{checkpoint_dir(spark)}/read_chat-{uuid.uuid4().hex}"
+    chat = D.exact_split(_chat(spark, sf), VAL_RATIO, "sample_id", SEED)
+    src.write_split(chat.select("prompt", "split"), out)
+    back = src.read_chat(spark, out, keep=("split",))
+    return back.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("messages")).cast("long").alias("n_messages"),
+        F.sum(F.length(F.get("messages", 1)["content"])).cast("long").alias("user_chars"))

@@ -7,9 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rolloutlab.functions.text import parse_profile_log, parse_verify_log, python_source, scorable
+from rolloutlab.functions.text import parse_profile_log, parse_verify_log, scorable
 from rolloutlab.operators import checks as K
 from rolloutlab.operators import history as H
 from rolloutlab.operators import prompts as P
@@ -143,6 +142,15 @@ def q_pair_outputs(spark: SparkSession, sf: str) -> DataFrame:
                                    F.sum(F.coalesce("expected", "actual")).alias("leaf_sum"))
 
 
+@register("mse_table", ["A2", "J7"], S.with_("v_checks", _LEAVES_SQL, body="""SELECT model_id, check_no,
+       avg((actual - expected) * (actual - expected)) AS mse FROM po WHERE status = 'matched' GROUP BY ALL"""))
+def q_mse_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 table form: mean squared difference over paired leaves of a long table."""
+    p = K.pair_outputs(_flat_checks(spark, sf, "actual"), _flat_checks(spark, sf, "expected"),
+                       ["model_id", "check_no"])
+    return K.mse_table(p.where(F.col("status") == "matched"), ["model_id", "check_no"])
+
+
 @register("compare_nested", ["K3", "J7", "K1"], S.with_("v_checks", _LEAVES_SQL, body="""SELECT model_id, check_no,
        CAST(count_if(status = 'matched') AS BIGINT) AS n_matched, CAST(count_if(status = 'missing') AS BIGINT) AS n_missing,
        CAST(count_if(status = 'extra') AS BIGINT) AS n_extra,
@@ -428,4 +436,3 @@ def q_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return src.quarantine(c, scorable("completion"), side).select("prompt_id", "generation")
 
 
-_ = (T, python_source)

@@ -40,9 +40,10 @@ def parse_chat(df: DataFrame, col: str = "prompt") -> DataFrame:
     return df.withColumn("messages", F.from_json(F.col(col), MESSAGES))
 
 
-def read_chat(spark: SparkSession, path: str, col: str = "prompt") -> DataFrame:
-    """Read only the chat column (column pruning reaches the scan) and parse it."""
-    return parse_chat(spark.read.parquet(path).select(col), col).select("messages")
+def read_chat(spark: SparkSession, path: str, col: str = "prompt", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Read only the chat column (plus ``keep``; column pruning reaches the
+    scan) and parse it into ``messages``."""
+    return parse_chat(spark.read.parquet(path).select(*keep, col), col).select(*keep, "messages")
 
 
 def write_split(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:

@@ -4,7 +4,6 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conftest import SF_SMALL, rows
 from rolloutlab.dictionaries import op_dictionary, snippet_table
@@ -236,4 +235,3 @@ def test_map_leaves_keeps_shape(spark):
     assert out["arr"] == [10.0, 20.0] and out["m"] == {"a": 30.0} and out["i"] == 40
 
 
-_ = T
