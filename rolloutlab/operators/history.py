@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rolloutlab.operators.sampling import ranked_within
+
 ERROR_STAGE = "compile_error"
 NO_CODE_STAGE = "no_code"
 MAX_ITERATIONS = 20
 STOP_REWARD = 3.0
+TURN_CHUNK = 4096
 
 
 def last_assistant(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
@@ -28,8 +32,8 @@ def last_assistant(turns: DataFrame, key: str = "conv_id", order: str = "turn",
 
 
 def trajectory(turns: DataFrame, key: str = "conv_id", order: str = "turn", reward: str = "reward",
-               text: str = "text", max_iterations: int = MAX_ITERATIONS, stop_reward: float = STOP_REWARD
-               ) -> DataFrame:
+               text: str = "text", max_iterations: int = MAX_ITERATIONS, stop_reward: float = STOP_REWARD,
+               turn_chunk: int | None = TURN_CHUNK) -> DataFrame:
     """Keep each conversation's turns up to and including the first stop and
     number them (``iteration``); ``should_stop`` marks the stop row.
 
@@ -38,7 +42,9 @@ def trajectory(turns: DataFrame, key: str = "conv_id", order: str = "turn", rewa
     The stop position is found with aggregates only: the ``max_iterations``-th
     order key comes from a per-key top-k (bounded shuffle), the first stopping
     reward and the first non-empty turn at/after that key from ``min``. Only
-    turns up to the stop are numbered by a window."""
+    turns up to the stop are numbered; with an integral turn column they are
+    numbered per chunk of ``turn_chunk`` turn values plus chunk offsets, so even
+    a conversation that never stops is not held by one task."""
     nonempty = F.coalesce(F.length(F.col(text)) > 0, F.lit(False))
     w = Window.partitionBy(key).orderBy(order)
     kth = (turns.select(key, order).withColumn("_rn", F.row_number().over(w))
@@ -52,8 +58,13 @@ def trajectory(turns: DataFrame, key: str = "conv_id", order: str = "turn", rewa
     stops = first_win.join(first_cap, key, "full_outer").select(key, F.least("_a", "_b").alias("_stop"))
     kept = (turns.join(stops, key, "left")
             .where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))))
-    return (kept.withColumn("iteration", F.row_number().over(w).cast("long"))
-            .withColumn("should_stop", F.coalesce(F.col(order) == F.col("_stop"), F.lit(False)))
+    integral = isinstance(turns.schema[order].dataType, (T.LongType, T.IntegerType, T.ShortType))
+    if turn_chunk and integral:
+        numbered = (ranked_within(kept, [key], F.floor(F.col(order) / F.lit(turn_chunk)), [F.col(order)])
+                    .withColumn("iteration", F.col("pos") + 1).drop("pos", "group_n"))
+    else:
+        numbered = kept.withColumn("iteration", F.row_number().over(w).cast("long"))
+    return (numbered.withColumn("should_stop", F.coalesce(F.col(order) == F.col("_stop"), F.lit(False)))
             .drop("_stop"))
 
 

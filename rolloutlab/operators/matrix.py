@@ -1,5 +1,4 @@
-"""Row-group numerics and matrix work on long (COO) tables (N1, N4, N6, M1-M3),
-plus a hot-key-safe position-within-group rank used by pooling.
+"""Row-group numerics and matrix work on long (COO) tables.
 
 Matrices are ``(i, k, v)`` / ``(k, j, v)`` tables: a product is an equi-join on
 the shared index and a ``groupBy`` sum, so it scales with the number of
@@ -10,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from rolloutlab.operators.sampling import ranked_within
 
 MAX_FEATURES = 1_000_000  # bound on the per-feature statistics taken to the driver
 
@@ -110,25 +110,6 @@ def conv1x1(x: DataFrame, w: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- ordered series
-def ranked_within(df: DataFrame, group: list[str], bucket: Column, order: list[Column]) -> DataFrame:
-    """Adds ``pos`` (0-based position of a row inside its group by ``order``) and
-    ``group_n``. ``bucket`` is a coarse, order-preserving prefix of ``order``
-    (e.g. the hour of a timestamp): rows are counted per (group, bucket), the
-    small count table gives each bucket its offset, and ``row_number`` runs per
-    (group, bucket). A hot group is therefore spread over many tasks."""
-    keyed = df.withColumn("_bk", bucket)
-    counts = keyed.groupBy(*group, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    wg = Window.partitionBy(*group).orderBy("_bk")
-    offs = counts.select(*group, "_bk",
-                         F.coalesce(F.sum("_n").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                         .alias("_off"),
-                         F.sum("_n").over(Window.partitionBy(*group)).alias("group_n"))
-    w = Window.partitionBy(*group, "_bk").orderBy(*order)
-    return (keyed.join(offs, [*group, "_bk"])
-            .withColumn("pos", (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_bk", "_off"))
-
-
 def pool(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: str, kind: str = "max",
          size: int | None = None, blocks: int | None = None) -> DataFrame:
     """M3: max or avg pooling over an ordered series per group, either in fixed

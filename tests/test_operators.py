@@ -235,3 +235,23 @@ def test_map_leaves_keeps_shape(spark):
     assert out["arr"] == [10.0, 20.0] and out["m"] == {"a": 30.0} and out["i"] == 40
 
 
+
+
+def test_trajectory_chunked_numbering_and_stop_rules(spark):
+    from rolloutlab.operators import history as HI
+    data = ([(1, t, 0.0, "code") for t in range(1, 10)]                       # stops at the cap (iteration 4)
+            + [(2, t, 0.0, "") for t in range(1, 12)]                         # empty text never stops
+            + [(3, 1, 0.0, "code"), (3, 2, 3.0, "code"), (3, 3, 3.0, "code")]  # stops on reward at 2
+            + [(4, t, 0.0, "" if t in (4, 5) else "code") for t in range(1, 8)])  # cap lands on empties
+    df = spark.createDataFrame(data, "conv_id long, turn long, reward double, text string")
+    cols = ("conv_id", "turn", "iteration", "should_stop")
+    chunked = sorted(rows(HI.trajectory(df, max_iterations=4, turn_chunk=3), *cols))
+    windowed = sorted(rows(HI.trajectory(df, max_iterations=4, turn_chunk=None), *cols))
+    assert chunked == windowed
+    by = {}
+    for c, t, i, s in chunked:
+        by.setdefault(c, []).append((t, i, s))
+    assert by[1] == [(1, 1, False), (2, 2, False), (3, 3, False), (4, 4, True)]
+    assert len(by[2]) == 11 and not any(s for _, _, s in by[2])
+    assert by[3] == [(1, 1, False), (2, 2, True)]
+    assert by[4][-1] == (6, 6, True) and len(by[4]) == 6
