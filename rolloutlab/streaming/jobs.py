@@ -49,9 +49,14 @@ def _scratch(spark: SparkSession, name: str) -> str:
 def stream_scores(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "2 hours",
                   out: str | None = None) -> DataFrame:
     """ST1: per event-time window and stage, completion count and mean reward,
-    duplicates (same event id) dropped within the watermark. Runs to the end of
-    the available input (``availableNow``); each micro-batch rewrites the
-    complete result table, so the drained sink is the exact answer."""
+    duplicates (same event id) dropped within the watermark.
+
+    Update mode: each micro-batch emits only the (window, stage) rows it
+    changed, and state for windows behind the watermark is dropped, so state
+    stays bounded on an endless stream. The sink is partitioned by (window,
+    stage) and written with dynamic partition overwrite: a batch replaces
+    exactly the rows it updated, and a retried batch rewrites the same values.
+    The drained sink is the exact answer."""
     out = out or _scratch(spark, "st1-out")
     r = rollouts_from_events(event_stream(spark, sf_dir)).withWatermark("ts", watermark)
     agg = (r.dropDuplicatesWithinWatermark(["event_id"])
@@ -59,14 +64,16 @@ def stream_scores(spark: SparkSession, sf_dir: str, window: str = "1 day", water
            .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward")))
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        (batch.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage",
+                      F.col("n").cast("long").alias("n"), "mean_reward")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("window_start", "stage").parquet(out))
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", _scratch(spark, "st1-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(out)
-    return res.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage",
-                      F.col("n").cast("long").alias("n"), "mean_reward")
+    res = spark.read.schema("n long, mean_reward double, window_start string, stage string").parquet(out)
+    return res.select("window_start", "stage", "n", "mean_reward")
 
 
 def stream_timeout_join(spark: SparkSession, sf_dir: str, within: str = "6 hours", default: float = -1.0,
@@ -105,41 +112,47 @@ TRAJ_OUT = "conv_id long, turn long, reward double, text string, iteration long,
 TRAJ_STATE = "iteration long, stopped boolean"
 
 
-def _trajectory_fn(max_iterations: int, stop_reward: float):
+def _trajectory_fn(max_iterations: int, stop_reward: float, idle_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            # idle past the time-out (event time): the conversation's state is dropped
             state.remove()
             return
-        it, stopped = state.get if state.exists else (0, False)
-        if stopped:
-            return
         rows = pd.concat(list(pdfs)).sort_values("turn")
+        it, stopped = state.get if state.exists else (0, False)
         out = []
-        for rec in rows.itertuples(index=False):
-            it += 1
-            stop = bool(rec.text) and (rec.reward >= stop_reward or it >= max_iterations)
-            out.append((key[0], rec.turn, rec.reward, rec.text, it, stop))
-            if stop:
-                stopped = True
-                break
-        # a finished conversation keeps only a two-field tombstone, so later
-        # turns of it are dropped without buffering anything
+        if not stopped:
+            for rec in rows.itertuples(index=False):
+                it += 1
+                stop = bool(rec.text) and (rec.reward >= stop_reward or it >= max_iterations)
+                out.append((key[0], rec.turn, rec.reward, rec.text, it, stop))
+                if stop:
+                    stopped = True
+                    break
+        # a finished conversation keeps only a two-field tombstone until it has
+        # been idle for the time-out, so its later turns are dropped
         state.update((it, stopped))
+        last_ms = int(pd.Timestamp(rows["ts"].max()).value // 1_000_000)
+        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "reward", "text", "iteration", "should_stop"])
     return fn
 
 
 def stream_trajectory(spark: SparkSession, sf_dir: str, max_iterations: int = 20, stop_reward: float = 3.0,
-                      out: str | None = None) -> DataFrame:
+                      idle_hours: int = 24 * 30, watermark: str = "1 hour", out: str | None = None) -> DataFrame:
     """ST3: keyed iteration count and stop rule per conversation with
     ``applyInPandasWithState``; turns after the stop are dropped and a stopped
-    conversation keeps only a tombstone flag. Batch twin: ``history.trajectory``."""
+    conversation keeps only a tombstone flag. State of a conversation idle for
+    ``idle_hours`` of event time is removed (time-out), so state is bounded by
+    the conversations active within that span. Batch twin: ``history.trajectory``."""
     out = out or _scratch(spark, "st3-out")
     turns = (rollouts_from_events(event_stream(spark, sf_dir))
-             .select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "reward",
-                     F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code")).alias("text")))
+             .select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "ts", "reward",
+                     F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code")).alias("text"))
+             .withWatermark("ts", watermark))
     res = turns.groupBy("conv_id").applyInPandasWithState(
-        _trajectory_fn(max_iterations, stop_reward), TRAJ_OUT, TRAJ_STATE, "append", GroupStateTimeout.NoTimeout)
+        _trajectory_fn(max_iterations, stop_reward, idle_hours * 3_600_000), TRAJ_OUT, TRAJ_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
     q = (res.writeStream.format("parquet").option("path", out).outputMode("append")
          .option("checkpointLocation", _scratch(spark, "st3-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
