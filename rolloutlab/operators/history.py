@@ -20,6 +20,7 @@ NO_CODE_STAGE = "no_code"
 MAX_ITERATIONS = 20
 STOP_REWARD = 3.0
 TURN_CHUNK = 4096
+CHUNK_ROWS = 65536
 
 
 def last_assistant(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
@@ -99,21 +100,42 @@ def completion_lengths(log: DataFrame, length: str = "length", terminated: str =
 
 
 def spikes(log: DataFrame, factor: float = 3.0, window: int = 50, run: str = "run_id", step: str = "step",
-           metric: str = "loss", max_recovery: int = 250) -> DataFrame:
+           metric: str = "loss", max_recovery: int = 250, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per run and step the mean ``metric``; a spike is a step whose value
     exceeds ``factor`` x the trailing mean of the previous ``window`` steps.
     ``recovery_steps`` = steps until the next non-spike step (null if none
-    within ``max_recovery``). Rows are reduced to one per (run, step) by a
-    partial aggregate before any window, so window size is the step count."""
+    within ``max_recovery``).
+
+    The log is first reduced to one row per (run, step) by a partial
+    aggregate. Each run's steps are then cut into chunks of ``chunk_rows``
+    positions; a chunk also receives the ``window`` rows before it (for the
+    trailing mean) and, in a second pass, the ``max_recovery`` rows after it
+    (steps increase, so a recovery within that many steps lies within that
+    many rows). Every window therefore holds at most about ``chunk_rows`` rows,
+    however long a run is, and the result equals an unchunked window."""
+    chunk_rows = max(chunk_rows, window + 1, max_recovery + 1)   # context comes from one neighbour only
     per_step = log.groupBy(run, step).agg(F.avg(metric).alias("value"))
-    w = Window.partitionBy(run).orderBy(step)
-    trail = F.avg("value").over(w.rowsBetween(-window, -1))
-    s = per_step.withColumn("trailing_mean", trail).withColumn(
-        "is_spike", F.coalesce(F.col("value") > F.lit(factor) * F.col("trailing_mean"), F.lit(False)))
-    # next non-spike step: a running min in descending step order (incremental
-    # frame), not an UNBOUNDED FOLLOWING frame that is re-aggregated per row
-    w_desc = Window.partitionBy(run).orderBy(F.col(step).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = F.min(F.when(~F.col("is_spike"), F.col(step))).over(w_desc)
+    ranked = ranked_within(per_step, [run], F.floor(F.col(step) / F.lit(chunk_rows)), [F.col(step)])
+    home = ranked.withColumn("_chunk", F.floor(F.col("pos") / F.lit(chunk_rows)).cast("long"))
+    off = F.col("pos") - F.col("_chunk") * chunk_rows
+
+    # pass 1: trailing mean, with the previous `window` rows as context
+    prefix = home.where(off >= chunk_rows - window).withColumn("_chunk", F.col("_chunk") + 1)
+    ctx = home.withColumn("_home", F.lit(True)).unionByName(prefix.withColumn("_home", F.lit(False)))
+    w1 = Window.partitionBy(run, "_chunk").orderBy("pos")
+    flagged = (ctx.withColumn("trailing_mean", F.avg("value").over(w1.rowsBetween(-window, -1)))
+               .where("_home").drop("_home")
+               .withColumn("is_spike", F.coalesce(F.col("value") > F.lit(factor) * F.col("trailing_mean"),
+                                                  F.lit(False))))
+
+    # pass 2: next non-spike step, with the next `max_recovery` rows as context;
+    # a running min in descending order (incremental frame)
+    off2 = F.col("pos") - F.col("_chunk") * chunk_rows
+    suffix = flagged.where(off2 < max_recovery).withColumn("_chunk", F.col("_chunk") - 1)
+    ctx2 = flagged.withColumn("_home", F.lit(True)).unionByName(suffix.withColumn("_home", F.lit(False)))
+    w2 = Window.partitionBy(run, "_chunk").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.min(F.when(~F.col("is_spike"), F.col(step))).over(w2)
     rec = nxt - F.col(step)
-    return (s.withColumn("recovery_steps", F.when(F.col("is_spike") & (rec <= max_recovery), rec))
-            .where("is_spike"))
+    return (ctx2.withColumn("recovery_steps", F.when(F.col("is_spike") & (rec <= max_recovery), rec))
+            .where(F.col("_home") & F.col("is_spike"))
+            .select(run, step, "value", "trailing_mean", "is_spike", "recovery_steps"))

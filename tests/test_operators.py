@@ -255,3 +255,12 @@ def test_trajectory_chunked_numbering_and_stop_rules(spark):
     assert len(by[2]) == 11 and not any(s for _, _, s in by[2])
     assert by[3] == [(1, 1, False), (2, 2, True)]
     assert by[4][-1] == (6, 6, True) and len(by[4]) == 6
+
+
+def test_spikes_chunking_is_exact(spark):
+    from rolloutlab.operators import history as HI
+    log = fx.v_rollouts(spark, SF_SMALL)
+    cols = ("run_id", "step", "value", "trailing_mean", "is_spike", "recovery_steps")
+    one = sorted(rows(HI.spikes(log, factor=1.5, window=5, max_recovery=4), *cols))
+    small = sorted(rows(HI.spikes(log, factor=1.5, window=5, max_recovery=4, chunk_rows=7), *cols))
+    assert one == small and len(one) > 0
