@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from rolloutlab.operators.sampling import ranked_within
 from rolloutlab.sources.tables import read_table
 
 # FIXED VALUES: the pool of operator names the sample view draws from. Covers
@@ -210,10 +210,13 @@ def v_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     variant = (F.when(F.col("event_type") == "view", "eager").when(F.col("event_type") == "click", "compiled")
                .when(F.col("event_type") == "purchase", "candidate").otherwise(F.col("event_type")))
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return ev.select(
+    # iteration = position in time order per (user, event type), ranked per
+    # hour with offsets so a busy user is not one window
+    ranked = ranked_within(ev, ["user_id", "event_type"], F.date_trunc("hour", "ts"),
+                           [F.col("ts"), F.col("event_id")])
+    return ranked.select(
         F.col("user_id").alias("model_id"), variant.alias("variant"),
-        F.row_number().over(w).alias("iteration"),
+        (F.col("pos") + 1).cast("int").alias("iteration"),
         F.when(F.col("event_type").isin("view", "click", "purchase"), "cuda").otherwise("cpu").alias("device"),
         F.col("value").alias("duration_us"))
 
