@@ -8,7 +8,8 @@ expression, safe at any data scale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -203,3 +204,23 @@ def sql_values(rows: list[tuple], columns: list[str]) -> str:
         return str(v)
     body = ",\n    ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(VALUES\n    {body}) AS t({', '.join(columns)})"
+
+
+# ---------------------------------------------------------------- literal tables in expressions
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal (backslash escapes)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def lit_map(pairs) -> Column:
+    """A literal ``map`` built from one SQL expression (one driver call, not one
+    per entry), for small fixed tables embedded in a plan."""
+    body = ", ".join(f"{sql_str(k)}, {v if isinstance(v, int) else sql_str(v)}" for k, v in pairs)
+    return F.expr(f"map({body})")
+
+
+def lit_struct_array(rows, fields: tuple[str, ...]) -> Column:
+    """A literal ``array<struct<fields>>`` built from one SQL expression."""
+    items = ", ".join("named_struct(" + ", ".join(f"'{f}', {sql_str(v)}" for f, v in zip(fields, r)) + ")"
+                      for r in rows)
+    return F.expr(f"array({items})")

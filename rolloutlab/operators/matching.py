@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rolloutlab.dictionaries import ARCH_JOIN, OP_DICTS, snippet_rows
+from rolloutlab.dictionaries import ARCH_JOIN, OP_DICTS, lit_map, lit_struct_array, snippet_rows
 
 # A dictionary above this many entries is not embedded as literals; J4 then
 # uses the join form.
@@ -100,8 +100,8 @@ def key_lookup(arch: str = "gfx1201", entries: list[tuple[str, str]] | None = No
     entries = entries if entries is not None else OP_DICTS[arch]
     if len(entries) > MAX_LITERAL_DICT:
         raise ValueError("dictionary too large to embed; use reference_text_join")
-    exact = F.create_map(*[F.lit(x) for op, key in entries for x in (op, key)])
-    ordered = F.array(*[F.struct(F.lit(op.lower()).alias("m"), F.lit(key).alias("k")) for op, key in entries])
+    exact = lit_map(entries)
+    ordered = lit_struct_array([(op.lower(), key) for op, key in entries], ("m", "k"))
 
     def lookup(op: Column) -> Column:
         lo = F.lower(op)
@@ -121,7 +121,7 @@ def reference_text(samples: DataFrame, arch: str = "gfx1201", k: int = 3, sep: s
     sep = d_sep if sep is None else sep
     require_available = d_req if require_available is None else require_available
     snips = snippet_rows(arch) if snippets is None else snippets
-    snip_map = F.create_map(*[F.lit(x) for key, text in snips for x in (key, text)])
+    snip_map = lit_map(snips)
     lookup = key_lookup(arch)
     keys = F.transform(F.coalesce(F.col(ops_col), F.array().cast("array<string>")), lookup)
     keep = F.filter(keys, (lambda x: x.isNotNull() & F.array_contains(F.map_keys(snip_map), x))

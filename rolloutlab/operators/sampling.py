@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rolloutlab.dictionaries import OP_DICTS, phase_of, snippet_rows
+from rolloutlab.dictionaries import OP_DICTS, lit_map, phase_of, snippet_rows
 from rolloutlab.operators.matching import key_lookup
 
 HEX_DIGITS = 3  # 16**3 = 4,096 buckets
@@ -140,7 +140,7 @@ def op_phase(ops_col: str = "ops", arch: str = "gfx1201") -> Column:
     (1 element-wise, 2 reduction/normalisation, 3 convolution/matmul); 1 when
     nothing matches. Row-local with literal tables."""
     lookup = key_lookup(arch)
-    phases = F.create_map(*[F.lit(x) for k, _ in snippet_rows(arch) for x in (k, phase_of(k))])
+    phases = lit_map([(k, phase_of(k)) for k, _ in snippet_rows(arch)])
     keys = F.transform(F.coalesce(F.col(ops_col), F.array().cast("array<string>")), lookup)
     return F.coalesce(F.array_max(F.transform(keys, lambda k: F.try_element_at(phases, k))), F.lit(1))
 
