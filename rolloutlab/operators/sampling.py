@@ -20,14 +20,21 @@ from rolloutlab.operators.matching import key_lookup
 HEX_DIGITS = 3  # 16**3 = 4,096 buckets
 
 
-def shuffle_key(id_col: str = "sample_id", seed: int = 42) -> Column:
-    """Deterministic sort key ``md5('<seed>|<id>')``; ties broken by the id."""
+def shuffle_key(id_col: str = "sample_id", seed: int = 42, method: str = "md5") -> Column:
+    """Deterministic sort key, ties broken by the id.
+
+    ``md5`` -- ``md5('<seed>|<id>')`` as 32 hex digits, the same value in
+    DuckDB (used by the oracle). ``xxhash64`` -- a cheaper 64-bit hash as 16
+    upper-case hex digits (two's complement, so text order is unsigned order);
+    no SQL twin. Both are hex strings, so hex-prefix bucketing applies."""
+    if method == "xxhash64":
+        return F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col(id_col))), 16, "0")
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def seeded_shuffle(df: DataFrame, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
+def seeded_shuffle(df: DataFrame, id_col: str = "sample_id", seed: int = 42, method: str = "md5") -> DataFrame:
     """Adds ``shuffle_key``; ``orderBy`` on it is a distributed range sort."""
-    return df.withColumn("shuffle_key", shuffle_key(id_col, seed))
+    return df.withColumn("shuffle_key", shuffle_key(id_col, seed, method))
 
 
 def bucketed_rank(df: DataFrame, bucket: Column, order: list[Column]) -> DataFrame:
@@ -49,9 +56,9 @@ def bucketed_rank(df: DataFrame, bucket: Column, order: list[Column]) -> DataFra
         .drop("_bucket", "_off")
 
 
-def shuffled_rank(df: DataFrame, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
+def shuffled_rank(df: DataFrame, id_col: str = "sample_id", seed: int = 42, method: str = "md5") -> DataFrame:
     """Rank in seeded-shuffle order (1-based), plus ``shuffle_key`` and ``n_total``."""
-    keyed = seeded_shuffle(df, id_col, seed)
+    keyed = seeded_shuffle(df, id_col, seed, method)
     return bucketed_rank(keyed, F.substring("shuffle_key", 1, HEX_DIGITS), [F.col("shuffle_key"), F.col(id_col)])
 
 
@@ -78,15 +85,20 @@ def ranked_within(df: DataFrame, group: list[str], bucket: Column, order: list[C
 MAX_BOUNDARY_ROWS = 20_000
 
 
-def split_threshold(df: DataFrame, n_val_fn, id_col: str = "sample_id", seed: int = 42):
+def split_threshold(df: DataFrame, n_val_fn, id_col: str = "sample_id", seed: int = 42, method: str = "md5"):
     """The (key, id) of the ``n_val``-th row in seeded-shuffle order, or None.
 
     Finds it without ranking every row: count rows per md5 hex prefix (at most
     4,096 groups, partial aggregation), walk the bounded count table to the
     bucket holding the boundary, and refine inside that bucket with the next
     three hex digits until it holds at most ``MAX_BOUNDARY_ROWS`` rows; only
-    those are gathered and sorted. Every job reads just (id, key)."""
-    keyed = df.select(F.col(id_col).alias("_id"), shuffle_key(id_col, seed).alias("_k"))
+    those are gathered and sorted. Every job reads just (id, key).
+
+    Ids must be unique: if a full key still holds more than
+    ``MAX_BOUNDARY_ROWS`` rows (one id repeated), no exact boundary exists and
+    the split is refused rather than gathering that group."""
+    keyed = df.select(F.col(id_col).alias("_id"), shuffle_key(id_col, seed, method).alias("_k"))
+    key_len = 16 if method == "xxhash64" else 32
     counts = keyed.groupBy(F.substring("_k", 1, HEX_DIGITS).alias("_b")).count().collect()
     n = sum(r["count"] for r in counts)
     k = n_val_fn(n)
@@ -103,22 +115,26 @@ def split_threshold(df: DataFrame, n_val_fn, id_col: str = "sample_id", seed: in
                 break
             acc += r["count"]
         sub = keyed.where(F.col("_k").startswith(prefix))
-        if bucket_n <= MAX_BOUNDARY_ROWS or len(prefix) >= 32:
+        if bucket_n > MAX_BOUNDARY_ROWS and len(prefix) >= key_len:
+            raise ValueError(f"{bucket_n} rows share one shuffle key: ids in {id_col!r} are not unique")
+        if bucket_n <= MAX_BOUNDARY_ROWS:
             rows = sub.orderBy("_k", "_id").limit(need).collect()
             last = rows[-1]
             return n, k, (last["_k"], last["_id"])
-        level_rows = sub.groupBy(F.substring("_k", 1, len(prefix) + HEX_DIGITS).alias("_b")).count().collect()
+        level_rows = (sub.groupBy(F.substring("_k", 1, min(len(prefix) + HEX_DIGITS, key_len)).alias("_b"))
+                      .count().collect())
 
 
-def exact_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
+def exact_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42,
+                method: str = "md5") -> DataFrame:
     """Exactly ``floor(n * ratio)`` rows get ``split='val'`` (the first in
     seeded-shuffle order), the rest 'train'.
 
     The boundary (key, id) is found by ``split_threshold`` on a two-column
     projection; the split itself is then a row-local comparison, so the wide
     rows are neither shuffled nor sorted."""
-    _, _, thr = split_threshold(df, lambda n: int(n * float(ratio)), id_col, seed)
-    key = shuffle_key(id_col, seed)
+    _, _, thr = split_threshold(df, lambda n: int(n * float(ratio)), id_col, seed, method)
+    key = shuffle_key(id_col, seed, method)
     if thr is None:
         is_val = F.lit(False)
     elif thr[1] is None:
@@ -128,9 +144,10 @@ def exact_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", se
     return df.withColumn("split", F.when(is_val, "val").otherwise("train"))
 
 
-def ranked_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
+def ranked_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42,
+                 method: str = "md5") -> DataFrame:
     """D2 with the global rank of every row (bucketed rank; shuffles the rows)."""
-    ranked = shuffled_rank(df, id_col, seed)
+    ranked = shuffled_rank(df, id_col, seed, method)
     n_val = F.floor(F.col("n_total") * F.lit(float(ratio)))
     return ranked.withColumn("split", F.when(F.col("rank") <= n_val, "val").otherwise("train"))
 

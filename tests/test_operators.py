@@ -264,3 +264,14 @@ def test_spikes_chunking_is_exact(spark):
     one = sorted(rows(HI.spikes(log, factor=1.5, window=5, max_recovery=4), *cols))
     small = sorted(rows(HI.spikes(log, factor=1.5, window=5, max_recovery=4, chunk_rows=7), *cols))
     assert one == small and len(one) > 0
+
+
+def test_xxhash_split_and_duplicate_ids(spark, monkeypatch):
+    base = spark.range(3000).withColumnRenamed("id", "sample_id")
+    a = sorted(rows(D.exact_split(base, 0.2, method="xxhash64"), "sample_id", "split"))
+    b = sorted(rows(D.ranked_split(base, 0.2, method="xxhash64"), "sample_id", "split"))
+    assert a == b and sum(1 for x in a if x[1] == "val") == 600
+    monkeypatch.setattr(D, "MAX_BOUNDARY_ROWS", 10)
+    dup = spark.range(500).select(F.lit(7).cast("long").alias("sample_id"))
+    with pytest.raises(ValueError, match="not unique"):
+        D.exact_split(dup, 0.5)
