@@ -263,8 +263,8 @@ def q_slice_lines(spark: SparkSession, sf: str) -> DataFrame:
 @register("named_struct_block", ["X13"], S.with_("v_struct_texts", f"""sb AS (SELECT text_id,
          regexp_extract(text, {q(TX.struct_block_pattern(fx.STRUCT_NAME))}, 0) AS whole FROM v_struct_texts)""",
     body=f"""SELECT text_id, array_to_string(CASE WHEN whole = '' THEN CAST([] AS VARCHAR[]) ELSE
-       string_split_regex(regexp_replace(whole, '(?:' || {q(LINE_BREAK_RE2)} || ')\\z', ''), {q(LINE_BREAK_RE2)}) END[1:4], chr(10)) AS block
+       string_split_regex(regexp_replace(whole, '(?:' || {q(LINE_BREAK_RE2)} || ')\\z', ''), {q(LINE_BREAK_RE2)}) END[1:30], chr(10)) AS block
 FROM sb"""))
 def q_named_struct_block(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.v_struct_texts(spark, sf)
-    return t.select("text_id", TX.named_struct_block("text", fx.STRUCT_NAME, 4).alias("block"))
+    return t.select("text_id", TX.named_struct_block("text", fx.STRUCT_NAME).alias("block"))
