@@ -44,8 +44,9 @@ def trajectory(turns: DataFrame, key: str = "conv_id", order: str = "turn", rewa
     order key comes from a per-key top-k (bounded shuffle), the first stopping
     reward and the first non-empty turn at/after that key from ``min``. Only
     turns up to the stop are numbered; with an integral turn column they are
-    numbered per chunk of ``turn_chunk`` turn values plus chunk offsets, so even
-    a conversation that never stops is not held by one task."""
+    numbered per chunk of ``turn_chunk`` turn values (per hour for a timestamp
+    column) plus chunk offsets, so even a conversation that never stops is not
+    held by one task."""
     nonempty = F.coalesce(F.length(F.col(text)) > 0, F.lit(False))
     w = Window.partitionBy(key).orderBy(order)
     kth = (turns.select(key, order).withColumn("_rn", F.row_number().over(w))
@@ -59,9 +60,14 @@ def trajectory(turns: DataFrame, key: str = "conv_id", order: str = "turn", rewa
     stops = first_win.join(first_cap, key, "full_outer").select(key, F.least("_a", "_b").alias("_stop"))
     kept = (turns.join(stops, key, "left")
             .where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))))
-    integral = isinstance(turns.schema[order].dataType, (T.LongType, T.IntegerType, T.ShortType))
-    if turn_chunk and integral:
-        numbered = (ranked_within(kept, [key], F.floor(F.col(order) / F.lit(turn_chunk)), [F.col(order)])
+    dtype = turns.schema[order].dataType
+    chunk = None
+    if turn_chunk and isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
+        chunk = F.floor(F.col(order) / F.lit(turn_chunk))
+    elif turn_chunk and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        chunk = F.date_trunc("hour", F.col(order))
+    if chunk is not None:
+        numbered = (ranked_within(kept, [key], chunk, [F.col(order)])
                     .withColumn("iteration", F.col("pos") + 1).drop("pos", "group_n"))
     else:
         numbered = kept.withColumn("iteration", F.row_number().over(w).cast("long"))

@@ -275,3 +275,15 @@ def test_xxhash_split_and_duplicate_ids(spark, monkeypatch):
     dup = spark.range(500).select(F.lit(7).cast("long").alias("sample_id"))
     with pytest.raises(ValueError, match="not unique"):
         D.exact_split(dup, 0.5)
+
+
+def test_trajectory_timestamp_turns_are_chunked(spark):
+    from rolloutlab.operators import history as HI
+    ev = fx.v_rollouts(spark, SF_SMALL).select(
+        (F.col("run_id")).alias("conv_id"), F.col("ts").alias("turn"), "reward",
+        F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code")).alias("text"))
+    ev = ev.dropDuplicates(["conv_id", "turn"])
+    cols = ("conv_id", "turn", "iteration", "should_stop")
+    a = sorted(rows(HI.trajectory(ev, max_iterations=20), *cols))
+    b = sorted(rows(HI.trajectory(ev, max_iterations=20, turn_chunk=None), *cols))
+    assert a == b and len(a) > 0
