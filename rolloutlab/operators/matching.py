@@ -11,7 +11,7 @@ Two plan shapes for the same semantics:
   resolved in place: no explode, no shuffle, no join back to the wide samples
   table. This is the default for J4.
 
-Both give the same keys; ``tests/test_matching.py`` checks they agree.
+Both give the same keys; ``tests/test_operators.py`` checks they agree.
 """
 
 from __future__ import annotations

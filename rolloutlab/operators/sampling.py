@@ -1,11 +1,15 @@
-"""Deterministic shuffles, exact splits, curricula and batch plans.
-
-The global rank behind an exact split is computed without a single-partition
-window: rows are keyed by an md5 hash, the first three hex digits form 4,096
-ordered buckets, per-bucket counts (a bounded 4,096-row table) give each bucket
-its offset, and the offset table is broadcast back. Each row's rank is its
-bucket offset plus its ``row_number`` inside the bucket. Buckets are uniform in
-size because the hash is, so no task sees more than ~1/4096 of the rows.
+"""Deterministic shuffles, exact splits, curricula and batch plans (D1-D3, G1, A5),
+and the rank helpers they share.
+
+* ``exact_split`` needs only the boundary: ``split_threshold`` counts rows per
+  md5 hex prefix (a bounded table), refines the one bucket holding the
+  boundary, and the split becomes a row-local comparison -- wide rows are
+  never shuffled or sorted.
+* ``bucketed_rank`` gives every row its global position when an operator
+  needs it (G1, D3): 4,096 uniform hash buckets, offsets from the bounded
+  count table (broadcast), ``row_number`` inside each bucket.
+* ``ranked_within`` gives positions inside a group by coarse order chunks
+  plus offsets, so one large group is spread over many tasks.
 """
 
 from __future__ import annotations
