@@ -58,10 +58,18 @@ def q_stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     return ST.stream_scores(spark, sf)
 
 
-@register("stream_timeout_join", ["ST2"])
+@register("stream_timeout_join", ["ST2"], """WITH c AS (SELECT event_id AS sub_id, user_id, ts FROM events
+  WHERE event_type = 'click'),
+v AS (SELECT event_id AS res_id, user_id, ts, value FROM events WHERE event_type = 'view'),
+m AS (SELECT c.sub_id, v.res_id, v.value,
+         row_number() OVER (PARTITION BY c.sub_id ORDER BY v.ts, v.res_id) AS rn
+  FROM c LEFT JOIN v ON v.user_id = c.user_id AND v.ts >= c.ts AND v.ts <= c.ts + INTERVAL 6 HOUR)
+SELECT sub_id, res_id,
+       CASE WHEN res_id IS NULL THEN -1.0::DOUBLE
+            ELSE least(0.8::DOUBLE, greatest(0.05::DOUBLE, 0.8::DOUBLE / (1.0::DOUBLE + sqrt(value)))) END AS reward
+FROM m WHERE rn = 1""")
 def q_stream_timeout_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows-only check (T6: unmatched rows at the very end of a finite stream wait
-    for a watermark that never comes)."""
+    """Drained input, finalised: every submission scored exactly once."""
     return ST.stream_timeout_join(spark, sf)
 
 

@@ -77,13 +77,18 @@ def stream_scores(spark: SparkSession, sf_dir: str, window: str = "1 day", water
 
 
 def stream_timeout_join(spark: SparkSession, sf_dir: str, within: str = "6 hours", default: float = -1.0,
-                        out: str | None = None) -> DataFrame:
+                        out: str | None = None, finalise: bool = True) -> DataFrame:
     """ST2: each submission (click) is paired with a result (view) of the same
     user arriving within ``within``; submissions without a result in time get
     ``default``. Stream-stream left outer join with watermarks on both sides;
-    unmatched rows are emitted once the watermark passes them (T6: the last
-    rows of a finite input may stay in state). The earliest result per
-    submission is kept when reading the sink."""
+    unmatched rows are emitted once the watermark passes them. The earliest
+    result per submission is kept when reading the sink.
+
+    On a finite input drained with ``availableNow`` the last unmatched
+    submissions are still waiting for a watermark that never comes (T6).
+    With ``finalise`` they are scored here: matched pairs are always emitted at
+    once, so a submission missing from the sink has no result in time and gets
+    ``default`` (an anti-join of the source's submissions with the sink)."""
     out = out or _scratch(spark, "st2-out")
     ev = event_stream(spark, sf_dir)
     subs = (ev.where(F.col("event_type") == "click")
@@ -99,12 +104,20 @@ def stream_timeout_join(spark: SparkSession, sf_dir: str, within: str = "6 hours
     q = (j.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", _scratch(spark, "st2-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    drained = spark.read.parquet(out)
+    drained = spark.read.schema("sub_id bigint, sub_user bigint, sub_ts timestamp, res_id bigint, "
+                                "res_user bigint, res_ts timestamp, res_value double").parquet(out)
     first = (drained.groupBy("sub_id")
-             .agg(F.min_by(F.struct("res_ts", "res_id", "res_value"), F.struct("res_ts", "res_id")).alias("r")))
-    return first.select("sub_id", F.col("r.res_id").alias("res_id"),
-                        F.when(F.col("r.res_id").isNull(), F.lit(default))
-                        .otherwise(F.least(F.lit(0.8), F.greatest(F.lit(0.05), F.lit(0.8) / (1 + F.sqrt("r.res_value")))))
+             .agg(F.min_by(F.struct("res_ts", "res_id", "res_value"), F.struct("res_ts", "res_id")).alias("r"))
+             .select("sub_id", F.col("r.res_id").alias("res_id"), F.col("r.res_value").alias("res_value")))
+    if finalise:
+        all_subs = (spark.read.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+                    .where(F.col("event_type") == "click").select(F.col("event_id").alias("sub_id")))
+        waiting = all_subs.join(first.select("sub_id"), "sub_id", "left_anti").select(
+            "sub_id", F.lit(None).cast("bigint").alias("res_id"), F.lit(None).cast("double").alias("res_value"))
+        first = first.unionByName(waiting)
+    return first.select("sub_id", "res_id",
+                        F.when(F.col("res_id").isNull(), F.lit(default))
+                        .otherwise(F.least(F.lit(0.8), F.greatest(F.lit(0.05), F.lit(0.8) / (1 + F.sqrt("res_value")))))
                         .alias("reward"))
 
 

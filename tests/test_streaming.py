@@ -24,8 +24,9 @@ def test_timeout_join_matches_brute_force(spark):
     for sid, (rid, reward) in got.items():
         assert rid == expected[sid][0]
         assert abs(reward - expected[sid][1]) < 1e-9
-    # only the tail can be missing: submissions the final watermark has not passed
-    missing = set(expected) - set(got)
+    # finalised on the drained input: every submission is scored, the tail included
+    assert set(got) == set(expected)
+    # without finalising, only the tail can be missing
+    raw = {r["sub_id"] for r in ST.stream_timeout_join(spark, SF_SMALL, finalise=False).collect()}
     cts = {c[0]: c[1] for c in clicks}
-    assert all(cts[m] > max_ts - timedelta(hours=8) for m in missing)
-    assert len(got) >= 0.9 * len(expected)
+    assert all(cts[m] > max_ts - timedelta(hours=8) for m in set(expected) - raw)
