@@ -72,12 +72,17 @@ def stage_and_reward(has_text, has_hip, compile_ok, verdict, partial_r, profile_
 
 def finalise(reward, evaluated, key: Column, noise: float = 0.01, seed: int = 0) -> Column:
     """``max(reward, -1)``, then uniform noise in [-noise, noise] for evaluated
-    rows only. The noise is a hash of (seed, key), so reruns and retried tasks
-    give the same value."""
+    rows only.
+
+    The noise is drawn from the row's key, not a random generator: the first 13
+    hex digits of ``md5('<seed>|<key>')`` give a 52-bit integer, exact as a
+    double, scaled to [0, 1). Reruns and retried tasks give the same value, and
+    plain SQL can compute it too. ``key`` is a string column."""
     base = F.greatest(_c(reward), F.lit(DEFAULT_REWARD))
     if noise == 0:
         return base
-    u = F.xxhash64(F.lit(seed), key).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
     return F.when(F.coalesce(_c(evaluated), F.lit(False)), base + F.lit(noise) * (u * 2 - 1)).otherwise(base)
 
 
@@ -135,7 +140,7 @@ def score_rollouts(completions: DataFrame, prompt_turns: DataFrame, checks: Data
               .select(key, "generation", "evaluated", F.col("_sr")["stage"].alias("stage"),
                       F.col("_sr")["reward"].alias("reward")))
     done = scored.where("evaluated").withColumn(
-        "reward", finalise("reward", F.lit(True), F.struct(F.col(key), F.col("generation")), noise, seed))
+        "reward", finalise("reward", F.lit(True), F.concat_ws("|", F.col(key), F.col("generation")), noise, seed))
     return fill_missing(completions.select(key, "generation"), done, [key, "generation"])
 
 
