@@ -366,3 +366,19 @@ def q_read_chat_file(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("messages")).cast("long").alias("n_messages"),
         F.sum(F.length(F.get("messages", 1)["content"])).cast("long").alias("user_chars"))
+
+
+@register("prepare_dataset", ["S1", "P1", "J4", "P5", "P2", "P3", "P4", "D2", "E1"], S.with_(
+    "v_samples", "v_tensors", _samples_sql(), *_match_sql(), _weight_sql(), _split_sql(),
+    body=f"""SELECT s.sample_id, {_split_case()} AS split,
+       CAST(to_json([{{'role': 'system', 'content': {S.text(system_text())}}},
+           {{'role': 'user', 'content': {_user_message_sql("coalesce(w.weight_info, '')")}}}]) AS VARCHAR) AS prompt,
+       CAST(to_json({{'name': 'hip_kernel', 'model_code': s.code, 'ops': CAST(to_json(s.ops) AS VARCHAR),
+           'data_source': s.data_source}}) AS VARCHAR) AS interaction_kwargs
+FROM s JOIN sp USING (sample_id) LEFT JOIN ref USING (sample_id) LEFT JOIN w ON w.model_id = s.sample_id"""))
+def q_prepare_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole E1 job: chat prompt (system + user with snippets and weight
+    specs), metadata JSON and the exact split, one row per sample."""
+    out = prepare(fx.v_samples(spark, sf).select("sample_id", "ops_raw", "code", "data_source"),
+                  fx.v_tensors(spark, sf), system=system_text())
+    return out.select("sample_id", "split", "prompt", "interaction_kwargs")
