@@ -19,7 +19,7 @@ from rolloutlab.plans.catalog import QUERIES  # noqa: E402
 from rolloutlab.session import get_spark  # noqa: E402
 
 HEADLINE = [
-    "prepare_prompts", "reference_text", "reference_text_join", "render_user_message", "exact_split",
+    "prepare_prompts", "prepare_dataset", "reference_text", "reference_text_join", "render_user_message", "exact_split",
     "curriculum", "assign_batches", "score_rollouts", "group_advantage", "roll_up_checks", "compare_nested",
     "compare_variants", "kernel_source", "signature_params", "argument_calls", "slice_lines", "trajectory",
     "spikes", "completion_lengths", "stage_distribution", "layer_norm", "batch_norm", "softmax_rows",

@@ -87,11 +87,14 @@ def argument_calls(params) -> Column:
                     F.lit(", stream"))
 
 
-def argument_table(df: DataFrame, params_col: str, keys: list[str], type_map: DataFrame) -> DataFrame:
+def argument_table(df: DataFrame, params_col: str, keys: list[str], type_map: DataFrame,
+                   small: bool = True) -> DataFrame:
     """X7 (table form): one row per parameter with host type, pointer flag, base
-    dtype, cast flag and call expression; the type map (8 rows) is broadcast."""
+    dtype, cast flag and call expression. The library's type map has 8 rows and
+    is broadcast; for a caller's table of unknown size pass ``small=False`` and
+    adaptive execution decides from its measured size."""
     rows = df.select(*keys, F.explode(params_col).alias("p")).select(*keys, "p.pos", "p.ctype", "p.name")
-    j = rows.join(F.broadcast(type_map), "ctype", "left")
+    j = rows.join(F.broadcast(type_map) if small else type_map, "ctype", "left")
     is_ptr = F.col("ctype").contains("*")
     host = F.when(is_ptr, F.lit("torch::Tensor")).otherwise(F.coalesce("host_type", "ctype"))
     return j.select(*keys, F.col("pos").cast("long").alias("pos"), "ctype", "name",

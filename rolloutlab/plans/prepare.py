@@ -36,8 +36,9 @@ def system_text() -> str:
 def prepare(samples: DataFrame, tensors: DataFrame | None = None, system: str = "", arch: str = ARCH,
             k: int = K, val_ratio: float = VAL_RATIO, seed: int = SEED) -> DataFrame:
     """Raw samples ``(sample_id, ops_raw, code, data_source)`` -> chat rows with
-    ``split``. Shuffles: the weight-spec aggregation and join (only when tensors
-    are given) and the bucketed rank of the split; snippet lookup is row-local."""
+    ``split``. The only shuffles are the weight-spec aggregation and its join
+    (when tensors are given); snippet lookup is row-local and the exact split
+    is a comparison against a boundary key found by small bounded jobs."""
     df = samples.withColumn("ops", normalise_ops("ops_raw"))
     df = M.reference_text(df, arch=arch, k=k)
     if tensors is not None:
