@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloutlab.dictionaries import SCALAR_TYPE_MAP
+from rolloutlab.dictionaries import SCALAR_TYPE_MAP, lit_map
 from rolloutlab.functions.text import fenced_bodies, fenced_langs
 
 # FIXED VALUES: launcher signature patterns.
@@ -62,7 +62,7 @@ def signature_params(c) -> Column:
 
 
 def _type_map() -> Column:
-    return F.create_map(*[F.lit(x) for pair in SCALAR_TYPE_MAP for x in pair])
+    return lit_map(SCALAR_TYPE_MAP)
 
 
 def call_expr(ctype: Column, name: Column, host_type: Column) -> Column:
