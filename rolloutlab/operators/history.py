@@ -125,9 +125,13 @@ def spikes(log: DataFrame, factor: float = 3.0, window: int = 50, run: str = "ru
     home = ranked.withColumn("_chunk", F.floor(F.col("pos") / F.lit(chunk_rows)).cast("long"))
     off = F.col("pos") - F.col("_chunk") * chunk_rows
 
-    # pass 1: trailing mean, with the previous `window` rows as context
-    prefix = home.where(off >= chunk_rows - window).withColumn("_chunk", F.col("_chunk") + 1)
-    ctx = home.withColumn("_home", F.lit(True)).unionByName(prefix.withColumn("_home", F.lit(False)))
+    # pass 1: trailing mean, with the previous `window` rows as context. A row
+    # near the end of its chunk is emitted twice (shift 0 and +1) by one explode,
+    # so the per-step aggregate is computed once (a union would re-run it)
+    shifts = F.when(off >= chunk_rows - window, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    ctx = (home.withColumn("_shift", F.explode(shifts))
+           .withColumn("_home", F.col("_shift") == 0).withColumn("_chunk", F.col("_chunk") + F.col("_shift"))
+           .drop("_shift"))
     w1 = Window.partitionBy(run, "_chunk").orderBy("pos")
     flagged = (ctx.withColumn("trailing_mean", F.avg("value").over(w1.rowsBetween(-window, -1)))
                .where("_home").drop("_home")
@@ -137,8 +141,10 @@ def spikes(log: DataFrame, factor: float = 3.0, window: int = 50, run: str = "ru
     # pass 2: next non-spike step, with the next `max_recovery` rows as context;
     # a running min in descending order (incremental frame)
     off2 = F.col("pos") - F.col("_chunk") * chunk_rows
-    suffix = flagged.where(off2 < max_recovery).withColumn("_chunk", F.col("_chunk") - 1)
-    ctx2 = flagged.withColumn("_home", F.lit(True)).unionByName(suffix.withColumn("_home", F.lit(False)))
+    shifts2 = F.when(off2 < max_recovery, F.array(F.lit(0), F.lit(-1))).otherwise(F.array(F.lit(0)))
+    ctx2 = (flagged.withColumn("_shift", F.explode(shifts2))
+            .withColumn("_home", F.col("_shift") == 0).withColumn("_chunk", F.col("_chunk") + F.col("_shift"))
+            .drop("_shift"))
     w2 = Window.partitionBy(run, "_chunk").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.min(F.when(~F.col("is_spike"), F.col(step))).over(w2)
     rec = nxt - F.col(step)

@@ -25,18 +25,21 @@ def reduce_rows(df: DataFrame, group: list[str], value: str, kinds=("sum", "mean
     return df.groupBy(*group).agg(*[ROW_REDUCE[k](value).alias(f"{value}_{k}") for k in kinds])
 
 
-def softmax_rows(df: DataFrame, group: list[str], value: str, out: str = "softmax", log: bool = False
-                 ) -> DataFrame:
-    """N4/N5 (group form): softmax of a scalar column within each group of rows.
+def softmax_rows(df: DataFrame, group: list[str], value: str, out: str = "softmax",
+                 log_out: str | None = None) -> DataFrame:
+    """N4/N5 (group form): softmax (and, with ``log_out``, log-softmax) of a scalar
+    column within each group of rows.
 
     Group max and sum come from ``groupBy`` (partial aggregation) joined back on
-    the group key; both joins and the second aggregate reuse one partitioning."""
+    the group key; both outputs come from the same two statistics, and the
+    second aggregate and join reuse the first join's partitioning."""
     mx = df.groupBy(*group).agg(F.max(value).alias("_mx"))
     e = df.join(mx, group).withColumn("_e", F.exp(F.col(value) - F.col("_mx")))
     s = e.groupBy(*group).agg(F.sum("_e").alias("_s"))
-    res = e.join(s, group)
-    expr = (F.col(value) - F.col("_mx") - F.ln("_s")) if log else F.col("_e") / F.col("_s")
-    return res.withColumn(out, expr).drop("_mx", "_e", "_s")
+    res = e.join(s, group).withColumn(out, F.col("_e") / F.col("_s"))
+    if log_out:
+        res = res.withColumn(log_out, F.col(value) - F.col("_mx") - F.ln("_s"))
+    return res.drop("_mx", "_e", "_s")
 
 
 def feature_stats(df: DataFrame, col: str) -> tuple[list[float], list[float]]:

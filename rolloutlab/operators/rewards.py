@@ -144,10 +144,17 @@ def score_rollouts(completions: DataFrame, prompt_turns: DataFrame, checks: Data
     return fill_missing(completions.select(key, "generation"), done, [key, "generation"])
 
 
-def group_advantage(rewards: DataFrame, group: str = "prompt_id", reward: str = "reward", eps: float = EPS
-                    ) -> DataFrame:
+def group_advantage(rewards: DataFrame, group: str = "prompt_id", reward: str = "reward", eps: float = EPS,
+                    materialize: bool = False) -> DataFrame:
     """(reward - group mean) / (group sample stddev + eps); a single-row
-    group gets 0. Statistics come from a ``groupBy`` joined back on the key."""
+    group gets 0. Statistics come from a ``groupBy`` joined back on the key.
+
+    The input is read twice (statistics and rows). When it is an expensive
+    job (e.g. the scoring job), ``materialize`` writes it once with a reliable
+    ``checkpoint()`` under the shared checkpoint folder, which also cuts the
+    lineage a lost executor would otherwise replay."""
+    if materialize:
+        rewards = rewards.checkpoint(eager=True)
     stats = rewards.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"),
                                        F.count(F.lit(1)).alias("_n"))
     adv = F.when(F.col("_n") > 1, (F.col(reward) - F.col("_mean")) / (F.coalesce(F.col("_std"), F.lit(0.0))

@@ -199,8 +199,7 @@ SELECT event_id, user_id, ex / sum(ex) OVER (PARTITION BY user_id) AS softmax,
 FROM se""")
 def q_softmax_rows(spark: SparkSession, sf: str) -> DataFrame:
     ev = read_table(spark, sf, "events", "event_id", "user_id", "value")
-    s = M.softmax_rows(ev, ["user_id"], "value")
-    s = M.softmax_rows(s, ["user_id"], "value", out="log_softmax", log=True)
+    s = M.softmax_rows(ev, ["user_id"], "value", log_out="log_softmax")
     return s.select("event_id", "user_id", "softmax", "log_softmax")
 
 

@@ -324,7 +324,8 @@ def q_finalise_noise(spark: SparkSession, sf: str) -> DataFrame:
        ELSE 0.0::DOUBLE END AS advantage
 FROM fin"""))
 def q_group_advantage(spark: SparkSession, sf: str) -> DataFrame:
-    return R.group_advantage(_score(spark, sf)).select("prompt_id", "generation", "reward", "advantage")
+    scored = _score(spark, sf).select("prompt_id", "generation", "reward")
+    return R.group_advantage(scored, materialize=True).select("prompt_id", "generation", "reward", "advantage")
 
 
 @register("first_user_source", ["W1", "X5"], S.with_("v_prompt_turns", _turns_sql(),
