@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rolloutlab.functions.text import kernel_source, python_source, scorable
 from rolloutlab.operators.checks import roll_up_checks
 from rolloutlab.operators.timing import compare_variants, device_time
+from rolloutlab.session import checkpoint_dir
 
 # FIXED VALUES: stage names and reward levels.
 NO_CODE, COMPILE_ERROR, VERIFY_ERROR, VERIFY_PARTIAL, PROFILE_ERROR, PROFILED = (
@@ -154,6 +155,7 @@ def group_advantage(rewards: DataFrame, group: str = "prompt_id", reward: str =
     ``checkpoint()`` under the shared checkpoint folder, which also cuts the
     lineage a lost executor would otherwise replay."""
     if materialize:
+        checkpoint_dir(rewards.sparkSession)   # the shared folder named by spark.checkpoint.dir
         rewards = rewards.checkpoint(eager=True)
     stats = rewards.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"),
                                        F.count(F.lit(1)).alias("_n"))
