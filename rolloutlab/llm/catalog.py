@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rolloutlab.llm import license_scan
+from rolloutlab.llm import license_scan, packing, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op8_token_files": token_files.op8_token_files,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
