@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolloutlab.llm import embedding_dedup, license_scan, minhash_dedup, packing, quality, token_files
+from rolloutlab.llm import decontaminate, embedding_dedup, license_scan, minhash_dedup, packing, quality, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality_qda": quality.op6_quality_qda,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
