@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolloutlab.llm import decontaminate, embedding_dedup, license_scan, minhash_dedup, packing, pii, quality, token_files
+from rolloutlab.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, pii, quality, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_qda": quality.op6_quality_qda,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES = {
