@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rolloutlab.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, pii, quality, token_files
+from rolloutlab.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, pii, quality, substring_dedup, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_pii_pseudonyms": pii.op3_pii_pseudonyms,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_quality_qda": quality.op6_quality_qda,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,

@@ -18,7 +18,7 @@ _MASK = (1 << 64) - 1
 
 
 def _letters(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(seed).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 
 
 LETTER = _letters(20240117)
