@@ -208,6 +208,21 @@ class Screen:
                 found.append((i, *best, passages))
         return found
 
+    def batch(self, column: pa.Array):
+        """(row, found) of every text of a column in which an item was found."""
+        data, offsets = text_bytes(column)
+        for lo, hi in chunks(offsets):
+            h, rows = word_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            bounds = np.searchsorted(rows, np.arange(hi - lo + 1))
+            near = np.zeros(hi - lo, bool)               # only texts that hold some segment are scanned one by one
+            for size, (seg, _, _) in self.segments.items():
+                grams = ngram_hashes(h, size)
+                left = np.minimum(np.searchsorted(seg, grams), len(seg) - 1)
+                near[rows[np.flatnonzero(seg[left] == grams)]] = True
+            for r in np.flatnonzero(near).tolist():
+                if found := self.scan(h[bounds[r]:bounds[r + 1]]):
+                    yield lo + r, found
+
 
 def item_blocks(items: DataFrame, block_words: int):
     """The items as (ids, words) blocks; an item longer than a block stands alone."""
@@ -239,26 +254,33 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = RATE, recall:
         def run(batches, screen=screen):
             for batch in batches:
                 keys = batch.column(0).to_pylist()
-                data, offsets = text_bytes(batch.column(1))
-                for lo, hi in chunks(offsets):
-                    h, rows = word_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                    bounds = np.searchsorted(rows, np.arange(hi - lo + 1))
-                    near = np.zeros(hi - lo, bool)               # only documents that hold some segment are scanned one by one
-                    for size, (seg, _, _) in screen.segments.items():
-                        grams = ngram_hashes(h, size)
-                        left = np.minimum(np.searchsorted(seg, grams), len(seg) - 1)
-                        near[rows[np.flatnonzero(seg[left] == grams)]] = True
-                    found = [(keys[lo + r], screen.ids[i], *rest) for r in np.flatnonzero(near).tolist()
-                             for i, *rest in screen.scan(h[bounds[r]:bounds[r + 1]])]
-                    if found:
-                        yield pa.record_batch([pa.array([f[c] for f in found], t) for c, t in enumerate(_TYPES)],
-                                              names=["doc_id", "item_id", "distance", "first_word", "last_word", "n_passages"])
+                found = [(keys[row], screen.ids[i], *rest) for row, hits in screen.batch(batch.column(1)) for i, *rest in hits]
+                if found:
+                    yield pa.record_batch([pa.array([f[c] for f in found], t) for c, t in enumerate(_TYPES)],
+                                          names=["doc_id", "item_id", "distance", "first_word", "last_word", "n_passages"])
 
         part = texts.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float = RECALL, sample: int = SAMPLE,
+                   block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold a passage of no item."""
+    at = docs.columns.index(text_col)
+    for ids, words in item_blocks(id_text(items, item_col, item_text_col), block_words):
+        screen = Screen(ids, words, rate, sample, repetitions(words, rate, sample, recall))
+
+        def run(batches, screen=screen):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in screen.batch(batch.column(at))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 _TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
 
 

@@ -194,13 +194,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant | None:
+    """Fit on the statistics of the labelled documents outside the held-out fold."""
+    known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+             .groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).where(~held_out(F.col("doc_id"))))
+    return fit(stats.join(known, "doc_id"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality") -> DataFrame:
     """Learn from the labelled rows outside the held-out fold and score every row of ``docs``."""
     stats = stored(document_statistics(docs, id_col, text_col), "statistics")
-    known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-             .groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).where(~held_out(F.col("doc_id"))))
-    return score(stats, fit(stats.join(known, "doc_id")), threshold)
+    return score(stats, learn(stats, labels, id_col, label_col), threshold)
+
+
+def accepted(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores ``threshold`` or more (all if nothing was learned)."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(at))
+            keep = [model.score(statistics(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])) >= threshold
+                    for lo, hi in chunks(offsets)]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
