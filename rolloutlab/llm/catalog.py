@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
+    "op5_minhash_dedup": minhash_dedup.ORACLE,
+    "op7_embedding_dedup": embedding_dedup.ORACLE,
 }

@@ -172,3 +172,17 @@ def link_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, cell: int =
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      AND list_cosine_similarity(a.e, b.e) >= {MIN_COSINE}),
+reach AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, reach.c FROM reach JOIN l ON reach.id = l.a),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.component_id, x.vec_id = least.component_id AS kept
+FROM embeddings x JOIN least ON x.vec_id = least.id LEFT JOIN n ON n.a = x.vec_id"""

@@ -246,3 +246,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+          FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+near AS (SELECT a, b FROM pairs WHERE {DENOMINATOR} * common >= {NUMERATOR} * (na + nb - common)),
+l AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.b, reach.c FROM reach JOIN l ON reach.id = l.a),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least.component_id, s.doc_id = least.component_id AS kept
+FROM s JOIN least ON s.doc_id = least.id"""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolloutlab.llm.common import id_text, shuffle_width, stored, table
-from rolloutlab.llm.tokens import encoder, tokenizer_path
+from rolloutlab.llm.tokens import encoded, encoder, tokenizer_path
 
 CAPACITY = 4096
 GROUPS = 256
@@ -168,9 +168,9 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: in
         for batch in batches:
             ids = batch.column(0)
             at, piece, start, length, crc = [], [], [], [], []
-            for lo in range(0, batch.num_rows, 256):
-                for i, text in enumerate(batch.column(1).slice(lo, 256).to_pylist(), lo):
-                    raw = enc.encode(text) + end
+            for lo, texts in encoded(batch.column(1), enc):
+                for i, raw in enumerate(texts, lo):
+                    raw += end
                     for k, cut in enumerate(range(0, len(raw), step)):
                         part = raw[cut:cut + step]
                         at.append(i)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolloutlab.llm.common import id_text, scratch, shuffle_width, table
-from rolloutlab.llm.tokens import encoder, tokenizer_path
+from rolloutlab.llm.tokens import encoded, encoder, tokenizer_path
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 19
@@ -108,12 +108,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "w
             ids = batch.column(0)
             keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             part = np.searchsorted(bounds, keys, "left").astype(np.int32)
-            for lo in range(0, batch.num_rows, 256):
-                rows = [np.frombuffer(enc.encode(t) + end, "<u4") for t in batch.column(1).slice(lo, 256).to_pylist()]
-                if any(int(r.max()) >> (8 * width) for r in rows):
-                    raise ValueError(f"an id needs more than {width} bytes")
-                yield pa.record_batch([pa.array(part[lo:lo + 256]), ids.slice(lo, 256),
-                                       pa.array([r.astype(f"<u{width}").tobytes() for r in rows], pa.binary())],
+            for lo, texts in encoded(batch.column(1), enc):
+                rows = [np.frombuffer(b + end, "<u4") for b in texts]
+                if width < 4:
+                    if max(int(r.max()) for r in rows) >> (8 * width):
+                        raise ValueError(f"an id needs more than {width} bytes")
+                    rows = [r.astype(f"<u{width}") for r in rows]
+                yield pa.record_batch([pa.array(part[lo:lo + len(rows)]), ids.slice(lo, len(rows)),
+                                       pa.array([r.tobytes() for r in rows], pa.binary())],
                                       names=["part", "doc_id", "ids"])
 
     def write(batches):
@@ -154,46 +156,44 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "w
      .withColumn("planes", F.lit(planes)).write.option("compression", "none").parquet(path))
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The segments of a file set with the number of ids that stand before each."""
-    df = spark.read.schema(SEGMENT_SCHEMA + ", planes string").parquet(path)
-    order = Window.orderBy("part")
-    # one row per range; segments are numbered inside their range
-    ranges = df.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(order) - F.col("n")).alias("before_part"))
+def segment_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, segment, before): the ids that stand before each segment; reads no payload."""
+    df = spark.read.schema(SEGMENT_SCHEMA).parquet(path).select("part", "segment", "n_ids")
+    # one row per range here; segments are numbered inside their range
+    ranges = df.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    ranges = ranges.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     inside = Window.partitionBy("part").orderBy("segment")
-    starts = (df.select("part", "segment", "n_ids").withColumn("before", F.sum("n_ids").over(inside) - F.col("n_ids"))
-              .join(ranges, "part").select("part", "segment", (F.col("before") + F.col("before_part")).alias("start")))
-    return df.join(starts, ["part", "segment"])
+    return (df.withColumn("inside", F.sum("n_ids").over(inside) - F.col("n_ids")).join(ranges, "part")
+            .select("part", "segment", (F.col("inside") + F.col("before_part")).alias("before")))
 
 
-def _decode(per_doc, arrow_fields):
-    """mapInArrow function that decodes segments and gives ``per_doc(ids)`` for each document."""
+def _read(spark: SparkSession, path: str, name: str, sql_type: str, arrow_type: pa.DataType, per_doc) -> DataFrame:
+    """doc_id, start, n_tokens and ``per_doc(ids)`` of every document; only these small rows are joined to the starts."""
+    ints = pa.int64()
+    fields = [("part", pa.int32()), ("segment", pa.int32()), ("doc_id", ints), ("inside", ints), ("n_tokens", ints), (name, arrow_type)]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.concatenate(list(read_blocks(row["chunk_index"], row["payload"], row["width"], row["planes"])))
-                out = [(d, row["start"] + s, n, per_doc(ids[s:s + n])) for d, s, n in
+                out = [(row["part"], row["segment"], d, s, n, per_doc(ids[s:s + n])) for d, s, n in
                        zip(row["doc_ids"], row["doc_starts"], row["doc_lengths"])]
-                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(arrow_fields)],
-                                      names=[f for f, _ in arrow_fields])
-    return run
+                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
+
+    df = spark.read.schema(SEGMENT_SCHEMA + ", planes string").parquet(path)
+    rows = df.mapInArrow(run, f"part int, segment int, doc_id bigint, inside bigint, n_tokens bigint, {name} {sql_type}")
+    return (rows.join(segment_starts(spark, path), ["part", "segment"])
+            .select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", name))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, read back from the files."""
-    ints = pa.int64()
-    fields = [("doc_id", ints), ("start", ints), ("n_tokens", ints), ("ids", pa.list_(ints))]
-    return segments(spark, path).mapInArrow(_decode(lambda x: x.astype(np.int64), fields),
-                                            "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>")
+    return _read(spark, path, "ids", "array<bigint>", pa.list_(pa.int64()), lambda x: x.astype(np.int64))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
-    ints = pa.int64()
-    fields = [("doc_id", ints), ("start", ints), ("n_tokens", ints), ("ids_crc32", ints)]
-    return segments(spark, path).mapInArrow(_decode(lambda x: zlib.crc32(x.astype("<u4").tobytes()), fields),
-                                            "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return _read(spark, path, "ids_crc32", "bigint", pa.int64(), lambda x: zlib.crc32(x.astype("<u4").tobytes()))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

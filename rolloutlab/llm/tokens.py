@@ -12,12 +12,16 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
+from operator import itemgetter
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000       # of each of two generations
+LOT_BYTES = 3 << 20           # of text that is split into pieces at a time
 #: A trailing run of these never joins the letters before it into one pre-token (no apostrophe: contractions).
-_TRAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*#$%&|]+)\Z")
+TRAIL = ".,;:!?*#$%&|"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,48 +46,85 @@ class _Pieces(dict):
 
     def __init__(self, owner, prefix: str):
         super().__init__()
-        self.owner, self.prefix = owner, prefix
+        self.owner, self.prefix, self.older = owner, prefix, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.owner.piece(piece, self.prefix)
+        ids = self[piece] = self.owner.piece(piece, self)
+        return ids
+
+    def prime(self, pieces: set[str]) -> None:
+        """Encode the unknown letters-only pieces (without trailing marks) in a few long calls.
+
+        Joined by ``joint`` each is one pre-token, so the library's word numbers tell them apart."""
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)          # what is still in use moves back piece by piece
             self.clear()
-        self[piece] = ids
-        return ids
+        new = [p for p in pieces if p not in self]
+        if self.older:
+            self.update((p, self.older[p]) for p in new if p in self.older)
+            new = [p for p in new if p not in self]
+        cores = {p.rstrip(TRAIL) for p in new}
+        if self.older:
+            self.update((c, self.older[c]) for c in cores if c in self.older)
+        cores = [c for c in cores if c not in self and _LETTERS.fullmatch(c)]
+        first, joint, every = self.owner.joints[self.prefix]
+        for lo in range(0, len(cores), 2048):
+            lot = cores[lo:lo + 2048]
+            code = self.owner.tokenizer.encode(first + joint.join(lot), add_special_tokens=False)
+            word = np.array(code.word_ids, np.int64)
+            raw = np.array(code.ids, "<u4").tobytes()
+            cut = (np.searchsorted(word, np.arange(len(lot)) * every, "left") * 4).tolist()
+            end = (np.searchsorted(word, np.arange(len(lot)) * every, "right") * 4).tolist()
+            self.update(zip(lot, (raw[a:b] for a, b in zip(cut, end))))
+
+
+class _Encoder:
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
 
+    def raw(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-class ByteLevelEncoder:
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
+
+
+class ByteLevelEncoder(_Encoder):
     """Byte-level BPE: a blank or line feed between two non-blank characters is always a cut."""
 
     _cuts = re.compile(r"(?<=\S)(?= \S)")
+    joints = {" ": (" ", " ", 1), "": ("", "\n", 2)}
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        super().__init__(tokenizer)
         self.head, self.tail = _Pieces(self, ""), _Pieces(self, " ")
         self.line_feed = self.raw("\n")
 
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(self, piece: str, prefix: str) -> bytes:
+    def piece(self, piece: str, pieces: _Pieces) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Unsafe
-        found = _TRAIL.search(piece)
-        if found:
-            cut = found.start(2)
-            return (self.tail if prefix else self.head)[piece[:cut]] + self.head[piece[cut:]]
-        return self.raw(prefix + piece)
-
-    def encode(self, text: str) -> bytes:
+        core = piece.rstrip(TRAIL)
+        if core != piece and core and _LETTERS.fullmatch(core[-1]):
+            return pieces[core] + self.head[piece[len(core):]]
+        return self.raw(pieces.prefix + piece)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        self.head.prime({line[0] for text in lines for line in text})
+        self.tail.prime(set().union(*(line[1:] for text in lines for line in text)))
+        return [self._joined(t, parts) for t, parts in zip(texts, lines)]
+
+    def _joined(self, text: str, lines: list[list[str]]) -> bytes:
         try:
             out = []
-            for i, line in enumerate(text.split("\n")):
-                parts = line.split(" ")
-                if i:
-                    out.append(self.line_feed)
+            for parts in lines:
+                out.append(self.line_feed)
                 out.append(self.head[parts[0]])
-                out.extend(map(self.tail.__getitem__, parts[1:]))
-            return b"".join(out)
+                if len(parts) > 2:
+                    out.extend(itemgetter(*parts[1:])(self.tail))
+                elif len(parts) == 2:
+                    out.append(self.tail[parts[1]])
+            return b"".join(out[1:])
         except _Unsafe:
             return b"".join(self._unit(u) for u in self._cuts.split(text))
 
@@ -94,45 +135,49 @@ class ByteLevelEncoder:
             return self.raw(unit)
 
 
-class WordEncoder:
+class WordEncoder(_Encoder):
     """Lower-casing BPE whose pre-tokens never hold white space."""
 
+    joints = {"": ("", " ", 1)}
+
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        super().__init__(tokenizer)
         self.words = _Pieces(self, "")
-        self.words[""] = b""
 
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(self, piece: str, prefix: str) -> bytes:
-        if piece == "":
-            return b""
-        found = _TRAIL.search(piece)
-        if found:
-            cut = found.start(2)
-            return self.words[piece[:cut]] + self.words[piece[cut:]]
-        if piece.isascii() and (low := piece.lower()) != piece:
-            return self.words[low]
+    def piece(self, piece: str, pieces: _Pieces) -> bytes:
+        core = piece.rstrip(TRAIL)
+        if core != piece and core and _LETTERS.fullmatch(core[-1]):
+            return pieces[core] + pieces[piece[len(core):]]
         return self.raw(piece)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        self.words.prime(set().union(*words))
+        return [b"".join(itemgetter(*w)(self.words)) if len(w) > 1 else self.words[w[0]] for w in words]
 
 
-class WholeEncoder:
+class WholeEncoder(_Encoder):
     """Any other tokenizer: the library gets every text whole."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return [self.raw(t) for t in texts]
 
 
 ENCODERS = {"byte_level": ByteLevelEncoder, "word": WordEncoder, "whole": WholeEncoder}
 
 
+def encoded(column, enc):
+    """(first row, ids of each text as uint32 bytes) of a string column, in lots of bounded size."""
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + LOT_BYTES, "right")))
+        yield lo, enc.encode_many(column.slice(lo, hi - lo).to_pylist())
+        lo = hi
+
+
 def encoder(path: str, kind: str):
     """The worker's encoder for a vocabulary file; strings of special tokens are ordinary text."""
 
