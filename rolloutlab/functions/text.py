@@ -23,8 +23,8 @@ FLOAT_DTYPES = ("float16", "bfloat16", "float32", "float64")
 # FIXED VALUES: patterns (Java syntax; the RE2 twins used by the oracle differ
 # only by the leading (?d) flag).
 HEADER_DRIFT_RE = r"(?dm)^[ \t*#`-]*(?:kernels/)?fused_kernel\.hip[ \t*#`:\-()]*$"
-NAMED_BLOCK_RE = (r"(?dms)^[ \t]*\*\*kernels/fused_kernel\.hip\*\*[ \t]*\n(?:[ \t]*\n)*"
-                  r"[ \t]*```[^\n]*(?:\n|\z)(.*?)(?:^[ \t]*```|\z)")
+NAMED_BLOCK_RE = (r"(?dms)^[ \t]*\*\*kernels/fused_kernel\.hip\*\*[ \t]*\n[ \t\n]*"
+                  r"```[^\n]*(?:\n|\z)(.*?)(?:^[ \t]*```|\z)")
 FENCED_RE = r"(?s)```(\w*)\n(.*?)\n```"
 PYTHON_FENCE_RE = r"(?s)```python\n(.*?)\n```"
 STRICT_RE = (r"\A\*\*kernels/fused_kernel\.hip\*\*\n```cpp\n[\s\S]*?\n```\n<END_OF_OUTPUT>\z")
@@ -95,15 +95,21 @@ def is_float_dtype(c) -> Column:
 
 
 # ---------------------------------------------------------------- X1, X2, X5
+def unix_lines(c) -> Column:
+    """``\\r\\n`` and ``\\r`` line ends as ``\\n``."""
+    return F.regexp_replace(_c(c), r"\r\n?", "\n")
+
+
 def normalise_header(c) -> Column:
-    """Any decorated ``[kernels/]fused_kernel.hip`` line becomes the canonical header."""
-    return F.regexp_replace(_c(c), HEADER_DRIFT_RE, CANON_HEADER.replace("$", "\\$"))
+    """Any decorated ``[kernels/]fused_kernel.hip`` line becomes the canonical header.
+    Windows and old Mac line ends become ``\\n`` first."""
+    return F.regexp_replace(unix_lines(c), HEADER_DRIFT_RE, CANON_HEADER.replace("$", "\\$"))
 
 
 def named_block(c) -> Column:
     """struct(found, body) of the first fenced block after a canonical header
     (blank lines allowed between; unterminated fence keeps the rest)."""
-    c = _c(c)
+    c = unix_lines(c)
     body = F.regexp_replace(F.regexp_extract(c, NAMED_BLOCK_RE, 1), r"\n\z", "")
     return F.struct(F.coalesce(c.rlike(NAMED_BLOCK_RE), F.lit(False)).alias("found"), body.alias("body"))
 

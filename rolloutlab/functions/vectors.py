@@ -69,8 +69,9 @@ def square(x): return x * x
 
 
 def reciprocal(x):                                                                                # V14
-    """1/x with 1/0 = +inf (ANSI division would raise)."""
-    return F.when(x == 0, F.lit(INF)).otherwise(F.lit(1.0) / x)
+    """1/x with 1/0.0 = +inf and 1/-0.0 = -inf (ANSI division would raise)."""
+    at_zero = F.when(x.cast("string").startswith("-"), F.lit(-INF)).otherwise(F.lit(INF))
+    return F.when(x == 0, at_zero).otherwise(F.lit(1.0) / x)
 
 
 def sign(x):                                                                                      # V15
@@ -186,9 +187,12 @@ def log_softmax(a: Column) -> Column:
 
 def group_norm(a: Column, groups: int, eps: float = 1e-5) -> Column:
     """Layer norm inside each of ``groups`` contiguous feature groups of a
-    vector (length divisible by ``groups``). Row-local: no explode."""
+    vector. A length that ``groups`` does not divide is an error, as no group
+    could take the rest. Row-local: no explode."""
     g = F.size(a) / F.lit(groups)
 
     def norm_group(j: Column) -> Column:
         return let(F.slice(a, (j * g + 1).cast("int"), g.cast("int")), lambda part: layer_norm(part, eps))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), norm_group))
+    normed = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), norm_group))
+    return F.when(F.size(a) % F.lit(groups) == 0, normed).otherwise(
+        F.raise_error(F.lit(f"vector length is not a multiple of {groups} groups")).cast("array<double>"))

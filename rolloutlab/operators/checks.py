@@ -161,6 +161,51 @@ def compare_nested(actual: DataFrame, expected: DataFrame, keys: list[str], col:
     return agg.withColumn("ok", ok).drop("_bad")
 
 
+def _is_tensor(t: T.DataType) -> bool:
+    """Arrays (of arrays) of numbers are tensors; any other array is a list."""
+    return isinstance(t, T.ArrayType) and (isinstance(t.elementType, T.NumericType) or _is_tensor(t.elementType))
+
+
+def same_shape(actual: Column, expected: Column, dtype: T.DataType) -> Column:
+    """K2 for tensors of any number of dimensions: equal lengths at every level."""
+    ok = F.size(actual) == F.size(expected)
+    inner = dtype.elementType
+    if isinstance(inner, T.ArrayType):
+        ok = ok & F.forall(F.zip_with(actual, expected, lambda x, y: same_shape(x, y, inner)), lambda b: b)
+    return F.coalesce(ok, F.lit(False))
+
+
+def equal_by_rule(actual: Column, expected: Column, actual_type: T.DataType, expected_type: T.DataType | None = None,
+                  atol: float = ATOL, rtol: float = RTOL) -> Column:
+    """K3 in the row, by type: tensors need the same shape and close elements; lists
+    the same length and equal items; every expected map key must be there (others
+    may be too); struct fields, strings and single numbers are compared exactly.
+    Two nulls are equal, a null and a value are not. Different types are an
+    error while the plan is built."""
+    expected_type = expected_type or actual_type
+    if actual_type.simpleString() != expected_type.simpleString():
+        raise TypeError(f"cannot compare {actual_type.simpleString()} with {expected_type.simpleString()}")
+
+    def rule(a: Column, e: Column, t: T.DataType, tensor: bool) -> Column:
+        if isinstance(t, T.ArrayType):
+            inner = tensor or _is_tensor(t)
+            ok = (F.size(a) == F.size(e)) & F.forall(F.zip_with(a, e, lambda x, y: rule(x, y, t.elementType, inner)), lambda b: b)
+        elif isinstance(t, T.MapType):
+            ok = F.forall(F.map_keys(e), lambda k: F.map_contains_key(a, k) & rule(
+                F.try_element_at(a, k), F.try_element_at(e, k), t.valueType, False))
+        elif isinstance(t, T.StructType):
+            ok = F.lit(True)
+            for f in t.fields:
+                ok = ok & rule(a[f.name], e[f.name], f.dataType, False)
+        elif tensor:
+            ok = element_close(a.cast("double"), e.cast("double"), atol, rtol)
+        else:
+            ok = a == e
+        return F.when(a.isNull() | e.isNull(), a.isNull() & e.isNull()).otherwise(F.coalesce(ok, F.lit(False)))
+
+    return rule(actual, expected, actual_type, False)
+
+
 def map_leaves(col: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -> Column:
     """K4: apply ``fn`` to every numeric leaf of a nested column, keeping its shape
     (``transform`` for arrays, ``transform_values`` for maps, ``struct`` rebuild)."""

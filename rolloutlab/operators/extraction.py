@@ -88,11 +88,11 @@ def argument_calls(params) -> Column:
 
 
 def argument_table(df: DataFrame, params_col: str, keys: list[str], type_map: DataFrame,
-                   small: bool = True) -> DataFrame:
+                   small: bool = False) -> DataFrame:
     """X7 (table form): one row per parameter with host type, pointer flag, base
-    dtype, cast flag and call expression. The library's type map has 8 rows and
-    is broadcast; for a caller's table of unknown size pass ``small=False`` and
-    adaptive execution decides from its measured size."""
+    dtype, cast flag and call expression. The library's own type map has 8 rows
+    and is broadcast with ``small=True``; by default adaptive execution decides
+    from the table's measured size."""
     rows = df.select(*keys, F.explode(params_col).alias("p")).select(*keys, "p.pos", "p.ctype", "p.name")
     j = rows.join(F.broadcast(type_map) if small else type_map, "ctype", "left")
     is_ptr = F.col("ctype").contains("*")

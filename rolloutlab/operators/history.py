@@ -25,11 +25,10 @@ CHUNK_ROWS = 65536
 
 def last_assistant(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
                    content: str = "text") -> DataFrame:
-    """Per conversation the content of the last assistant message, '' if none."""
-    last = (turns.where(F.col(role) == "assistant").groupBy(key)
-            .agg(F.max_by(content, order).alias("last_assistant")))
-    keys = turns.select(key).distinct()
-    return keys.join(last, key, "left").withColumn("last_assistant", F.coalesce("last_assistant", F.lit("")))
+    """Per conversation the content of the last assistant message, '' if none:
+    one aggregate in which other roles have no order value and so never win."""
+    said = F.max_by(content, F.when(F.col(role) == "assistant", F.col(order)))
+    return turns.groupBy(key).agg(F.coalesce(said, F.lit("")).alias("last_assistant"))
 
 
 def trajectory(turns: DataFrame, key: str = "conv_id", order: str = "turn", reward: str = "reward",

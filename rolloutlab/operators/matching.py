@@ -18,22 +18,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rolloutlab.dictionaries import ARCH_JOIN, OP_DICTS, lit_map, lit_struct_array, snippet_rows
 
-# A dictionary above this many entries is not embedded as literals; J4 then
-# uses the join form.
-MAX_LITERAL_DICT = 5000
-
 
 def _dim(df: DataFrame, small: bool) -> DataFrame:
     """Broadcast a dimension table only when its size is proven small.
 
-    The library's own dictionaries are fixed tables of under a hundred rows
-    (``small=True``). For a caller's table of unknown size pass ``small=False``:
-    no hint is given and adaptive execution picks broadcast at run time only if
-    the measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+    The library's own dictionaries are fixed tables of under a hundred rows: its
+    queries pass ``small=True``. By default no hint is given and adaptive
+    execution picks broadcast at run time only if the measured size is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
     """
     return F.broadcast(df) if small else df
 
@@ -44,13 +39,13 @@ def explode_ops(samples: DataFrame, id_col: str = "sample_id", ops_col: str = "o
     return samples.select(id_col, F.posexplode(ops_col).alias("pos", "op"))
 
 
-def match_exact(occ: DataFrame, dictionary: DataFrame, small: bool = True) -> DataFrame:
+def match_exact(occ: DataFrame, dictionary: DataFrame, small: bool = False) -> DataFrame:
     """Left equi-join of op names (case-sensitive) to the dictionary; adds ``key``."""
     d = _dim(dictionary.select(F.col("map_op").alias("op"), "key"), small)
     return occ.join(d, "op", "left")
 
 
-def match_fuzzy(occ: DataFrame, dictionary: DataFrame, small: bool = True) -> DataFrame:
+def match_fuzzy(occ: DataFrame, dictionary: DataFrame, small: bool = False) -> DataFrame:
     """For rows whose ``key`` is null, case-insensitive containment in either
     direction; the first dictionary entry in order wins.
 
@@ -67,7 +62,7 @@ def match_fuzzy(occ: DataFrame, dictionary: DataFrame, small: bool = True) -> Da
 
 
 def attach_snippets(matches: DataFrame, snippets: DataFrame, require_available: bool = True,
-                    small: bool = True) -> DataFrame:
+                    small: bool = False) -> DataFrame:
     """Join matched keys to the snippet table; rows without a snippet are
     dropped when ``require_available`` (else kept with a null snippet)."""
     s = _dim(snippets.select("key", "snippet"), small)
@@ -76,17 +71,20 @@ def attach_snippets(matches: DataFrame, snippets: DataFrame, require_available:
 
 def reference_text_join(samples: DataFrame, dictionary: DataFrame, snippets: DataFrame, k: int = 3,
                         sep: str = "\n\n", require_available: bool = True,
-                        id_col: str = "sample_id", ops_col: str = "ops") -> DataFrame:
+                        id_col: str = "sample_id", ops_col: str = "ops", small: bool = False) -> DataFrame:
     """J4 in join form: (id, ref_keys, n_ref, ref_text) for samples with at least
     one matched snippet. Per-sample work after the dedupe is bounded by the
-    number of distinct keys, so the ``row_number`` window stays small per key."""
+    number of distinct keys."""
     occ = explode_ops(samples, id_col, ops_col)
-    m = attach_snippets(match_fuzzy(match_exact(occ, dictionary), dictionary).where(F.col("key").isNotNull()),
-                        snippets, require_available)
-    firsts = m.groupBy(id_col, "key").agg(F.min("pos").alias("pos"), F.first("snippet").alias("snippet"))
-    ranked = (firsts.withColumn("rn", F.row_number().over(Window.partitionBy(id_col).orderBy("pos")))
-              .where(F.col("rn") <= k))
-    agg = ranked.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "key", "snippet"))).alias("s"))
+    m = match_fuzzy(match_exact(occ, dictionary, small), dictionary, small).where(F.col("key").isNotNull())
+    if require_available:
+        m = m.join(_dim(snippets.select("key"), small), "key", "left_semi")
+    # one shuffle by sample carries keys only; texts join the at most k keys at the end
+    agg = m.groupBy(id_col, "key").agg(F.min("pos").alias("pos")).groupBy(id_col).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("pos", "key"))), 1, k).alias("s"))
+    chosen = agg.select(id_col, F.posexplode("s").alias("at", "x")).select(id_col, "at", "x.key")
+    text = attach_snippets(chosen, snippets, False, small)
+    agg = text.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("at", "key", "snippet"))).alias("s"))
     return agg.select(id_col,
                       F.array_join(F.transform("s", lambda x: x["key"]), ",").alias("ref_keys"),
                       F.size("s").cast("long").alias("n_ref"),
@@ -98,8 +96,6 @@ def reference_text_join(samples: DataFrame, dictionary: DataFrame, snippets: Dat
 def key_lookup(arch: str = "gfx1201", entries: list[tuple[str, str]] | None = None):
     """Return ``op -> key`` as a Column function built from a literal dictionary."""
     entries = entries if entries is not None else OP_DICTS[arch]
-    if len(entries) > MAX_LITERAL_DICT:
-        raise ValueError("dictionary too large to embed; use reference_text_join")
     exact = lit_map(entries)
     ordered = lit_struct_array([(op.lower(), key) for op, key in entries], ("m", "k"))
 

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolloutlab.operators.joins import join_null_safe
 from rolloutlab.operators.sampling import ranked_within
 
-MAX_FEATURES = 1_000_000  # bound on the per-feature statistics taken to the driver
-
 
 # ---------------------------------------------------------------- group reductions
 ROW_REDUCE = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "prod": F.product}
@@ -34,39 +33,36 @@ def softmax_rows(df: DataFrame, group: list[str], value: str, out: str = "softma
     the group key; both outputs come from the same two statistics, and the
     second aggregate and join reuse the first join's partitioning."""
     mx = df.groupBy(*group).agg(F.max(value).alias("_mx"))
-    e = df.join(mx, group).withColumn("_e", F.exp(F.col(value) - F.col("_mx")))
+    e = join_null_safe(df, mx, group).withColumn("_e", F.exp(F.col(value) - F.col("_mx")))
     s = e.groupBy(*group).agg(F.sum("_e").alias("_s"))
-    res = e.join(s, group).withColumn(out, F.col("_e") / F.col("_s"))
+    res = join_null_safe(e, s, group).withColumn(out, F.col("_e") / F.col("_s"))
     if log_out:
         res = res.withColumn(log_out, F.col(value) - F.col("_mx") - F.ln("_s"))
     return res.drop("_mx", "_e", "_s")
 
 
-def feature_stats(df: DataFrame, col: str) -> tuple[list[float], list[float]]:
-    """Per-feature mean and population variance over all rows of a vector column.
+def feature_stats(df: DataFrame, col: str) -> DataFrame:
+    """One row (m, v): per-feature mean and population variance over all rows of a
+    vector column, as arrays by position.
 
     The explode keeps only (position, value); partial aggregation reduces it to
-    one row per feature before the shuffle. The result is bounded by the vector
-    length (checked) and returned as two lists."""
+    one row per feature, and the arrays are as long as the vectors."""
     stats = (df.select(F.posexplode(col).alias("pos", "x")).groupBy("pos")
              .agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")))
-    rows = stats.orderBy("pos").limit(MAX_FEATURES + 1).collect()
-    if len(rows) > MAX_FEATURES:
-        raise ValueError("vector too long for per-feature statistics")
-    return [r["m"] for r in rows], [r["v"] for r in rows]
+    both = stats.agg(F.sort_array(F.collect_list(F.struct("pos", "m", "v"))).alias("s"))
+    return both.select(F.col("s.m").alias("m"), F.col("s.v").alias("v"))
 
 
 def batch_norm(df: DataFrame, col: str, eps: float = 1e-5, scale: float = 1.0, bias: float = 0.0,
-               stats: tuple[list[float], list[float]] | None = None, out: str | None = None) -> DataFrame:
+               stats: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """scale*(x - mean_f)/sqrt(var_f + eps) + bias with statistics per feature f
-    over all rows. The statistics (one pair per feature) enter the plan as
-    literal arrays, so the normalisation itself is a row-local ``transform``."""
-    means, variances = stats if stats is not None else feature_stats(df, col)
-    m = F.array(*[F.lit(float(x)) for x in means])
-    v = F.array(*[F.lit(float(x)) for x in variances])
-    expr = F.transform(col, lambda x, i: F.lit(scale) * (x - F.get(m, i)) / F.sqrt(F.get(v, i) + F.lit(eps))
-                       + F.lit(bias))
-    return df.withColumn(out or col, expr)
+    over all rows. The statistics (a one-row table, by default of ``df`` itself)
+    enter as a scalar subquery, so nothing runs while the plan is built and the
+    normalisation itself is a row-local ``transform``."""
+    one = (stats if stats is not None else feature_stats(df, col)).select(F.struct("m", "v").alias("s"))
+    s = F.col("_stats")
+    norm = F.transform(col, lambda x, i: F.lit(scale) * (x - F.get(s["m"], i)) / F.sqrt(F.get(s["v"], i) + F.lit(eps)) + F.lit(bias))
+    return df.withColumn("_stats", one.scalar()).withColumn(out or col, norm).drop("_stats")
 
 
 # ---------------------------------------------------------------- matrices

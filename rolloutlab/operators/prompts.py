@@ -48,14 +48,14 @@ def pack_metadata(code, ops, data_source, name: str = TOOL_NAME) -> Column:
 
 def render_weight_spec(tensors: DataFrame, model_col: str = "model_id",
                        max_tensors: int = MAX_WEIGHT_TENSORS) -> DataFrame:
-    """P5: (model, n_float, weight_info). Floating tensors only, in ``ord`` order;
-    more than ``max_tensors`` (or none) gives ''.
+    """P5: (model, n_float, weight_info) of every model. Floating tensors only, in
+    ``ord`` order; more than ``max_tensors`` (or none) gives ''.
 
     Counting happens first as a partial aggregation; only models at or under
     the limit are gathered, so no group collects more than ``max_tensors`` rows
     whatever the skew."""
     floats = tensors.where(is_float_dtype("dtype")).select(model_col, "ord", "name", "shape")
-    counts = floats.groupBy(model_col).agg(F.count(F.lit(1)).alias("n_float"))
+    counts = tensors.groupBy(model_col).agg(F.count_if(is_float_dtype("dtype")).alias("n_float"))
     small = counts.where(F.col("n_float") <= max_tensors)
     lines = (floats.join(small.select(model_col), model_col, "left_semi")
              .groupBy(model_col)
@@ -73,6 +73,7 @@ def render_weight_spec(tensors: DataFrame, model_col: str = "model_id",
                     F.when(F.col("items").isNull(), F.lit("")).otherwise(text).alias("weight_info")))
 
 
+# FIXED VALUES: the feedback format.
 def format_feedback(eager, compiled, candidate, reward) -> Column:
     """Profile feedback text. Rendered numbers follow Java rounding (T4):
     compare the numeric columns, not this text, across engines."""
@@ -87,19 +88,10 @@ def next_turn_prompt(messages, feedback) -> Column:
     return F.array_append(_c(messages), F.struct(F.lit("user").alias("role"), _c(feedback).alias("content")))
 
 
-MAX_TEXT_BYTES = 1 << 20
-
-
 def attach_text(df: DataFrame, spark: SparkSession, path: str, col_name: str = "system_text") -> DataFrame:
     """One whole text file as a column on every row.
 
-    The file is read by Spark (``wholetext``), its size is checked against
-    ``MAX_TEXT_BYTES``, and the bounded value is placed in the plan as a literal
-    -- a single small value, so no join is needed."""
-    rows = (spark.read.text(path, wholetext=True)
-            .select(F.length("value").alias("n"), "value").limit(2).collect())
-    if len(rows) != 1:
-        raise ValueError(f"expected exactly one text file at {path}")
-    if rows[0]["n"] > MAX_TEXT_BYTES:
-        raise ValueError(f"{path} is larger than {MAX_TEXT_BYTES} characters")
-    return df.withColumn(col_name, F.lit(rows[0]["value"]))
+    The file is read by Spark (``wholetext``) as a scalar subquery: nothing runs
+    while the plan is built, no join is needed, and more than one file is an
+    error."""
+    return df.withColumn(col_name, spark.read.text(path, wholetext=True).select("value").scalar())

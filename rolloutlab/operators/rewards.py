@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rolloutlab.functions.text import kernel_source, python_source, scorable
 from rolloutlab.operators.checks import roll_up_checks
+from rolloutlab.operators.joins import join_null_safe
 from rolloutlab.operators.timing import compare_variants, device_time
 from rolloutlab.session import checkpoint_dir
 
@@ -103,9 +104,11 @@ def pair_completions(completions: DataFrame, prompts: DataFrame, key: str = "pro
 
 def fill_missing(tasks: DataFrame, results: DataFrame, keys: list[str], default: float = DEFAULT_REWARD
                  ) -> DataFrame:
-    """Every task gets exactly one score; tasks without a result get ``default``."""
-    r = results.select(*keys, F.col("reward").alias("_r"), F.col("stage").alias("_s"))
-    return (tasks.join(r, keys, "left")
+    """Every task row gets exactly one score; tasks without a result get
+    ``default``, and of several results of one key the lowest reward counts."""
+    r = results.groupBy(*keys).agg(F.min_by(F.struct("reward", "stage"), F.struct("reward", "stage")).alias("_x")).select(
+        *keys, F.col("_x.reward").alias("_r"), F.col("_x.stage").alias("_s"))
+    return (join_null_safe(tasks, r, keys, "left")
             .withColumn("reward", F.coalesce("_r", F.lit(default))).withColumn("stage", F.col("_s"))
             .drop("_r", "_s"))
 
@@ -119,30 +122,27 @@ def score_rollouts(completions: DataFrame, prompt_turns: DataFrame, checks: Data
     checks keyed by ``model_id`` (= prompt_id); ``timings``: per model timing
     rows; ``builds``: optional (prompt_id, generation, compile_ok), else the
     brace-balance stand-in. Returns (prompt_id, generation, stage, reward)."""
-    code = first_user_source(prompt_turns, key)
-    paired = pair_completions(completions, code, key)
-    ks = kernel_source("completion")
-    tasks = (paired.withColumn("_k", ks)
-             .withColumn("evaluated", scorable("completion") & F.coalesce(F.col("model_code") != "", F.lit(False))))
+    code = first_user_source(prompt_turns, key).select(key, (F.col("model_code") != "").alias("has_code"))
+    # only flags go through the joins, never a completion's or a prompt's text
+    tasks = completions.withColumn("_k", kernel_source("completion")).select(
+        key, "generation", scorable("completion").alias("scorable"), F.col("_k")["has_hip"].alias("has_hip"),
+        brace_balanced(F.col("_k")["kernel"]).alias("compile_ok"))
     if builds is not None:
-        tasks = tasks.join(builds, [key, "generation"], "left")
-    else:
-        tasks = tasks.withColumn("compile_ok", brace_balanced(F.col("_k")["kernel"]))
+        tasks = join_null_safe(tasks.drop("compile_ok"), builds, [key, "generation"], "left")
     verify = roll_up_checks(checks, "model_id", n_checks).select(
         F.col("model_id").alias(key), "verdict", "avg_mse")
     prof = compare_variants(device_time(timings, warmup, iters)).select(
         F.col("model_id").alias(key), "eager_us", "compiled_us", "candidate_us")
-    j = tasks.join(verify, key, "left").join(prof, key, "left")
+    j = pair_completions(tasks, code, key).join(verify, key, "left").join(prof, key, "left")
     r1 = partial_reward(F.col("verdict") == "PARTIAL_PASS", F.col("verdict") == "SHAPE_OK", F.col("avg_mse"))
     profile_ok = F.col("eager_us").isNotNull() & F.col("compiled_us").isNotNull() & F.col("candidate_us").isNotNull()
-    sr = stage_and_reward(F.lit(True), F.col("_k")["has_hip"], F.col("compile_ok"), F.col("verdict"), r1,
+    sr = stage_and_reward(F.col("scorable"), F.col("has_hip"), F.col("compile_ok"), F.col("verdict"), r1,
                           profile_ok, speed_reward("eager_us", "compiled_us", "candidate_us"))
-    scored = (j.withColumn("_sr", sr)
-              .select(key, "generation", "evaluated", F.col("_sr")["stage"].alias("stage"),
-                      F.col("_sr")["reward"].alias("reward")))
-    done = scored.where("evaluated").withColumn(
-        "reward", finalise("reward", F.lit(True), F.concat_ws("|", F.col(key), F.col("generation")), noise, seed))
-    return fill_missing(completions.select(key, "generation"), done, [key, "generation"])
+    evaluated = F.col("scorable") & F.coalesce("has_code", F.lit(False))
+    noisy = finalise(sr["reward"], F.lit(True), F.concat_ws("|", F.col(key), F.col("generation")), noise, seed)
+    # J5 row by row: every completion is still here, so what was not evaluated takes the default in place
+    return j.select(key, "generation", F.when(evaluated, noisy).otherwise(F.lit(DEFAULT_REWARD)).alias("reward"),
+                    F.when(evaluated, sr["stage"]).alias("stage"))
 
 
 def group_advantage(rewards: DataFrame, group: str = "prompt_id", reward: str = "reward", eps: float = EPS,
@@ -161,7 +161,7 @@ def group_advantage(rewards: DataFrame, group: str = "prompt_id", reward: str =
                                        F.count(F.lit(1)).alias("_n"))
     adv = F.when(F.col("_n") > 1, (F.col(reward) - F.col("_mean")) / (F.coalesce(F.col("_std"), F.lit(0.0))
                                                                       + F.lit(eps))).otherwise(F.lit(0.0))
-    return rewards.join(stats, group).withColumn("advantage", adv).drop("_mean", "_std", "_n")
+    return join_null_safe(rewards, stats, [group]).withColumn("advantage", adv).drop("_mean", "_std", "_n")
 
 
 def with_reward(df: DataFrame, fns: list, weights: list[float] | None = None, out: str = "reward") -> DataFrame:

@@ -1,13 +1,12 @@
 """Deterministic shuffles, exact splits, curricula and batch plans (D1-D3, G1, A5),
 and the rank helpers they share.
 
-* ``exact_split`` needs only the boundary: ``split_threshold`` counts rows per
-  md5 hex prefix (a bounded table), refines the one bucket holding the
-  boundary, and the split becomes a row-local comparison -- wide rows are
-  never shuffled or sorted.
+* ``exact_split`` needs only the boundary: rows are counted per hex prefix of
+  the key, all buckets but one are decided in place, and only the rows of the
+  bucket that holds the boundary are ranked.
 * ``bucketed_rank`` gives every row its global position when an operator
-  needs it (G1, D3): 4,096 uniform hash buckets, offsets from the bounded
-  count table (broadcast), ``row_number`` inside each bucket.
+  needs it (G1, D3): uniform hash buckets (``digits`` hex digits of the key),
+  offsets from the bounded count table, ``row_number`` inside each bucket.
 * ``ranked_within`` gives positions inside a group by coarse order chunks
   plus offsets, so one large group is spread over many tasks.
 """
@@ -19,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rolloutlab.dictionaries import OP_DICTS, lit_map, phase_of, snippet_rows
+from rolloutlab.operators.joins import join_null_safe
 from rolloutlab.operators.matching import key_lookup
 
-HEX_DIGITS = 3  # 16**3 = 4,096 buckets
+HEX_DIGITS = 3  # default: 16**3 = 4,096 buckets; more digits for more rows
 
 
 def shuffle_key(id_col: str = "sample_id", seed: int = 42, method: str = "md5") -> Column:
@@ -54,16 +54,18 @@ def bucketed_rank(df: DataFrame, bucket: Column, order: list[Column]) -> DataFra
         "_bucket",
         F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("n_total"))
-    ranked = keyed.join(F.broadcast(offsets), "_bucket")
+    ranked = join_null_safe(keyed, offsets, ["_bucket"])
     w = Window.partitionBy("_bucket").orderBy(*order)
     return ranked.withColumn("rank", (F.col("_off") + F.row_number().over(w)).cast("long")) \
         .drop("_bucket", "_off")
 
 
-def shuffled_rank(df: DataFrame, id_col: str = "sample_id", seed: int = 42, method: str = "md5") -> DataFrame:
-    """Rank in seeded-shuffle order (1-based), plus ``shuffle_key`` and ``n_total``."""
+def shuffled_rank(df: DataFrame, id_col: str = "sample_id", seed: int = 42, method: str = "md5",
+                  digits: int = HEX_DIGITS) -> DataFrame:
+    """Rank in seeded-shuffle order (1-based), plus ``shuffle_key`` and ``n_total``.
+    A ranking task holds about n / 16^digits rows."""
     keyed = seeded_shuffle(df, id_col, seed, method)
-    return bucketed_rank(keyed, F.substring("shuffle_key", 1, HEX_DIGITS), [F.col("shuffle_key"), F.col(id_col)])
+    return bucketed_rank(keyed, F.substring("shuffle_key", 1, digits), [F.col("shuffle_key"), F.col(id_col)])
 
 
 def ranked_within(df: DataFrame, group: list[str], bucket: Column, order: list[Column]) -> DataFrame:
@@ -72,7 +74,7 @@ def ranked_within(df: DataFrame, group: list[str], bucket: Column, order: list[C
     (e.g. the hour of a timestamp): rows are counted per (group, bucket), the
     small count table gives each bucket its offset, and ``row_number`` runs per
     (group, bucket). A hot group is therefore spread over many tasks."""
-    keyed = df.withColumn("_bk", bucket)
+    keyed = df.withColumn("_bk", bucket)          # null groups and null order keys are groups of their own
     counts = keyed.groupBy(*group, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     wg = Window.partitionBy(*group).orderBy("_bk")
     offs = counts.select(*group, "_bk",
@@ -80,72 +82,42 @@ def ranked_within(df: DataFrame, group: list[str], bucket: Column, order: list[C
                          .alias("_off"),
                          F.sum("_n").over(Window.partitionBy(*group)).alias("group_n"))
     w = Window.partitionBy(*group, "_bk").orderBy(*order)
-    return (keyed.join(offs, [*group, "_bk"])
+    return (join_null_safe(keyed, offs, [*group, "_bk"])
             .withColumn("pos", (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
             .drop("_bk", "_off"))
 
 
-# Largest boundary bucket whose rows are gathered to fix the exact threshold.
-MAX_BOUNDARY_ROWS = 20_000
-
-
-def split_threshold(df: DataFrame, n_val_fn, id_col: str = "sample_id", seed: int = 42, method: str = "md5"):
-    """The (key, id) of the ``n_val``-th row in seeded-shuffle order, or None.
-
-    Finds it without ranking every row: count rows per md5 hex prefix (at most
-    4,096 groups, partial aggregation), walk the bounded count table to the
-    bucket holding the boundary, and refine inside that bucket with the next
-    three hex digits until it holds at most ``MAX_BOUNDARY_ROWS`` rows; only
-    those are gathered and sorted. Every job reads just (id, key).
-
-    Ids must be unique: if a full key still holds more than
-    ``MAX_BOUNDARY_ROWS`` rows (one id repeated), no exact boundary exists and
-    the split is refused rather than gathering that group."""
-    keyed = df.select(F.col(id_col).alias("_id"), shuffle_key(id_col, seed, method).alias("_k"))
-    key_len = 16 if method == "xxhash64" else 32
-    counts = keyed.groupBy(F.substring("_k", 1, HEX_DIGITS).alias("_b")).count().collect()
-    n = sum(r["count"] for r in counts)
-    k = n_val_fn(n)
-    if k <= 0:
-        return n, k, None
-    if k >= n:
-        return n, k, ("g" * 32, None)   # above every md5 key
-    prefix, level_rows, need = "", counts, k
-    while True:
-        acc = 0
-        for r in sorted(level_rows, key=lambda r: r["_b"]):
-            if acc + r["count"] >= need:
-                prefix, bucket_n, need = r["_b"], r["count"], need - acc
-                break
-            acc += r["count"]
-        sub = keyed.where(F.col("_k").startswith(prefix))
-        if bucket_n > MAX_BOUNDARY_ROWS and len(prefix) >= key_len:
-            raise ValueError(f"{bucket_n} rows share one shuffle key: ids in {id_col!r} are not unique")
-        if bucket_n <= MAX_BOUNDARY_ROWS:
-            rows = sub.orderBy("_k", "_id").limit(need).collect()
-            last = rows[-1]
-            return n, k, (last["_k"], last["_id"])
-        level_rows = (sub.groupBy(F.substring("_k", 1, min(len(prefix) + HEX_DIGITS, key_len)).alias("_b"))
-                      .count().collect())
-
-
 def exact_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42,
-                method: str = "md5") -> DataFrame:
+                method: str = "md5", digits: int = HEX_DIGITS) -> DataFrame:
     """Exactly ``floor(n * ratio)`` rows get ``split='val'`` (the first in
-    seeded-shuffle order), the rest 'train'.
-
-    The boundary (key, id) is found by ``split_threshold`` on a two-column
-    projection; the split itself is then a row-local comparison, so the wide
-    rows are neither shuffled nor sorted."""
-    _, _, thr = split_threshold(df, lambda n: int(n * float(ratio)), id_col, seed, method)
-    key = shuffle_key(id_col, seed, method)
-    if thr is None:
-        is_val = F.lit(False)
-    elif thr[1] is None:
-        is_val = F.lit(True)
-    else:
-        is_val = (key < F.lit(thr[0])) | ((key == F.lit(thr[0])) & (F.col(id_col) <= F.lit(thr[1])))
-    return df.withColumn("split", F.when(is_val, "val").otherwise("train"))
+    seeded-shuffle order), the rest 'train'. Null and repeated ids count like any
+    other row; ties are broken by the whole row's hash.
+
+    Rows are counted per hex prefix of the key (``16 ** digits`` buckets, partial
+    aggregation on the key alone). A bucket wholly before or after the boundary
+    decides its rows in place; only the one bucket that holds the boundary is
+    ranked, so wide rows are not shuffled beyond that bucket. Take more
+    ``digits`` for more rows: the ranked bucket holds about n / 16^digits."""
+    names = df.columns
+    keyed = df.withColumn("_k", shuffle_key(id_col, seed, method)).withColumn("_b", F.substring("_k", 1, digits))
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_b")
+    bounds = counts.select("_b", F.sum("_n").over(running).alias("_end"), "_n",
+                           F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    bounds = bounds.select("_b", (F.col("_end") - F.col("_n")).alias("_off"), "_end",
+                           F.floor(F.col("_total") * F.lit(float(ratio))).alias("_val"))
+    # one array of (bucket, rows of it in val) for the buckets that are not wholly train
+    val_table = bounds.where("_off < _val").agg(
+        F.max_by("_b", "_end").alias("last"), F.max_by(F.col("_val") - F.col("_off"), "_end").alias("take")).select(
+        F.struct("last", "take").alias("v"))
+    last, take = val_table.select("v.last").scalar(), val_table.select("v.take").scalar()
+    marked = keyed.withColumn("_last", last)
+    clear = marked.where(~F.col("_b").eqNullSafe(F.col("_last"))).select(
+        *names, F.when(F.col("_b") < F.col("_last"), "val").otherwise("train").alias("split"))
+    order = Window.partitionBy("_b").orderBy("_k", id_col, F.xxhash64(*names))
+    edge = (marked.where(F.col("_b").eqNullSafe(F.col("_last"))).withColumn("_rank", F.row_number().over(order)).withColumn("_take", take)
+            .select(*names, F.when(F.col("_rank") <= F.col("_take"), "val").otherwise("train").alias("split")))
+    return clear.unionAll(edge)
 
 
 def ranked_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42,

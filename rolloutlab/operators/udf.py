@@ -39,7 +39,7 @@ def safe_apply(df: DataFrame, fn: Callable[[dict], float], default: float = DEFA
                     errors.append(None)
                 except Exception as e:  # one bad row must not fail the task
                     scores.append(default)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
+                    errors.append(f"{type(e).__name__}: {e}")
             yield pdf.assign(**{out: scores, "error": errors})
 
     return df.mapInPandas(run, schema)

@@ -205,7 +205,7 @@ def _tm_sql() -> str:
             ELSE ar.name END AS call_expr
 FROM ar LEFT JOIN tm ON tm.ctype = ar.ctype"""))
 def q_argument_table(spark: SparkSession, sf: str) -> DataFrame:
-    return X.argument_table(_sig(spark, sf), "params", ["model_id"], type_map_table(spark))
+    return X.argument_table(_sig(spark, sf), "params", ["model_id"], type_map_table(spark), small=True)
 
 
 @register("argument_calls", ["X7"], S.with_("v_signatures", _SIG_SQL, _tm_sql(), """ar AS (

@@ -233,9 +233,9 @@ def q_matmul(spark: SparkSession, sf: str) -> DataFrame:
     return M.matmul(fx.v_matrix_a(spark, sf), fx.v_matrix_b(spark, sf))
 
 
-_BMM_SQL = """ba AS (SELECT l_returnflag AS batch, l_suppkey % 50 AS i, l_partkey % 40 AS k, sum(l_quantity) AS v
+_BMM_SQL = """ba AS (SELECT l_returnflag AS batch, l_suppkey AS i, l_partkey AS k, sum(l_quantity) AS v
   FROM lineitem GROUP BY ALL),
-bb AS (SELECT l_returnflag AS batch, l_partkey % 40 AS k, CAST(l_linenumber AS BIGINT) AS j, sum(l_discount) AS v
+bb AS (SELECT l_returnflag AS batch, l_partkey AS k, CAST(l_linenumber AS BIGINT) AS j, sum(l_discount) AS v
   FROM lineitem GROUP BY ALL)"""
 
 
@@ -245,19 +245,19 @@ def q_bmm(spark: SparkSession, sf: str) -> DataFrame:
     """M1 batched: one product per return flag (the batch key joins with k)."""
     li = read_table(spark, sf, "lineitem", "l_returnflag", "l_suppkey", "l_partkey", "l_linenumber",
                     "l_quantity", "l_discount")
-    a = li.select(F.col("l_returnflag").alias("batch"), (F.col("l_suppkey") % 50).alias("i"),
-                  (F.col("l_partkey") % 40).alias("k"), F.col("l_quantity").alias("v"))
-    b = li.select(F.col("l_returnflag").alias("batch"), (F.col("l_partkey") % 40).alias("k"),
+    a = li.select(F.col("l_returnflag").alias("batch"), F.col("l_suppkey").alias("i"),
+                  F.col("l_partkey").alias("k"), F.col("l_quantity").alias("v"))
+    b = li.select(F.col("l_returnflag").alias("batch"), F.col("l_partkey").alias("k"),
                   F.col("l_linenumber").cast("long").alias("j"), F.col("l_discount").alias("v"))
     return M.matmul(a, b, batch=["batch"])
 
 
-_C_SQL = """mc AS (SELECT l_suppkey % 50 AS i, CAST(l_linenumber AS BIGINT) AS j, sum(l_tax) AS v FROM lineitem GROUP BY ALL)"""
+_C_SQL = """mc AS (SELECT l_suppkey AS i, CAST(l_linenumber AS BIGINT) AS j, sum(l_tax) AS v FROM lineitem GROUP BY ALL)"""
 
 
 def _mc(spark: SparkSession, sf: str) -> DataFrame:
     li = read_table(spark, sf, "lineitem", "l_suppkey", "l_linenumber", "l_tax")
-    return li.groupBy((F.col("l_suppkey") % 50).alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(
+    return li.groupBy(F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(
         F.sum("l_tax").alias("v"))
 
 
@@ -280,14 +280,14 @@ def q_linear(spark: SparkSession, sf: str) -> DataFrame:
     return M.linear(fx.v_matrix_a(spark, sf), b, bias)
 
 
-@register("conv1x1", ["M2"], S.with_("v_matrix", """cx AS (SELECT l_returnflag AS batch, l_partkey % 40 AS c_in,
-         l_suppkey % 50 AS p, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)""",
+@register("conv1x1", ["M2"], S.with_("v_matrix", """cx AS (SELECT l_returnflag AS batch, l_partkey AS c_in,
+         l_suppkey AS p, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)""",
     body="""SELECT cx.batch, w.j AS c_out, cx.p, sum(cx.v * w.v) AS v
 FROM cx JOIN v_matrix_b w ON w.k = cx.c_in GROUP BY ALL"""))
 def q_conv1x1(spark: SparkSession, sf: str) -> DataFrame:
     li = read_table(spark, sf, "lineitem", "l_returnflag", "l_partkey", "l_suppkey", "l_quantity")
-    x = li.select(F.col("l_returnflag").alias("batch"), (F.col("l_partkey") % 40).alias("c_in"),
-                  (F.col("l_suppkey") % 50).alias("p"), F.col("l_quantity").alias("v"))
+    x = li.select(F.col("l_returnflag").alias("batch"), F.col("l_partkey").alias("c_in"),
+                  F.col("l_suppkey").alias("p"), F.col("l_quantity").alias("v"))
     w = fx.v_matrix_b(spark, sf).select(F.col("j").alias("c_out"), F.col("k").alias("c_in"), "v")
     return M.conv1x1(x, w)
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rolloutlab.functions.text import scorable
 from rolloutlab.operators import rewards as R
@@ -36,15 +34,15 @@ def q_safe_apply(spark: SparkSession, sf: str) -> DataFrame:
     return safe_apply(c, fenced_length_score).select("prompt_id", "generation", "score", "error")
 
 
-@F.pandas_udf(T.DoubleType())
-def length_bonus(s: pd.Series) -> pd.Series:
-    """Vectorised (Arrow batch) reward term: length capped at 2000, scaled to [0, 1]."""
-    return s.str.len().clip(upper=2000) / 2000.0
+def length_bonus(c: Column) -> Column:
+    """Reward term in [0, 1) that grows with the length: n / (n + 2000)."""
+    n = F.length(c).cast("double")
+    return n / (n + F.lit(2000.0))
 
 
 @register("with_reward", ["U2", "F1"], S.with_("v_completions", body=f"""SELECT prompt_id, generation,
        CASE WHEN coalesce(length(trim(completion, {S.WS})) >= 20, false) THEN 1.0 ELSE 0.0 END * 1.0
-       + least(length(completion), 2000) / 2000.0 * 0.5 AS reward
+       + length(completion) / (length(completion) + 2000.0::DOUBLE) * 0.5 AS reward
 FROM v_completions"""))
 def q_with_reward(spark: SparkSession, sf: str) -> DataFrame:
     c = fx.v_completions(spark, sf)
@@ -55,7 +53,7 @@ def q_with_reward(spark: SparkSession, sf: str) -> DataFrame:
 @register("stream_scores", ["ST1"], S.with_("v_rollouts", body="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')
        AS window_start, stage, CAST(count(*) AS BIGINT) AS n, avg(reward) AS mean_reward FROM v_rollouts GROUP BY ALL"""))
 def q_stream_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return ST.stream_scores(spark, sf)
+    return ST.stream_scores(ST.rollouts_from_events(ST.event_stream(spark, sf)))
 
 
 @register("stream_timeout_join", ["ST2"], """WITH c AS (SELECT event_id AS sub_id, user_id, ts FROM events

@@ -104,7 +104,8 @@ def _user_message_sql(weight: str = "''", arch: str = ARCH) -> str:
 
 def _weight_sql(max_tensors: int = P.MAX_WEIGHT_TENSORS) -> str:
     return f"""fl AS (SELECT * FROM v_tensors WHERE dtype IN ('float16', 'bfloat16', 'float32', 'float64')),
-wcnt AS (SELECT model_id, count(*) AS n_float FROM fl GROUP BY model_id),
+wcnt AS (SELECT model_id, count(*) FILTER (WHERE dtype IN ('float16', 'bfloat16', 'float32', 'float64')) AS n_float
+  FROM v_tensors GROUP BY model_id),
 wtxt AS (SELECT fl.model_id,
          {S.text(P.WEIGHT_HEADER)} || string_agg('  - const float* ' || replace(name, '.', '_') || '  shape=('
             || array_to_string(list_transform(shape, lambda x: CAST(x AS VARCHAR)), ',') || ')', chr(10) ORDER BY ord)
@@ -242,7 +243,7 @@ def q_is_float_dtype(spark: SparkSession, sf: str) -> DataFrame:
     "v_samples", _samples_sql(), *_match_sql(), body="SELECT sample_id, pos, op, key FROM ex"))
 def q_match_exact(spark: SparkSession, sf: str) -> DataFrame:
     occ = M.explode_ops(_samples(spark, sf))
-    return M.match_exact(occ, op_dictionary(spark, ARCH)).select(
+    return M.match_exact(occ, op_dictionary(spark, ARCH), small=True).select(
         "sample_id", F.col("pos").cast("long").alias("pos"), "op", "key")
 
 
@@ -251,7 +252,7 @@ def q_match_exact(spark: SparkSession, sf: str) -> DataFrame:
 def q_match_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     d = op_dictionary(spark, ARCH)
     occ = M.explode_ops(_samples(spark, sf))
-    return M.match_fuzzy(M.match_exact(occ, d), d).select(
+    return M.match_fuzzy(M.match_exact(occ, d, small=True), d, small=True).select(
         "sample_id", F.col("pos").cast("long").alias("pos"), "op", "key")
 
 
@@ -261,8 +262,8 @@ def q_match_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 def q_attach_snippets(spark: SparkSession, sf: str) -> DataFrame:
     d = op_dictionary(spark, ARCH)
     occ = M.explode_ops(_samples(spark, sf))
-    m = M.match_fuzzy(M.match_exact(occ, d), d)
-    return M.attach_snippets(m, snippet_table(spark, ARCH)).select(
+    m = M.match_fuzzy(M.match_exact(occ, d, small=True), d, small=True)
+    return M.attach_snippets(m, snippet_table(spark, ARCH), small=True).select(
         "sample_id", F.col("pos").cast("long").alias("pos"), "key", "snippet")
 
 
@@ -288,7 +289,7 @@ def q_reference_text_gfx1100(spark: SparkSession, sf: str) -> DataFrame:
 @register("reference_text_join", ["J1", "J2", "J3", "J4"], S.with_(
     "v_samples", _samples_sql(), *_match_sql(), body="SELECT sample_id, ref_keys, n_ref, ref_text FROM ref"))
 def q_reference_text_join(spark: SparkSession, sf: str) -> DataFrame:
-    return M.reference_text_join(_samples(spark, sf), op_dictionary(spark, ARCH), snippet_table(spark, ARCH))
+    return M.reference_text_join(_samples(spark, sf), op_dictionary(spark, ARCH), snippet_table(spark, ARCH), small=True)
 
 
 # ---------------------------------------------------------------- sampling

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloutlab.functions.text import parse_profile_log, parse_verify_log, scorable
@@ -151,6 +151,25 @@ def q_mse_table(spark: SparkSession, sf: str) -> DataFrame:
     return K.mse_table(p.where(F.col("status") == "matched"), ["model_id", "check_no"])
 
 
+@register("compare_by_rule", ["K2", "K3"], S.with_("v_checks", body="""SELECT model_id, check_no,
+       len(actual) = len(expected) AS same_shape,
+       len(actual) = len(expected) AND check_no <> 5 AND len(list_filter(range(1, len(expected) + 1),
+         lambda i: abs(actual[i] - expected[i]) > 0.01::DOUBLE + 0.01::DOUBLE * abs(expected[i]))) = 0 AS ok
+FROM v_checks"""))
+def q_compare_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested values: a two-row tensor, a number and a map with an extra (allowed) and, for check 5, a missing key."""
+    def value(c: str, tags) -> Column:
+        return F.struct(F.array(F.slice(c, 1, 32), F.slice(c, 33, 64)).alias("m"), F.col("check_no").alias("n"), tags.alias("tags"))
+
+    name = F.concat(F.lit("model "), F.col("model_id").cast("string"))
+    made = value("actual", F.create_map(F.lit("name"), name, F.lit("extra"), F.lit("yes")))
+    key = F.when(F.col("check_no") == 5, "absent").otherwise("name")
+    df = fx.v_checks(spark, sf).select("model_id", "check_no", made.alias("a"), value("expected", F.create_map(key, name)).alias("e"))
+    t = df.schema["a"].dataType
+    return df.select("model_id", "check_no", K.same_shape(F.col("a.m"), F.col("e.m"), t["m"].dataType).alias("same_shape"),
+                     K.equal_by_rule(F.col("a"), F.col("e"), t).alias("ok"))
+
+
 @register("compare_nested", ["K3", "J7", "K1"], S.with_("v_checks", _LEAVES_SQL, body="""SELECT model_id, check_no,
        CAST(count_if(status = 'matched') AS BIGINT) AS n_matched, CAST(count_if(status = 'missing') AS BIGINT) AS n_missing,
        CAST(count_if(status = 'extra') AS BIGINT) AS n_extra,

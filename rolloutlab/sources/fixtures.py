@@ -71,7 +71,7 @@ def _completion_text(body: Column, variant: Column, turn: Column) -> Column:
             .when(variant == 3, F.concat(lit(HEADER + "\n```cpp\n" + KERNEL_OPEN), body))
             .when(variant == 4, F.concat(lit("```python\n"), body, lit("\n```")))
             .when(variant == 5, body)
-            .otherwise(F.concat(lit("draft "), turn.cast("string"))))
+            .otherwise(F.regexp_replace(body, "[^.]", "")))
 
 
 def v_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ V_COMPLETIONS_SQL = f"""v_completions AS (
       WHEN 3 THEN {_nl(HEADER + chr(10) + "```cpp" + chr(10) + KERNEL_OPEN)} || replace(text, chr(10), ' ')
       WHEN 4 THEN {_nl("```python" + chr(10))} || replace(text, chr(10), ' ') || {_nl(chr(10) + "```")}
       WHEN 5 THEN replace(text, chr(10), ' ')
-      ELSE 'draft ' || CAST(turn AS VARCHAR) END AS completion
+      ELSE regexp_replace(text, '[^.]', '', 'g') END AS completion
   FROM conversations WHERE role = 'assistant')"""
 
 
@@ -156,25 +156,27 @@ V_SIGNATURES_SQL = f"""v_signatures AS (
 
 # --------------------------------------------------------------------------- tensors
 def v_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model_id, ord, name, dtype, shape) weight specs from ``part``; group g holds
-    2g+1 tensors, so groups fall on both sides of the 10-tensor limit."""
+    """(model_id, ord, name, dtype, shape) weight specs from ``part``: models of 8 and
+    of 16 tensors, so groups grow in number and fall on both sides of the
+    10-tensor limit."""
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
-    g = F.floor(F.sqrt(F.col("p_partkey").cast("double"))).cast("long")
+    k, r = F.floor(F.col("p_partkey") / 24).cast("long"), F.col("p_partkey") % 24
+    ord_ = F.when(r < 8, r).otherwise(r - 8)
     return part.select(
-        g.alias("model_id"),
-        (F.col("p_partkey") - g * g).cast("int").alias("ord"),
-        F.concat(F.regexp_replace("p_name", " ", "."), F.lit("."),
-                 (F.col("p_partkey") - g * g).cast("string")).alias("name"),
+        (k * 2 + F.when(r < 8, 0).otherwise(1)).alias("model_id"),
+        ord_.cast("int").alias("ord"),
+        F.concat(F.regexp_replace("p_name", " ", "."), F.lit("."), ord_.cast("string")).alias("name"),
         F.when(F.col("p_size") % 3 == 0, "int64").otherwise("float32").alias("dtype"),
         F.array(F.col("p_size").cast("int"), (F.col("p_partkey") % 7 + 1).cast("int")).alias("shape"))
 
 
 V_TENSORS_SQL = """v_tensors AS (
-  SELECT g AS model_id, CAST(p_partkey - g * g AS INTEGER) AS ord,
-         replace(p_name, ' ', '.') || '.' || CAST(p_partkey - g * g AS VARCHAR) AS name,
+  SELECT k * 2 + CASE WHEN r < 8 THEN 0 ELSE 1 END AS model_id, CAST(o AS INTEGER) AS ord,
+         replace(p_name, ' ', '.') || '.' || CAST(o AS VARCHAR) AS name,
          CASE WHEN p_size % 3 = 0 THEN 'int64' ELSE 'float32' END AS dtype,
          [CAST(p_size AS INTEGER), CAST(p_partkey % 7 + 1 AS INTEGER)] AS shape
-  FROM (SELECT *, CAST(floor(sqrt(CAST(p_partkey AS DOUBLE))) AS BIGINT) AS g FROM part))"""
+  FROM (SELECT *, CASE WHEN r < 8 THEN r ELSE r - 8 END AS o
+        FROM (SELECT *, CAST(floor(p_partkey / 24) AS BIGINT) AS k, p_partkey % 24 AS r FROM part)))"""
 
 
 # --------------------------------------------------------------------------- checks
@@ -271,20 +273,20 @@ V_ROLLOUTS_SQL = """v_rollouts AS (
 # --------------------------------------------------------------------------- matrices
 def v_matrix_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_quantity")
-    return (li.groupBy((F.col("l_suppkey") % 50).alias("i"), (F.col("l_partkey") % 40).alias("k"))
+    return (li.groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("k"))
             .agg(F.sum("l_quantity").alias("v")))
 
 
 def v_matrix_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_linenumber", "l_discount")
-    return (li.groupBy((F.col("l_partkey") % 40).alias("k"), F.col("l_linenumber").cast("long").alias("j"))
+    return (li.groupBy(F.col("l_partkey").alias("k"), F.col("l_linenumber").cast("long").alias("j"))
             .agg(F.sum("l_discount").alias("v")))
 
 
 V_MATRIX_SQL = """v_matrix_a AS (
-  SELECT l_suppkey % 50 AS i, l_partkey % 40 AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+  SELECT l_suppkey AS i, l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
 v_matrix_b AS (
-  SELECT l_partkey % 40 AS k, CAST(l_linenumber AS BIGINT) AS j, sum(l_discount) AS v FROM lineitem GROUP BY ALL)"""
+  SELECT l_partkey AS k, CAST(l_linenumber AS BIGINT) AS j, sum(l_discount) AS v FROM lineitem GROUP BY ALL)"""
 
 
 # --------------------------------------------------------------------------- vectors / series / texts

@@ -23,11 +23,17 @@ EVENT_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
                 "props string")
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """File stream over the events table (T8: the folder holds every table)."""
-    return (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir)
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+def event_path(sf_dir: str) -> str:
+    """The events table for a file stream: a glob matches one file as well as a folder of files."""
+    return f"{sf_dir.rstrip('/')}/events.parque[t]"
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """File stream over the events table; ``max_files`` bounds the files of a micro-batch."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(event_path(sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def rollouts_from_events(ev: DataFrame) -> DataFrame:
@@ -46,34 +52,30 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stream_scores(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "2 hours",
-                  out: str | None = None) -> DataFrame:
-    """ST1: per event-time window and stage, completion count and mean reward,
-    duplicates (same event id) dropped within the watermark.
+def stream_scores(rollouts: DataFrame, window: str = "1 day", out: str | None = None) -> DataFrame:
+    """ST1: per event-time window and stage, completion count and mean reward of a
+    streaming DataFrame (event_id, ts, stage, reward).
 
-    Update mode: each micro-batch emits only the (window, stage) rows it
-    changed, and state for windows behind the watermark is dropped, so state
-    stays bounded on an endless stream. The sink is partitioned by (window,
-    stage) and written with dynamic partition overwrite: a batch replaces
-    exactly the rows it updated, and a retried batch rewrites the same values.
-    The drained sink is the exact answer."""
+    Each micro-batch is reduced to (window, stage, n, sum) rows and written to a
+    folder of its own, which a retried batch overwrites; the report adds the
+    batches up. So there is no state to bound, no watermark and no row is too
+    late: any order of any number of files gives the batch result. An id that a
+    micro-batch repeats counts once."""
+    spark = rollouts.sparkSession
     out = out or _scratch(spark, "st1-out")
-    r = rollouts_from_events(event_stream(spark, sf_dir)).withWatermark("ts", watermark)
-    agg = (r.dropDuplicatesWithinWatermark(["event_id"])
-           .groupBy(F.window("ts", window).alias("w"), "stage")
-           .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward")))
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        (batch.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage",
-                      F.col("n").cast("long").alias("n"), "mean_reward")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("window_start", "stage").parquet(out))
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", _scratch(spark, "st1-ckpt")).trigger(availableNow=True).start())
+    schema = "window_start string, stage string, n long, total double"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        (batch.dropDuplicates(["event_id"]).groupBy(F.window("ts", window).alias("w"), "stage")
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("total"))
+         .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", F.col("n").cast("long").alias("n"), "total")
+         .write.mode("overwrite").parquet(f"{out}/batch={epoch}"))
+
+    q = (rollouts.writeStream.foreachBatch(write).option("checkpointLocation", _scratch(spark, "st1-ckpt"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.schema("n long, mean_reward double, window_start string, stage string").parquet(out)
-    return res.select("window_start", "stage", "n", "mean_reward")
+    res = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(out)
+    return res.groupBy("window_start", "stage").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_reward"))
 
 
 def stream_timeout_join(spark: SparkSession, sf_dir: str, within: str = "6 hours", default: float = -1.0,
@@ -110,7 +112,7 @@ def stream_timeout_join(spark: SparkSession, sf_dir: str, within: str = "6 hours
              .agg(F.min_by(F.struct("res_ts", "res_id", "res_value"), F.struct("res_ts", "res_id")).alias("r"))
              .select("sub_id", F.col("r.res_id").alias("res_id"), F.col("r.res_value").alias("res_value")))
     if finalise:
-        all_subs = (spark.read.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        all_subs = (spark.read.schema(EVENT_SCHEMA).parquet(event_path(sf_dir))
                     .where(F.col("event_type") == "click").select(F.col("event_id").alias("sub_id")))
         waiting = all_subs.join(first.select("sub_id"), "sub_id", "left_anti").select(
             "sub_id", F.lit(None).cast("bigint").alias("res_id"), F.lit(None).cast("double").alias("res_value"))

@@ -194,14 +194,23 @@ def test_safe_apply_isolates_failures(spark):
     assert got[2][0] == -1.0 and "bad row" in got[2][1]
 
 
-def test_split_threshold_refines_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(D, "MAX_BOUNDARY_ROWS", 1)   # force the second hex level
+@pytest.mark.parametrize("digits", [1, 3, 5])
+def test_exact_split_equals_the_ranked_split(spark, digits):
     base = spark.range(5000).withColumnRenamed("id", "sample_id")
-    a = sorted(rows(D.exact_split(base, 0.37), "sample_id", "split"))
+    a = sorted(rows(D.exact_split(base, 0.37, digits=digits), "sample_id", "split"))
     b = sorted(rows(D.ranked_split(base, 0.37), "sample_id", "split"))
     assert a == b and sum(1 for x in a if x[1] == "val") == int(5000 * 0.37)
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.1, 0.5, 0.67, 1.0])
+def test_exact_split_counts_null_and_repeated_ids(spark, ratio):
+    ids = [(None, i) for i in range(7)] + [(1, i) for i in range(20)] + [(i, 0) for i in range(2, 15)]
+    df = spark.createDataFrame(ids, "sample_id long, x int")
+    out = rows(D.exact_split(df, ratio), "sample_id", "x", "split")
+    assert len(out) == 40 and sum(r[2] == "val" for r in out) == int(40 * ratio)
+    assert D.exact_split(df.limit(0), ratio).count() == 0
+
+
 def test_write_split_with_empty_split(spark, tmp_path):
     df = spark.range(20).withColumnRenamed("id", "sample_id")
     out = str(tmp_path / "split")
@@ -266,15 +275,11 @@ def test_spikes_chunking_is_exact(spark):
     assert one == small and len(one) > 0
 
 
-def test_xxhash_split_and_duplicate_ids(spark, monkeypatch):
+def test_xxhash_split(spark):
     base = spark.range(3000).withColumnRenamed("id", "sample_id")
     a = sorted(rows(D.exact_split(base, 0.2, method="xxhash64"), "sample_id", "split"))
     b = sorted(rows(D.ranked_split(base, 0.2, method="xxhash64"), "sample_id", "split"))
     assert a == b and sum(1 for x in a if x[1] == "val") == 600
-    monkeypatch.setattr(D, "MAX_BOUNDARY_ROWS", 10)
-    dup = spark.range(500).select(F.lit(7).cast("long").alias("sample_id"))
-    with pytest.raises(ValueError, match="not unique"):
-        D.exact_split(dup, 0.5)
 
 
 def test_trajectory_timestamp_turns_are_chunked(spark):
