@@ -23,7 +23,8 @@ HEADLINE = [
     "curriculum", "assign_batches", "score_rollouts", "group_advantage", "roll_up_checks", "compare_nested",
     "compare_variants", "kernel_source", "signature_params", "argument_calls", "slice_lines", "trajectory",
     "spikes", "completion_lengths", "stage_distribution", "layer_norm", "batch_norm", "softmax_rows",
-    "matmul", "conv1x1", "max_pool", "vec_gelu", "safe_apply", "stream_scores",
+    "matmul", "conv1x1", "max_pool", "vec_gelu", "safe_apply", "stream_scores", "stream_timeout_join",
+    "stream_trajectory", "compare_by_rule", "pair_outputs", "argument_table", "group_norm",
 ]
 
 
