@@ -10,8 +10,9 @@
    below ``miss`` (uniform prior, precomputed least counts).
 4. Survivors are verified on their full sets; links join components.
 5. Members of one bucket that are not in one component by now are compared as in
-   3 and 4. So every candidate of the banding is verified, pruned by the test,
-   or already inside one component.
+   3 and 4, in blocks of bounded size that give back links only. So every
+   candidate of the banding is verified, pruned by the test, or already inside
+   one component.
 
 With 32 bands of 4 values a pair at similarity 0.75 is missed by all bands with
 probability 5e-6; ``miss`` adds at most its own share.
@@ -40,6 +41,7 @@ NUMERATOR, DENOMINATOR = 75, 100       # similarity >= 75 / 100, compared in who
 BANDS, ROWS = 32, 4
 BATCH = 32                             # signature values compared at a time
 MISS = 1e-6                            # posterior probability below which a pair is pruned
+BLOCK, BLOCK_VALUES = 2048, 2_000_000  # members and shingles of one side of a task that compares a split bucket
 
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -107,18 +109,23 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary")
 
 
+def bands_of(sig: np.ndarray, rows: int) -> np.ndarray:
+    """The band keys (uint64) of signatures."""
+    parts = sig.reshape(len(sig), -1, rows).astype(np.uint64)
+    key = np.broadcast_to(mix(np.arange(1, parts.shape[1] + 1, dtype=np.uint64)), parts.shape[:2]).copy()
+    for r in range(rows):
+        key = mix(key ^ parts[:, :, r])
+    return key
+
+
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, cid) for every band of every class."""
 
     def run(batches):
-        salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.stack([np.frombuffer(s, np.uint32) for s in batch.column(1).to_pylist()]).reshape(-1, bands, rows).astype(np.uint64)
-            key = np.broadcast_to(salt, sig.shape[:2]).copy()
-            for r in range(rows):
-                key = mix(key ^ sig[:, :, r])
+            key = bands_of(np.stack([np.frombuffer(s, np.uint32) for s in batch.column(1).to_pylist()]), rows)
             cid = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.record_batch([pa.array(key.view(np.int64).ravel()), pa.array(cid)], names=["key", "cid"])
 
@@ -178,6 +185,74 @@ def verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return pairs.join(x, "a").join(y, "b").select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint")
 
 
+def compare_buckets(members: DataFrame, details: DataFrame, least: dict[int, int], batch: int, rows: int, num: int, den: int,
+                    most: int = BLOCK, most_values: int = BLOCK_VALUES) -> DataFrame:
+    """Links (a, b) between members (key, cid, c) of one bucket with different components c.
+
+    A bucket is cut into parts of bounded size and every two parts are one
+    task's work: signatures are compared batch by batch, what the Bayesian test
+    leaves is verified on the full sets, and only a spanning forest of the links
+    found comes out, so no list of pairs exists. Two members that share several
+    buckets are compared in the first band they share."""
+    wide = members.join(details, "cid")
+    sizes = wide.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / most_values)).cast("int").alias("parts"))
+    cut = wide.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
+    # part p meets every part q: in the task (min, max)
+    dealt = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "cid", "c", "n", "sig", "values")
+
+    def run(t: pa.Table) -> pa.Table:
+        key = t["key"][0].as_py()
+        cid, comp, n, part = (t[k].to_numpy() for k in ("cid", "c", "n", "part"))
+        sig = np.stack([np.frombuffer(s, np.uint32) for s in t["sig"].to_pylist()])
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        band = int(np.flatnonzero(bands_of(sig[:1], rows)[0].view(np.int64) == key)[0])
+        x, y = sig[left], sig[right]
+        alive = comp[left][:, None] != comp[right][None, :]
+        if i == j:
+            alive &= cid[left][:, None] < cid[right][None, :]
+        small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+        alive &= den * small >= num * large
+        for b in range(band):                         # met in an earlier band already
+            same = np.ones(alive.shape, bool)
+            for r in range(b * rows, b * rows + rows):
+                same &= x[:, r][:, None] == y[:, r][None, :]
+            alive &= ~same
+        a, b = np.nonzero(alive)
+        matches = np.zeros(len(a), np.int64)
+        for stop, need in least.items():
+            for lo in range(0, len(a), 1 << 16):
+                cut_ = slice(lo, lo + (1 << 16))
+                matches[cut_] += (x[a[cut_], stop - batch:stop] == y[b[cut_], stop - batch:stop]).sum(axis=1)
+            stay = matches >= need
+            a, b, matches = a[stay], b[stay], matches[stay]
+        values = t["values"]
+        found, root = [], {}
+
+        def top(k):
+            while root.get(k, k) != k:
+                root[k] = root.get(root[k], root[k])
+                k = root[k]
+            return k
+
+        cached, at = None, -1
+        for u, v in zip(left[a].tolist(), right[b].tolist()):
+            p, q = top(int(comp[u])), top(int(comp[v]))
+            if p == q:                                # joined by links of this task already
+                continue
+            if u != at:
+                cached, at = np.frombuffer(values[u].as_py(), np.uint64), u
+            other = np.frombuffer(values[v].as_py(), np.uint64)
+            both = int((np.searchsorted(other, cached, "right") - np.searchsorted(other, cached, "left")).sum())
+            if den * both >= num * (len(cached) + len(other) - both):
+                root[p] = q
+                found.append((int(cid[u]), int(cid[v])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(cid, values) of the wanted (cid, doc_id) classes, from the texts."""
 
@@ -231,10 +306,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     marked = (buckets.select("key", "cid").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
               .select("key", "cid", F.coalesce("component", "cid").alias("c")))
     split = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = marked.join(split, "key")
-    cross = (rest.toDF("key", "a", "ca").join(rest.toDF("key", "b", "cb"), "key").where("ca <> cb AND a < b").select("a", "b").distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    more = linked(stored(cross, "cross-pairs"))
+    rest = stored(marked.join(split, "key"), "split-buckets")
+    open_ = classes.join(rest.select("cid").distinct(), "cid")
+    sets = stored(full_sets(docs, open_.select("cid", "doc_id"), shingle), "full-sets")
+    more = stored(compare_buckets(rest, open_.select("cid", "n", "sig").join(sets, "cid"), limits, batch, rows, num, den), "links")
     comps = components(links.unionAll(more), "near-components")
     named = classes.select("cid", "doc_id").join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("c", F.coalesce("component", "cid"))
     smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
