@@ -10,8 +10,9 @@ and the holder of the key can invert it. Separators, letter case and lengths
 stay; a card keeps its first digit and gets the check digit that fits; the same
 date in another notation gets the same pseudonym in that notation.
 
-Formats: payment cards (Luhn), IBANs (mod 97), social security numbers, ten-digit
-and international phone numbers, IPv4 addresses, dates (yyyy-mm-dd,
+Formats: payment cards (Luhn), IBANs (mod 97; of the country's length, other
+codes unspaced), social security numbers, ten-digit and international phone
+numbers (of the country's length where the plan has one), IPv4 addresses, dates (yyyy-mm-dd,
 mm/dd/yyyy, dd.mm.yyyy from 1900 to 2099), and, symbol by symbol, the local part
 of e-mail addresses and access key ids.
 
@@ -31,9 +32,42 @@ from rolloutlab.llm.common import table
 KEY = "corpus-pseudonyms-1"       # an example; a real run passes its own secret
 ROUNDS = 8
 
+# Length of an IBAN by country (the registry, and the countries that use the format without an entry there).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD TG",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# Digits after the country code of international phone numbers, where the plan has one length or nearly so.
+PHONE_LENGTHS = {
+    (7, 7): "297 354 423 501 597 960", (8, 8): "45 47 53 65 216 220 227 228 229 230 357 370 371 373 374 382 386 389 502 503 504 505 506 507 852 853 965 968 973 974",
+    (7, 8): "372 961", (7, 9): "46 353 359", (8, 9): "32 36 51 66 213 355 377 381 385 855 886 962 971 972",
+    (9, 9): "27 31 33 34 40 41 48 56 61 93 212 233 251 254 255 256 351 375 380 420 421 966", (9, 10): "44 81 84 92 94",
+    (10, 10): "1 7 30 52 57 58 90 91 98", (10, 11): "54 55 86", (8, 10): "20 60 63 64 82",
+}
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+
+
+def _phone_world() -> str:
+    """By the country's length in any grouping; else up to 15 digits, where a blank behind a group of five or more ends
+    the number (unless that leaves fewer than eight)."""
+    known = "|".join(rf"\+(?:{'|'.join(codes.split())})(?:[ .-]?[0-9]){{{lo},{hi}}}" for (lo, hi), codes in PHONE_LENGTHS.items())
+    group = r"(?=[0-9]{2})"
+    other = rf"\+[0-9](?:(?:[.-]{group}|(?<![0-9]{{5}}) {group})?[0-9]){{7,14}}|\+[0-9](?:(?:[ .-]{group})?[0-9]){{7,14}}"
+    return rf"{known}|(?!(?:{known})(?![A-Za-z0-9@]))(?:{other})"
+
+
+def _iban() -> str:
+    """The length follows from the country, so no word or number behind is taken; of other codes only the unspaced form has an end."""
+    each = [rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+            for n, codes in IBAN_LENGTHS.items()]
+    return "|".join([*each, r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"])
+
+
 # Patterns of each format (fixed values); a match must also pass VALID.
 PATTERNS = {
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _iban(),
     "access_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6}",
     "date_ymd": r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}",
@@ -43,7 +77,7 @@ PATTERNS = {
     "card": r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19}",
     "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+1[0-9]{10}",
-    "phone_world": r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}",
+    "phone_world": _phone_world(),
 }
 DATE_FORMATS = {"date_ymd": "yyyy-MM-dd", "date_mdy": "MM/dd/yyyy", "date_dmy": "dd.MM.yyyy"}
 FIRST_DAY, DAYS, DAY_BASE = "1900-01-01", 73049, 4297        # 73049 = 17 * 4297
@@ -185,8 +219,11 @@ def replacement(kind: str, key: str, inverse: bool) -> str:
         prefix = f"substring({_digits('m')}, 1, length({_digits('m')}) - 10)"
         return _let(_core(), "d", _let(f"concat({prefix}, {_join(moved)})", "nd", _refill("m", "nd")))
     if kind == "phone_world":
-        moved = f(_ints("substring(d, 3)"), _same(10, _ints("substring(d, 3)")), "phone_world")
-        return _let(_digits("m"), "d", _let(f"concat(substring(d, 1, 2), {_join(moved)})", "nd", _refill("m", "nd")))
+        # the country code stays, so the pseudonym ends where the value ends
+        code = f"IF(left(d, 1) IN ('1', '7') OR left(d, 2) IN ({', '.join(map(_quote, TWO_DIGIT_CODES.split()))}), 2, 3)"
+        moved = f(_ints("substring(d, n + 1)"), _same(10, _ints("substring(d, n + 1)")), "phone_world")
+        whole = _let(code, "n", f"concat(left(d, n), {_join(moved)})")
+        return _let(_digits("m"), "d", _let(whole, "nd", _refill("m", "nd")))
     if kind == "iban":
         account = _letters("substring(g, 5)", "iban", key, inverse)
         check = f"lpad(cast(98 - {_mod97("concat(a, substring(g, 1, 2), '00')")} AS string), 2, '0')"
