@@ -5,8 +5,8 @@ Each stage takes the documents its predecessor kept and returns those it keeps
 shared folder and read again, so a lost executor costs a part of one stage.
 
 Edge cases, beyond those of the operators: a stage that removes nothing returns
-its input; rows that repeat an id stay or go together in the near-duplicate
-stage; a document that loses all its lines to earlier documents goes with them,
+its input; rows that repeat an id, or have none, are judged one by one in the
+near-duplicate stage, and one of several equal rows stays; a document that loses all its lines to earlier documents goes with them,
 one that had no text stays; documents without a label are judged like others;
 empty tables pass through every stage.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rolloutlab.llm.common import stored, table
 from rolloutlab.llm.decontaminate import uncontaminated
 from rolloutlab.llm.line_dedup import dedup_lines
-from rolloutlab.llm.minhash_dedup import near_duplicates
+from rolloutlab.llm.minhash_dedup import one_of_each
 from rolloutlab.llm.packing import pack
 from rolloutlab.llm.quality import accepted, document_statistics, learn
 from rolloutlab.llm.tokens import tokenizer_path
@@ -42,8 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def fingerprints(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 
 
 def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (set fingerprint), sig (binary) of every row."""
+    """doc_id, text_hash, n (set size), h1, h2 (set fingerprint), sig (binary) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -103,10 +103,11 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             for lo, hi in chunks(offsets):
                 values, bounds = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], shingle)
                 sig = signatures(values, bounds, bands * rows)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), *map(pa.array, fingerprints(values, bounds)),
-                                       pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds)),
+                                       *map(pa.array, fingerprints(values, bounds)), pa.array([s.tobytes() for s in sig], pa.binary())],
+                                      names=["doc_id", "text_hash", "n", "h1", "h2", "sig"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, sig binary")
 
 
 def bands_of(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -272,10 +273,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return sets.join(wanted.select("cid"), "cid", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int = BANDS,
-                    rows: int = ROWS, batch: int = BATCH, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    docs = id_text(docs, id_col, text_col)
+def groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], bands: int, rows: int, batch: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """The sketch and class (cid) of every row of (doc_id, text), and (cid, doc_id, c) with the component c of every class."""
     num, den = similarity
     sketches = stored(sketch(docs, shingle, bands, rows).withColumn("cid", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2"))), "sketches")
     classes = stored(sketches.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"),
@@ -311,7 +310,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     sets = stored(full_sets(docs, open_.select("cid", "doc_id"), shingle), "full-sets")
     more = stored(compare_buckets(rest, open_.select("cid", "n", "sig").join(sets, "cid"), limits, batch, rows, num, den), "links")
     comps = components(links.unionAll(more), "near-components")
-    named = classes.select("cid", "doc_id").join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("c", F.coalesce("component", "cid"))
+    return sketches, (classes.select("cid", "doc_id").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
+                      .select("cid", "doc_id", F.coalesce("component", "cid").alias("c")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int = BANDS,
+                    rows: int = ROWS, batch: int = BATCH, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    sketches, named = groups(id_text(docs, id_col, text_col), shingle, similarity, bands, rows, batch, miss)
     smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "c").select("cid", "component_id")
     return (sketches.select("doc_id", "n", "cid").join(named, "cid", "left")
@@ -319,6 +325,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int = BANDS,
+                rows: int = ROWS, batch: int = BATCH, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, whole: that of the smallest id, then of the smallest hash of the text (equal rows: any).
+
+    A row is known by its id, null or not, and its text's 64-bit hash, so other
+    texts under the same id do not come with it. Rows without words all stay."""
+    sketches, named = groups(id_text(docs, id_col, text_col), shingle, similarity, bands, rows, batch, miss)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r")
+    chosen = (sketches.where("n > 0").select("cid", "doc_id", "text_hash").join(named.select("cid", "c"), "cid").groupBy("c").agg(first)
+              .select("r.doc_id", "r.text_hash", F.lit(True)))
+    wordless = sketches.where("n = 0").select("doc_id", "text_hash", F.lit(False)).distinct()
+    kept = chosen.unionAll(wordless).toDF("__id", "__hash", "__words")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
+    return (docs.join(kept, same).withColumn("__row", F.when(~F.col("__words"), F.monotonically_increasing_id()))
+            .dropDuplicates(["__id", "__hash", "__row"]).select(*(f"`{c}`" for c in docs.columns)))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 

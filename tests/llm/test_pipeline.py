@@ -73,6 +73,15 @@ def test_odd_rows_pass_every_stage(spark, rows):
     assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_one_row_of_each_group_under_shared_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, a), (None, a), (None, b), (None, b + " end"), (7, b), (7, c), (7, c), (9, c + " end"), (9, "fresh words of nine alone"), (None, None), (8, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", i) for i, (d, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = cp.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(None, a), (7, b), (7, c), (9, rows[8][1]), (None, None), (8, "")], key=repr)
+
+
 def test_last_line_of_a_document(spark):
     docs = spark.createDataFrame(ODD[3:6:2], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, values int")
     out = cp.lines(spark, docs, SF).collect()
