@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rolloutlab.session import checkpoint_dir
@@ -56,26 +57,30 @@ def stream_scores(rollouts: DataFrame, window: str = "1 day", out: str | None =
     """ST1: per event-time window and stage, completion count and mean reward of a
     streaming DataFrame (event_id, ts, stage, reward).
 
-    Each micro-batch is reduced to (window, stage, n, sum) rows and written to a
-    folder of its own, which a retried batch overwrites; the report adds the
-    batches up. So there is no state to bound, no watermark and no row is too
-    late: any order of any number of files gives the batch result. An id that a
-    micro-batch repeats counts once."""
+    Each micro-batch writes its events (id, time, stage, reward) to a folder of
+    its own, which a retried batch overwrites; the report counts the ids. So
+    there is no state to bound, no watermark and no row is too late: any order
+    of any number of files gives the batch result. An id that comes again, in
+    the same or a later file, counts once, as its smallest (ts, stage, reward);
+    events without an id all count."""
     spark = rollouts.sparkSession
     out = out or _scratch(spark, "st1-out")
-    schema = "window_start string, stage string, n long, total double"
+    schema = T.StructType([T.StructField("event_id", rollouts.schema["event_id"].dataType), T.StructField("ts", T.TimestampType()),
+                           T.StructField("stage", T.StringType()), T.StructField("reward", T.DoubleType())])
 
     def write(batch: DataFrame, epoch: int) -> None:
-        (batch.dropDuplicates(["event_id"]).groupBy(F.window("ts", window).alias("w"), "stage")
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("total"))
-         .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", F.col("n").cast("long").alias("n"), "total")
-         .write.mode("overwrite").parquet(f"{out}/batch={epoch}"))
+        batch.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "stage", F.col("reward").cast("double").alias("reward")
+                     ).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     q = (rollouts.writeStream.foreachBatch(write).option("checkpointLocation", _scratch(spark, "st1-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     res = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(out)
-    return res.groupBy("window_start", "stage").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_reward"))
+    once = res.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("ts", "stage", "reward")).alias("e")).select("e.*")
+    rows = once.unionAll(res.where("event_id IS NULL").select("ts", "stage", "reward"))
+    return (rows.groupBy(F.window("ts", window).alias("w"), "stage")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward"))
+            .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "n", "mean_reward"))
 
 
 def stream_timeout_join(spark: SparkSession, sf_dir: str, within: str = "6 hours", default: float = -1.0,

@@ -132,3 +132,19 @@ def test_streams_over_many_files_equal_batch(spark, tmp_path):
              .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reward"), 9).alias("m")))
     got = out.select("window_start", "stage", "n", F.round("mean_reward", 9).alias("m"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_an_event_in_two_files_counts_once(spark, tmp_path):
+    """Every event again in a second file of a later trigger, and events without an id."""
+    from rolloutlab.streaming import jobs as ST
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(500).cache()
+    loose = ev.limit(3).withColumn("event_id", F.lit(None).cast("bigint")).withColumn("event_type", F.lit("view"))
+    for part in (ev, ev, loose):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+
+    def report(files):
+        out = ST.stream_scores(ST.rollouts_from_events(ST.event_stream(spark, str(tmp_path), max_files=files)))
+        return sorted((r.window_start, r.stage, r.n, round(r.mean_reward, 9)) for r in out.collect())
+
+    one_by_one = report(1)
+    assert sum(r[2] for r in one_by_one) == 503 and one_by_one == report(None)
