@@ -11,7 +11,7 @@ stay; a card keeps its first digit and gets the check digit that fits; the same
 date in another notation gets the same pseudonym in that notation.
 
 Formats: payment cards (Luhn), IBANs (mod 97; of the country's length, other
-codes unspaced), social security numbers, ten-digit and international phone
+codes as far as they reach), social security numbers, ten-digit and international phone
 numbers (of the country's length where the plan has one), IPv4 addresses, dates (yyyy-mm-dd,
 mm/dd/yyyy, dd.mm.yyyy from 1900 to 2099), and, symbol by symbol, the local part
 of e-mail addresses and access key ids.
@@ -59,10 +59,11 @@ def _phone_world() -> str:
 
 
 def _iban() -> str:
-    """The length follows from the country, so no word or number behind is taken; of other codes only the unspaced form has an end."""
+    """The length follows from the country, so no word or number behind is taken; of other codes the longest run is taken."""
     each = [rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
             for n, codes in IBAN_LENGTHS.items()]
-    return "|".join([*each, r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"])
+    listed = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    return "|".join([*each, r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", rf"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"])
 
 
 # Patterns of each format (fixed values); a match must also pass VALID.

@@ -141,7 +141,7 @@ def test_a_match_does_not_run_on(spark):
 
 
 def test_forms_of_old_are_still_found(spark):
-    texts = ["DE89 370400440532013000", "+49-30-901820-45", "+95 97912 34567", "+33 142 68 53 001", iban("ZZ", "12345678901", 0)]
+    texts = ["DE89 370400440532013000", "+49-30-901820-45", "+95 97912 34567", "+33 142 68 53 001", iban("ZZ", "12345678901", 0), iban("ZZ", "12345678901", 1)]
     assert [r.n_replaced for r in run(spark, texts)] == [1] * len(texts)
 
 
