@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rolloutlab.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, packing, pii, quality, substring_dedup, token_files
+from rolloutlab.llm import (conversation_repair, decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, nearest, packing, pii, quality,
+                            spelling, substring_dedup, token_files)
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_nearest_neighbours": nearest.op13_nearest_neighbours,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
