@@ -30,7 +30,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     work, and a lost executor only costs a reread."""
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` once everything read from them is written itself.
+
+    Spark removes the shuffle files of finished jobs when the driver collects its garbage; that is asked for here."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,6 +71,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     e = stored(e, label)
     n = e.count()
     if n == 0:
+        dropped(e)
         return spark.createDataFrame([], T.StructType([T.StructField("id", dtype), T.StructField("component", dtype)]))
     seen = None
     while True:
@@ -69,7 +84,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = (large.join(low2, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-        e = stored(small, label)
+        older, e = e, stored(small, label)
+        dropped(older)
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
