@@ -68,7 +68,8 @@ SELECT sub_id, res_id,
 FROM m WHERE rn = 1""")
 def q_stream_timeout_join(spark: SparkSession, sf: str) -> DataFrame:
     """Drained input, finalised: every submission scored exactly once."""
-    return ST.stream_timeout_join(spark, sf)
+    ev = ST.event_stream(spark, sf)
+    return ST.stream_timeout_join(ST.submissions(ev), ST.results(ev)).select("sub_id", "res_id", "reward")
 
 
 @register("stream_trajectory", ["ST3", "W3"], S.with_("v_rollouts", _TRAJ_TURNS_SQL, """it AS (SELECT *,
@@ -79,4 +80,4 @@ def q_stream_timeout_join(spark: SparkSession, sf: str) -> DataFrame:
        coalesce(st.turn = fs.stop_turn, false) AS should_stop
 FROM st JOIN fs USING (conv_id) WHERE fs.stop_turn IS NULL OR st.turn <= fs.stop_turn"""))
 def q_stream_trajectory(spark: SparkSession, sf: str) -> DataFrame:
-    return ST.stream_trajectory(spark, sf)
+    return ST.stream_trajectory(ST.turns(ST.event_stream(spark, sf)))

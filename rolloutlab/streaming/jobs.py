@@ -1,21 +1,24 @@
 """Streaming jobs (ST1-ST3): online scoring reports, time-out joins and
 per-conversation trajectories with Structured Streaming.
 
-Sources are file streams with an explicit schema; event time is cast to
-``timestamp`` (watermarks reject ``timestamp_ntz``). Checkpoints and sinks live
-under the shared checkpoint folder, so a restarted driver or a lost executor
-resumes from the last committed batch.
+Each job takes streaming DataFrames and, together, a folder ``out`` for its
+results and a ``checkpoint`` folder for offsets and state. A later call with the
+same two folders reads only what has arrived since and goes on from the stored
+state; without them (both) a call has folders of its own below the shared
+checkpoint folder. Event time is a ``timestamp`` (watermarks reject
+``timestamp_ntz``). Batches write folders of their own, which a retried batch
+overwrites, or use the exactly-once file sink.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rolloutlab.session import checkpoint_dir
@@ -49,131 +52,226 @@ def rollouts_from_events(ev: DataFrame) -> DataFrame:
         .when(et == "purchase", (F.col("event_id") % 3 + 1).cast("double")).alias("reward"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def submissions(ev: DataFrame) -> DataFrame:
+    """The click events as submissions: sub_id, key, ts."""
+    return ev.where(F.col("event_type") == "click").select(F.col("event_id").alias("sub_id"), F.col("user_id").alias("key"), "ts")
 
 
-def stream_scores(rollouts: DataFrame, window: str = "1 day", out: str | None = None) -> DataFrame:
+def results(ev: DataFrame) -> DataFrame:
+    """The view events as results: res_id, key, ts, value."""
+    return ev.where(F.col("event_type") == "view").select(F.col("event_id").alias("res_id"), F.col("user_id").alias("key"), "ts", "value")
+
+
+def turns(ev: DataFrame) -> DataFrame:
+    """The scored events as conversation turns: conv_id, turn, ts, reward, text."""
+    return rollouts_from_events(ev).select(
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "ts", "reward",
+        F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code")).alias("text"))
+
+
+def _folders(spark: SparkSession, name: str, out: str | None, checkpoint: str | None) -> tuple[str, str]:
+    if (out is None) != (checkpoint is None):
+        raise ValueError("out and checkpoint belong together: the results of one checkpoint are in one folder")
+    if out is None:
+        out, checkpoint = (f"{checkpoint_dir(spark)}/{name}-{kind}-{uuid.uuid4().hex}" for kind in ("out", "state"))
+    return out.rstrip("/"), checkpoint.rstrip("/")
+
+
+def _drain(writer, checkpoint: str) -> None:
+    """Run a query over everything that has arrived."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _by_batch(stream: DataFrame, out: str, schema: str, checkpoint: str) -> DataFrame:
+    """Write every micro-batch's updated rows to ``out/batch=<number>`` with their ``batch``; return them all."""
+    spark = stream.sparkSession
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _drain(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+    schema = f"{schema}, batch long"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/none")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(out)
+
+
+def stream_scores(rollouts: DataFrame, window: str = "1 day", delay: str | None = None, out: str | None = None,
+                  checkpoint: str | None = None) -> DataFrame:
     """ST1: per event-time window and stage, completion count and mean reward of a
     streaming DataFrame (event_id, ts, stage, reward).
 
-    Each micro-batch writes its events (id, time, stage, reward) to a folder of
-    its own, which a retried batch overwrites; the report counts the ids. So
-    there is no state to bound, no watermark and no row is too late: any order
-    of any number of files gives the batch result. An id that comes again, in
-    the same or a later file, counts once, as its smallest (ts, stage, reward);
-    events without an id all count."""
-    spark = rollouts.sparkSession
-    out = out or _scratch(spark, "st1-out")
-    schema = T.StructType([T.StructField("event_id", rollouts.schema["event_id"].dataType), T.StructField("ts", T.TimestampType()),
-                           T.StructField("stage", T.StringType()), T.StructField("reward", T.DoubleType())])
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "stage", F.col("reward").cast("double").alias("reward")
-                     ).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-
-    q = (rollouts.writeStream.foreachBatch(write).option("checkpointLocation", _scratch(spark, "st1-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    res = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(out)
-    once = res.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("ts", "stage", "reward")).alias("e")).select("e.*")
-    rows = once.unionAll(res.where("event_id IS NULL").select("ts", "stage", "reward"))
-    return (rows.groupBy(F.window("ts", window).alias("w"), "stage")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward"))
-            .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "n", "mean_reward"))
-
-
-def stream_timeout_join(spark: SparkSession, sf_dir: str, within: str = "6 hours", default: float = -1.0,
-                        out: str | None = None, finalise: bool = True) -> DataFrame:
-    """ST2: each submission (click) is paired with a result (view) of the same
-    user arriving within ``within``; submissions without a result in time get
-    ``default``. Stream-stream left outer join with watermarks on both sides;
-    unmatched rows are emitted once the watermark passes them. The earliest
-    result per submission is kept when reading the sink.
-
-    On a finite input drained with ``availableNow`` the last unmatched
-    submissions are still waiting for a watermark that never comes (T6).
-    With ``finalise`` they are scored here: matched pairs are always emitted at
-    once, so a submission missing from the sink has no result in time and gets
-    ``default`` (an anti-join of the source's submissions with the sink)."""
-    out = out or _scratch(spark, "st2-out")
-    ev = event_stream(spark, sf_dir)
-    subs = (ev.where(F.col("event_type") == "click")
-            .select(F.col("event_id").alias("sub_id"), F.col("user_id").alias("sub_user"), F.col("ts").alias("sub_ts"))
-            .withWatermark("sub_ts", "1 hour"))
-    res = (ev.where(F.col("event_type") == "view")
-           .select(F.col("event_id").alias("res_id"), F.col("user_id").alias("res_user"), F.col("ts").alias("res_ts"),
-                   F.col("value").alias("res_value"))
-           .withWatermark("res_ts", "1 hour"))
-    cond = ((F.col("sub_user") == F.col("res_user")) & (F.col("res_ts") >= F.col("sub_ts"))
-            & (F.col("res_ts") <= F.col("sub_ts") + F.expr(f"INTERVAL {within}")))
-    j = subs.join(res, cond, "leftOuter")
-    q = (j.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", _scratch(spark, "st2-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    drained = spark.read.schema("sub_id bigint, sub_user bigint, sub_ts timestamp, res_id bigint, "
-                                "res_user bigint, res_ts timestamp, res_value double").parquet(out)
-    first = (drained.groupBy("sub_id")
-             .agg(F.min_by(F.struct("res_ts", "res_id", "res_value"), F.struct("res_ts", "res_id")).alias("r"))
-             .select("sub_id", F.col("r.res_id").alias("res_id"), F.col("r.res_value").alias("res_value")))
-    if finalise:
-        all_subs = (spark.read.schema(EVENT_SCHEMA).parquet(event_path(sf_dir))
-                    .where(F.col("event_type") == "click").select(F.col("event_id").alias("sub_id")))
-        waiting = all_subs.join(first.select("sub_id"), "sub_id", "left_anti").select(
-            "sub_id", F.lit(None).cast("bigint").alias("res_id"), F.lit(None).cast("double").alias("res_value"))
-        first = first.unionByName(waiting)
-    return first.select("sub_id", "res_id",
-                        F.when(F.col("res_id").isNull(), F.lit(default))
-                        .otherwise(F.least(F.lit(0.8), F.greatest(F.lit(0.05), F.lit(0.8) / (1 + F.sqrt("res_value")))))
-                        .alias("reward"))
+    The stream keeps the state: ids that came already (an id that comes again, in
+    the same or a later file, does not count; events without an id all count) and
+    the count and sum of every window and stage. A batch writes the windows it
+    changed, and the report takes each window's latest row, so no event is read
+    twice. Without ``delay`` no row is too late and all ids are kept; with it, ids
+    are kept and windows open until the watermark has passed them."""
+    out, checkpoint = _folders(rollouts.sparkSession, "st1", out, checkpoint)
+    rows = rollouts.select(F.coalesce(F.col("event_id").cast("string"), F.expr("uuid()")).alias("id"), F.col("ts").cast("timestamp").alias("ts"),
+                           "stage", F.col("reward").cast("double").alias("reward"))
+    once = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"]) if delay else rows.dropDuplicates(["id"])
+    counts = (once.groupBy(F.window("ts", window).alias("w"), "stage")
+              .agg(F.count(F.lit(1)).alias("n"), F.count("reward").alias("n_reward"), F.sum("reward").alias("total"))
+              .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "n", "n_reward", "total"))
+    every = _by_batch(counts, out, "window_start string, stage string, n long, n_reward long, total double", checkpoint)
+    last = every.groupBy("window_start", "stage").agg(F.max_by(F.struct("n", "n_reward", "total"), "batch").alias("s"))
+    return last.select("window_start", "stage", "s.n", (F.col("s.total") / F.when(F.col("s.n_reward") > 0, F.col("s.n_reward"))).alias("mean_reward"))
+
+
+_OPEN = "subs array<struct<id:long,ts:long>>, results array<struct<ts:long,id:long,value:double>>"
+
+
+def _decide_fn(within_ms: int):
+    """Holds the open submissions of one (key, time bucket) and emits each once: with its earliest result as soon as no
+    earlier one can come, or without one when its time has passed."""
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        subs, found = [[tuple(x) for x in (part or [])] for part in (state.get if state.exists else ([], []))]
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                for is_result, id_, ts, value in zip(pdf["is_result"], pdf["id"], pdf["ms"], pdf["value"]):
+                    if is_result:
+                        insort(found, (int(ts), int(id_), None if pd.isna(value) else float(value)))
+                    else:
+                        subs.append((int(id_), int(ts)))
+        now = state.getCurrentWatermarkMs()
+        out, waiting, due = [], [], []
+        for id_, ts in subs:
+            best = next((r for r in found if ts <= r[0] <= ts + within_ms), None)
+            until = best[0] if best else ts + within_ms
+            if until < now:                       # nothing that is not late can change it
+                out.append((id_, best[1] if best else None, best[2] if best else None))
+            else:
+                waiting.append((id_, ts))
+                due.append(until)
+        first = min([ts for _, ts in waiting], default=now)
+        found = [r for r in found if r[0] >= min(first, now)]
+        if waiting or found:
+            state.update(([list(x) for x in waiting], [list(x) for x in found]))
+            state.setTimeoutTimestamp(max(min(due, default=found[-1][0] if found else now), now) + 1)
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=["sub_id", "res_id", "res_value"]).astype({"sub_id": "int64", "res_id": "Int64", "res_value": "float64"})
+
+    return fn
+
+
+def earliest_result(subs: DataFrame, res: DataFrame, within_s: int) -> DataFrame:
+    """sub_id, res_id, res_value: each submission's earliest result of its key within the time, by a running window per
+    key and time bucket (a result stands in its own bucket and the one before), never by pairs."""
+    bucket = F.floor(F.unix_micros("ts") / F.lit(within_s * 1_000_000)).cast("long")
+    left = subs.select("key", bucket.alias("b"), "ts", "sub_id", F.lit(None).cast("struct<ts:timestamp,res_id:bigint,res_value:double>").alias("r"))
+    right = res.select("key", F.explode(F.array(bucket, bucket - 1)).alias("b"), "ts", F.lit(None).cast("long").alias("sub_id"),
+                       F.struct("ts", "res_id", F.col("value").alias("res_value")).alias("r"))
+    # from the latest on; at one time the results come first, the smallest id last
+    order = Window.partitionBy("key", "b").orderBy(F.desc("ts"), F.col("r").isNull().asc(), F.desc("r.res_id")).rowsBetween(Window.unboundedPreceding, 0)
+    near = left.unionAll(right).withColumn("next", F.last("r", True).over(order)).where("sub_id IS NOT NULL")
+    return near.select("sub_id", F.when(F.col("next.ts") <= F.col("ts") + F.expr(f"INTERVAL {within_s} SECONDS"), F.col("next")).alias("n")).select(
+        "sub_id", "n.res_id", "n.res_value")
+
+
+def stream_timeout_join(subs: DataFrame, res: DataFrame, within_s: int = 6 * 3600, default: float = -1.0, delay: str = "1 hour",
+                        out: str | None = None, checkpoint: str | None = None, finalise: bool = True) -> DataFrame:
+    """ST2: each submission (sub_id, key, ts) is paired with the earliest result (res_id, key, ts, value) of its key that
+    comes within ``within_s`` seconds; submissions without one get ``default``.
+
+    State holds the open submissions per key and time bucket of that length, so a busy key is spread over many groups. A
+    submission is emitted once: with its result when the watermark has passed that, or without when its time is over;
+    event-time timers do both. Rows behind the watermark (``delay``) do not reach the state; all rows are also written
+    to ``out/seen``, from which submissions that got none, or never came out, are looked up again: ``late`` marks a
+    result that came too late for the stream, and a submission that was itself late.
+
+    On a finite input the last submissions wait for a watermark that never comes (T6). With ``finalise`` they are
+    returned too, with the result seen so far or ``default`` (``late`` is false)."""
+    spark = subs.sparkSession
+    out, checkpoint = _folders(spark, "st2", out, checkpoint)
+    both = subs.select(F.lit(False).alias("is_result"), F.col("sub_id").alias("id"), "key", "ts", F.lit(None).cast("double").alias("value")).unionAll(
+        res.select(F.lit(True), F.col("res_id"), "key", "ts", "value"))
+    schema = "is_result boolean, id bigint, key bigint, ts timestamp, value double"
+    bucket = F.floor(F.unix_micros("ts") / F.lit(within_s * 1_000_000)).cast("long")
+    dealt = (both.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+             .withColumn("b", F.explode(F.when(F.col("is_result"), F.array(bucket, bucket - 1)).otherwise(F.array(bucket)))))
+    decided = dealt.groupBy("key", "b").applyInPandasWithState(_decide_fn(within_s * 1000), "sub_id long, res_id long, res_value double", _OPEN,
+                                                               "append", GroupStateTimeout.EventTimeTimeout)
+    for name, stream in (("decided", decided), ("seen", both)):
+        _drain(stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/{name}"), f"{checkpoint}/{name}")
+    done = spark.read.schema("sub_id long, res_id long, res_value double").parquet(f"{out}/decided")
+    seen = spark.read.schema(schema).parquet(f"{out}/seen")
+    all_subs = seen.where("NOT is_result").select(F.col("id").alias("sub_id"), "key", "ts")
+    all_res = seen.where("is_result").select(F.col("id").alias("res_id"), "key", "ts", "value")
+    found = done.where("res_id IS NOT NULL").withColumn("late", F.lit(False))
+    none = done.where("res_id IS NULL").select("sub_id", F.lit(True).alias("timed_out"))
+    # looked up again: timed-out submissions, and those that never came out (still open, or themselves late)
+    rest = all_subs.join(found.select("sub_id"), "sub_id", "left_anti").join(none, "sub_id", "left")
+    last = seen.agg(F.max("ts") - F.expr(f"INTERVAL {delay}")).scalar()
+    again = (earliest_result(rest, all_res, within_s).join(rest.select("sub_id", "ts", "timed_out"), "sub_id")
+             .withColumn("open", F.col("timed_out").isNull() & (F.col("ts") + F.expr(f"INTERVAL {within_s} SECONDS") >= last)))
+    if not finalise:
+        again = again.where("NOT open")
+    again = again.select("sub_id", "res_id", "res_value", (~F.col("open") & (F.col("res_id").isNotNull() | F.col("timed_out").isNull())).alias("late"))
+    return found.unionByName(again).select(
+        "sub_id", "res_id", F.when(F.col("res_id").isNull(), F.lit(default))
+        .otherwise(F.least(F.lit(0.8), F.greatest(F.lit(0.05), F.lit(0.8) / (1 + F.sqrt("res_value"))))).alias("reward"), "late")
 
 
 TRAJ_OUT = "conv_id long, turn long, reward double, text string, iteration long, should_stop boolean"
-TRAJ_STATE = "iteration long, stopped boolean"
+TRAJ_STATE = "turns array<struct<turn:long,reward:double,text:string>>"
 
 
 def _trajectory_fn(max_iterations: int, stop_reward: float, idle_ms: int):
+    """Keeps a conversation's first turns up to the stop; turns behind the stop can never matter and are let go.
+
+    A turn that comes late moves the stop to an earlier turn at most, so whatever the order of arrival the turns kept
+    are those of the batch operator. The batch's rows are taken as they come, never gathered."""
+
+    def cut(rows: list) -> list:
+        for i, (_, reward, text) in enumerate(rows):
+            if text and (reward is not None and reward >= stop_reward or i + 1 >= max_iterations):
+                return rows[:i + 1]
+        return rows
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            # idle past the time-out (event time): the conversation's state is dropped
             state.remove()
             return
-        rows = pd.concat(list(pdfs)).sort_values("turn")
-        it, stopped = state.get if state.exists else (0, False)
-        out = []
-        if not stopped:
-            for rec in rows.itertuples(index=False):
-                it += 1
-                stop = bool(rec.text) and (rec.reward >= stop_reward or it >= max_iterations)
-                out.append((key[0], rec.turn, rec.reward, rec.text, it, stop))
-                if stop:
-                    stopped = True
-                    break
-        # a finished conversation keeps only a two-field tombstone until it has
-        # been idle for the time-out, so its later turns are dropped
-        state.update((it, stopped))
-        last_ms = int(pd.Timestamp(rows["ts"].max()).value // 1_000_000)
-        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "reward", "text", "iteration", "should_stop"])
+        rows = [tuple(x) for x in state.get[0]] if state.exists else []
+        known, last = {r[0] for r in rows}, 0
+        stopped = bool(rows) and _is_stop(rows[-1], len(rows), max_iterations, stop_reward)
+        changed = False
+        for pdf in pdfs:
+            last = max(last, int(pdf["ms"].max()))
+            for turn, reward, text in zip(pdf["turn"], pdf["reward"], pdf["text"]):
+                if turn in known or stopped and turn > rows[-1][0]:
+                    continue
+                insort(rows, (int(turn), None if pd.isna(reward) else float(reward), text), key=lambda r: r[0])
+                rows = cut(rows)
+                known, changed = {r[0] for r in rows}, True
+                stopped = _is_stop(rows[-1], len(rows), max_iterations, stop_reward)
+        state.update(([list(r) for r in rows],))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        if changed:
+            yield pd.DataFrame([(key[0], *r, i + 1, stopped and i + 1 == len(rows)) for i, r in enumerate(rows)],
+                               columns=["conv_id", "turn", "reward", "text", "iteration", "should_stop"])
+
     return fn
 
 
-def stream_trajectory(spark: SparkSession, sf_dir: str, max_iterations: int = 20, stop_reward: float = 3.0,
-                      idle_hours: int = 24 * 30, watermark: str = "1 hour", out: str | None = None) -> DataFrame:
-    """ST3: keyed iteration count and stop rule per conversation with
-    ``applyInPandasWithState``; turns after the stop are dropped and a stopped
-    conversation keeps only a tombstone flag. State of a conversation idle for
-    ``idle_hours`` of event time is removed (time-out), so state is bounded by
-    the conversations active within that span. Batch twin: ``history.trajectory``."""
-    out = out or _scratch(spark, "st3-out")
-    turns = (rollouts_from_events(event_stream(spark, sf_dir))
-             .select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "ts", "reward",
-                     F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code")).alias("text"))
-             .withWatermark("ts", watermark))
-    res = turns.groupBy("conv_id").applyInPandasWithState(
-        _trajectory_fn(max_iterations, stop_reward, idle_hours * 3_600_000), TRAJ_OUT, TRAJ_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    q = (res.writeStream.format("parquet").option("path", out).outputMode("append")
-         .option("checkpointLocation", _scratch(spark, "st3-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def _is_stop(row: tuple, n: int, max_iterations: int, stop_reward: float) -> bool:
+    return bool(row[2]) and (row[1] is not None and row[1] >= stop_reward or n >= max_iterations)
+
+
+def stream_trajectory(turns: DataFrame, max_iterations: int = 20, stop_reward: float = 3.0, idle_hours: int = 24 * 365,
+                      watermark: str = "30 days", out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """ST3: keyed iteration count and stop rule per conversation over a streaming DataFrame (conv_id, turn, ts, reward, text).
+
+    State is the conversation's turns up to its stop (about ``max_iterations`` of them), kept until it has been idle for
+    ``idle_hours`` of event time. A batch writes the conversations that it changed, whole, and the result takes each
+    one's latest version, so turns may come in any order over any number of files, and again. Rows behind the
+    ``watermark`` are dropped. Batch twin: ``history.trajectory``."""
+    out, checkpoint = _folders(turns.sparkSession, "st3", out, checkpoint)
+    rows = turns.withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
+    kept = rows.groupBy("conv_id").applyInPandasWithState(_trajectory_fn(max_iterations, stop_reward, idle_hours * 3_600_000), TRAJ_OUT, TRAJ_STATE,
+                                                          "update", GroupStateTimeout.EventTimeTimeout)
+    every = _by_batch(kept, out, TRAJ_OUT, checkpoint)
+    last = every.groupBy("conv_id").agg(F.max("batch").alias("batch")).select(F.col("conv_id").alias("_c"), F.col("batch").alias("_b"))
+    return every.join(last, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("batch") == F.col("_b"))).drop("_c", "_b", "batch")
