@@ -2,9 +2,10 @@
 
 Two plan shapes for the same semantics:
 
-* join form (J1-J3): op occurrences as rows, broadcast hash join for exact
-  names, a nested-loop join against the broadcast dictionary for the fuzzy
-  pass, run on the *distinct unmatched names* only.
+* join form (J1-J3): op occurrences as rows, an equi join for exact names, and
+  for the fuzzy pass, run on the *distinct unmatched names* only, an inverted
+  index of character grams (a dictionary of proven small size is broadcast and
+  scanned instead).
 * row-local form (``reference_text``): the dictionary is a fixed table of at
   most a few hundred entries, so it is embedded in the expression as a literal
   map (exact) and a literal array (ordered fuzzy scan). Each sample row is
@@ -45,18 +46,55 @@ def match_exact(occ: DataFrame, dictionary: DataFrame, small: bool = False) -> D
     return occ.join(d, "op", "left")
 
 
+GRAM = 3
+
+
+def _grams(text: str, length: int) -> str:
+    return f"transform(sequence(1, length({text}) - {length - 1}), i -> substring({text}, i, {length}))"
+
+
+def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(s, t) for every text ``s`` of ``inner`` that stands in a text ``t`` of ``outer`` (distinct, not empty), through
+    an inverted index of character grams.
+
+    Every text of ``outer`` is listed under its grams of up to three characters; ``s`` is looked up under one gram only,
+    the one of its own with the shortest list, and what is found there is compared."""
+    every = " , ".join(f"IF(length(t) >= {n}, {_grams('t', n)}, array())" for n in range(1, GRAM + 1))
+    index = outer.select("t", F.explode(F.expr(f"array_distinct(concat({every}))")).alias("gram"))
+    lengths = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = inner.select("s", F.explode(F.expr(f"IF(length(s) < {GRAM}, array(s), array_distinct({_grams('s', GRAM)}))")).alias("gram"))
+    # a gram that no text holds rules the text out: it has the shortest list, which is empty
+    best = (own.join(lengths, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+            .where("g.n > 0").select("s", F.col("g.gram").alias("gram")))
+    return best.join(index, "gram").where(F.contains("t", F.col("s"))).select("s", "t")
+
+
 def match_fuzzy(occ: DataFrame, dictionary: DataFrame, small: bool = False) -> DataFrame:
     """For rows whose ``key`` is null, case-insensitive containment in either
     direction; the first dictionary entry in order wins.
 
-    The theta join runs on the distinct unmatched names against the broadcast
-    dictionary (linear in distinct names x dictionary size); the result is
-    joined back on the name."""
+    Only the distinct unmatched names are compared, and the result is joined
+    back on the name. With ``small`` (a dictionary of proven small size) the names
+    meet the broadcast dictionary; otherwise candidates come from an inverted
+    index of character grams, once per direction, so no name meets every entry."""
     names = occ.where(F.col("key").isNull()).select("op").distinct()
     d = _dim(dictionary.select("ord", F.lower("map_op").alias("lop"), F.col("key").alias("fkey")), small)
-    lo = F.lower(F.col("op"))
-    hits = (names.join(d, F.contains(lo, F.col("lop")) | F.contains(F.col("lop"), lo), "inner")
-            .groupBy("op").agg(F.min_by("fkey", "ord").alias("fkey")))
+    if small:
+        lo = F.lower(F.col("op"))
+        pairs = names.join(d, F.contains(lo, F.col("lop")) | F.contains(F.col("lop"), lo), "inner").select("op", "ord", "fkey")
+    else:
+        low = names.where("op IS NOT NULL").select("op", F.lower("op").alias("lo"))
+        first = d.where("lop IS NOT NULL").groupBy("lop").agg(F.min_by(F.struct("ord", "fkey"), "ord").alias("e")).select("lop", "e.*")
+        entries, texts = first.where("lop <> ''").select("lop"), low.where("lo <> ''").select("lo").distinct()
+        met = (contained_pairs(entries.select(F.col("lop").alias("s")), texts.select(F.col("lo").alias("t"))).select(F.col("s").alias("lop"), F.col("t").alias("lo"))
+               .unionAll(contained_pairs(texts.select(F.col("lo").alias("s")), entries.select(F.col("lop").alias("t"))).select(F.col("t").alias("lop"), F.col("s").alias("lo"))))
+        pairs = met.join(first, "lop").join(low, "lo").select("op", "ord", "fkey")
+        # an empty entry stands in every name, an empty name in every entry
+        empty = first.where("lop = ''").select(F.struct("ord", "fkey").alias("e")).scalar()
+        least = first.agg(F.min_by(F.struct("ord", "fkey"), "ord").alias("e")).scalar()
+        always = low.select("op", F.when(F.col("lo") == "", least).otherwise(empty).alias("e")).where("e IS NOT NULL").select("op", "e.ord", "e.fkey")
+        pairs = pairs.unionAll(always)
+    hits = pairs.groupBy("op").agg(F.min_by("fkey", "ord").alias("fkey"))
     return (occ.join(hits, "op", "left")
             .withColumn("key", F.coalesce("key", "fkey")).drop("fkey"))
 

@@ -66,17 +66,38 @@ def batch_norm(df: DataFrame, col: str, eps: float = 1e-5, scale: float = 1.0, b
 
 
 # ---------------------------------------------------------------- matrices
+BLOCK = 4096           # rows of a key that one task takes from either side of a product
+
+
 def _dedupe(m: DataFrame, keys: list[str]) -> DataFrame:
     return m.groupBy(*keys).agg(F.sum("v").alias("v"))
 
 
-def matmul(a: DataFrame, b: DataFrame, batch: list[str] | None = None) -> DataFrame:
+def block_join(a: DataFrame, b: DataFrame, keys: list[str], a_rest: list[str], b_rest: list[str], block: int = BLOCK) -> DataFrame:
+    """Inner join on ``keys`` in which no task meets more than about ``block`` rows of a key from either side.
+
+    Rows are counted per key. A key with more rows than a block is dealt to a grid: its rows of ``a`` to row blocks
+    (by ``a_rest``), each copied to every column block, and its rows of ``b`` the other way round, so every pair meets in
+    exactly one cell of the grid. All other keys are one cell."""
+    na, nb = (m.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(n)) for m, n in ((a, "_ra"), (b, "_rb")))
+    heavy = na.join(nb, keys).where("_ra > 1 OR _rb > 1")
+
+    def dealt(m: DataFrame, rest: list[str], own: str, other: str) -> DataFrame:
+        m = m.join(heavy, keys, "left")
+        place = F.pmod(F.xxhash64(*rest), F.coalesce(own, F.lit(1))).cast("int")
+        return m.withColumn(f"{own}_at", place).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop(own, other)
+
+    return dealt(a, a_rest, "_ra", "_rb").join(dealt(b, b_rest, "_rb", "_ra"), [*keys, "_ra_at", "_rb_at"]).drop("_ra_at", "_rb_at")
+
+
+def matmul(a: DataFrame, b: DataFrame, batch: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """M1: C[i,j] = sum_k A[i,k] B[k,j] on COO tables (``batch`` keys for bmm).
-    Duplicate coordinates are summed first, so the join sees one row per cell."""
+    Duplicate coordinates are summed first, so the join sees one row per cell; a
+    heavy k is a block product."""
     batch = batch or []
     a1 = _dedupe(a, [*batch, "i", "k"]).withColumnRenamed("v", "_a")
     b1 = _dedupe(b, [*batch, "k", "j"]).withColumnRenamed("v", "_b")
-    return (a1.join(b1, [*batch, "k"]).groupBy(*batch, "i", "j")
+    return (block_join(a1, b1, [*batch, "k"], ["i"], ["j"], block).groupBy(*batch, "i", "j")
             .agg(F.sum(F.col("_a") * F.col("_b")).alias("v")))
 
 
@@ -99,12 +120,13 @@ def linear(x: DataFrame, w: DataFrame, bias: DataFrame | None = None) -> DataFra
         "i", "j", (F.col("v") + F.coalesce("_bias", F.lit(0.0))).alias("v"))
 
 
-def conv1x1(x: DataFrame, w: DataFrame) -> DataFrame:
+def conv1x1(x: DataFrame, w: DataFrame, block: int = BLOCK) -> DataFrame:
     """M2: y[b, c_out, p] = sum_{c_in} w[c_out, c_in] * x[b, c_in, p]: a matrix
-    product over the channel index at every (batch, position)."""
+    product over the channel index at every (batch, position); a heavy channel is
+    a block product."""
     x1 = x.groupBy("batch", "c_in", "p").agg(F.sum("v").alias("_x"))
     w1 = w.groupBy("c_out", "c_in").agg(F.sum("v").alias("_w"))
-    return (x1.join(w1, "c_in").groupBy("batch", "c_out", "p")
+    return (block_join(x1, w1, ["c_in"], ["batch", "p"], ["c_out"], block).groupBy("batch", "c_out", "p")
             .agg(F.sum(F.col("_x") * F.col("_w")).alias("v")))
 
 
