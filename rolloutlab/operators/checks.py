@@ -60,23 +60,37 @@ def mse_table(pairs: DataFrame, keys: list[str], actual: str = "actual", expecte
     return pairs.groupBy(*keys).agg(F.avg(d * d).alias("mse"))
 
 
+def _flat(tensor: Column, dtype: T.DataType) -> Column:
+    """The elements of an n-dimensional tensor in order."""
+    while isinstance(dtype.elementType, T.ArrayType):
+        tensor, dtype = F.flatten(tensor), dtype.elementType
+    return tensor
+
+
 def check_outcomes(checks: DataFrame, actual: str = "actual", expected: str = "expected",
-                   atol: float = ATOL, rtol: float = RTOL) -> DataFrame:
-    """Per check row: ``shape_ok``, ``passed`` and ``mse`` (only for shape-ok failures)."""
-    ok = shape_ok(actual, expected)
-    passed = close(actual, expected, atol, rtol)
-    return (checks.withColumn("shape_ok", ok).withColumn("passed", passed)
-            .withColumn("mse", F.when(ok & ~F.col("passed"), mse(actual, expected))))
+                   atol: float = ATOL, rtol: float = RTOL, actual_dtype: str | None = None, expected_dtype: str | None = None) -> DataFrame:
+    """Per check row: ``shape_ok``, ``passed`` and ``mse`` (only for shape-ok failures).
+
+    Tensors of any number of dimensions need equal lengths at every level and, where the columns that name their element
+    types are given, equal types (K2)."""
+    dtype = checks.schema[expected].dataType
+    ok = same_shape(F.col(actual), F.col(expected), dtype)
+    if actual_dtype is not None and expected_dtype is not None:
+        ok = ok & F.coalesce(F.col(actual_dtype) == F.col(expected_dtype), F.lit(False))
+    a, e = _flat(F.col(actual), dtype), _flat(F.col(expected), dtype)
+    return (checks.withColumn("shape_ok", ok).withColumn("passed", F.col("shape_ok") & close(a, e, atol, rtol))
+            .withColumn("mse", F.when(F.col("shape_ok") & ~F.col("passed"), mse(a, e))))
 
 
 def roll_up_checks(checks: DataFrame, key: str = "model_id", n: int = N_CHECKS,
-                   actual: str = "actual", expected: str = "expected") -> DataFrame:
+                   actual: str = "actual", expected: str = "expected", actual_dtype: str | None = None,
+                   expected_dtype: str | None = None) -> DataFrame:
     """A1: per model pass count, shape-ok count, verdict and avg MSE.
 
     Verdict: all ``n`` pass -> PASS; some pass -> PARTIAL_PASS; none pass but
     some shape-ok -> SHAPE_OK (avg MSE = summed failure MSE / shape-ok count);
     else FAIL. Missing check rows count as failed checks."""
-    out = check_outcomes(checks, actual, expected)
+    out = check_outcomes(checks, actual, expected, actual_dtype=actual_dtype, expected_dtype=expected_dtype)
     agg = out.groupBy(key).agg(
         F.count_if("passed").cast("long").alias("pass_count"),
         F.count_if("shape_ok").cast("long").alias("shape_ok_count"),
@@ -145,20 +159,63 @@ def pair_outputs(actual: DataFrame, expected: DataFrame, keys: list[str], extra_
             .drop("_a", "_e"))
 
 
+def paired_leaves(actual: Column, expected: Column, dtype: T.DataType, in_actual: Column | None = None, in_expected: Column | None = None,
+                  path: Column | None = None) -> Column:
+    """J7 in the row: ``array<struct<path, status, actual, expected>>`` of the numeric leaves of two nested values.
+
+    The pairing is compiled from the type: arrays pair by index, maps by key, structs by field; a leaf is ``matched``,
+    ``missing`` (expected only) or ``extra`` (actual only). Nothing is exploded."""
+    yes = F.lit(True)
+    in_a, in_e = yes if in_actual is None else in_actual, yes if in_expected is None else in_expected
+    path = F.lit("") if path is None else path
+    if isinstance(dtype, T.ArrayType):
+        na, ne = (F.when(there & c.isNotNull(), F.size(c)).otherwise(0) for there, c in ((in_a, actual), (in_e, expected)))
+        longest = F.greatest(na, ne)
+        places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(places, lambda i: paired_leaves(
+            F.get(actual, i), F.get(expected, i), dtype.elementType, i < na, i < ne, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    if isinstance(dtype, T.MapType):
+        ka, ke = (F.when(there & c.isNotNull(), F.map_keys(c)).otherwise(F.array().cast(T.ArrayType(dtype.keyType)))
+                  for there, c in ((in_a, actual), (in_e, expected)))
+        return F.flatten(F.transform(F.array_union(ka, ke), lambda k: paired_leaves(
+            F.try_element_at(actual, k), F.try_element_at(expected, k), dtype.valueType, F.array_contains(ka, k), F.array_contains(ke, k),
+            F.concat(path, F.lit("{"), k.cast("string"), F.lit("}")))))
+    if isinstance(dtype, T.StructType):
+        return F.concat(*(paired_leaves(actual[f.name], expected[f.name], f.dataType, in_a, in_e, F.concat(path, F.lit("." + f.name)))
+                          for f in dtype.fields))
+    status = F.when(in_a & in_e, "matched").when(in_e, "missing").otherwise("extra")
+    return F.array(F.struct(path.alias("path"), status.alias("status"), actual.cast("double").alias("actual"), expected.cast("double").alias("expected")))
+
+
+def _paired(actual: DataFrame, expected: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """(keys, leaves): one join on the keys, the leaves paired in its rows."""
+    dtype = actual.schema[col].dataType
+    a = actual.select(*keys, F.col(col).alias("_a"), F.lit(True).alias("_in_a"))
+    e = expected.select(*keys, F.col(col).alias("_e"), F.lit(True).alias("_in_e"))
+    there = lambda c: F.coalesce(c, F.lit(False))
+    return a.join(e, keys, "full_outer").select(*keys, paired_leaves(
+        F.col("_a"), F.col("_e"), dtype, there("_in_a"), there("_in_e"), F.lit(col)).alias("leaves")).where(F.size("leaves") > 0)
+
+
+def pair_nested(actual: DataFrame, expected: DataFrame, keys: list[str], col: str, extra_ok: bool = True) -> DataFrame:
+    """J7 of a nested column: (keys, path, status, actual, expected, allowed), one row per leaf; only keys are shuffled."""
+    return (_paired(actual, expected, keys, col).select(*keys, F.inline("leaves"))
+            .withColumn("allowed", (F.col("status") != "extra") | F.lit(extra_ok)))
+
+
 def compare_nested(actual: DataFrame, expected: DataFrame, keys: list[str], col: str,
                    atol: float = ATOL, rtol: float = RTOL, extra_ok: bool = False) -> DataFrame:
     """K3: per key, counts of matched/missing/extra/close leaves and ``ok``:
-    no missing leaf, no disallowed extra, every matched leaf close."""
-    pairs = pair_outputs(flatten_leaves(actual, keys, col), flatten_leaves(expected, keys, col), keys, extra_ok)
-    close_ = element_close(F.col("actual"), F.col("expected"), atol, rtol)
-    agg = pairs.groupBy(*keys).agg(
-        F.count_if(F.col("status") == "matched").cast("long").alias("n_matched"),
-        F.count_if(F.col("status") == "missing").cast("long").alias("n_missing"),
-        F.count_if(F.col("status") == "extra").cast("long").alias("n_extra"),
-        F.count_if((F.col("status") == "matched") & close_).cast("long").alias("n_close"),
-        F.count_if(~F.col("allowed")).alias("_bad"))
-    ok = (F.col("n_missing") == 0) & (F.col("_bad") == 0) & (F.col("n_close") == F.col("n_matched"))
-    return agg.withColumn("ok", ok).drop("_bad")
+    no missing leaf, no disallowed extra, every matched leaf close. One row of
+    either side per key."""
+    def count(wanted: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter("leaves", wanted)).cast("long")
+
+    n = _paired(actual, expected, keys, col).select(
+        *keys, count(lambda x: x["status"] == "matched").alias("n_matched"), count(lambda x: x["status"] == "missing").alias("n_missing"),
+        count(lambda x: x["status"] == "extra").alias("n_extra"),
+        count(lambda x: (x["status"] == "matched") & element_close(x["actual"], x["expected"], atol, rtol)).alias("n_close"))
+    return n.withColumn("ok", (F.col("n_missing") == 0) & (F.lit(extra_ok) | (F.col("n_extra") == 0)) & (F.col("n_close") == F.col("n_matched")))
 
 
 def _is_tensor(t: T.DataType) -> bool:

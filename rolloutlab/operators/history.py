@@ -8,11 +8,12 @@ bounded number of rows per key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rolloutlab.operators.joins import join_null_safe
 from rolloutlab.operators.sampling import ranked_within
 
 ERROR_STAGE = "compile_error"
@@ -93,15 +94,43 @@ def rate_by_step_window(log: DataFrame, width: int = 500, step: str = "step", st
         .withColumn("first_step", F.col("window") * width))
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float], width: float = 64.0) -> DataFrame:
+    """Per group the exact quantiles (linear between neighbours) by distributed selection.
+
+    Rows become a histogram per group and value; values lie in buckets of ``width`` whose running offsets are added to the
+    running counts inside each bucket, so every value knows the ranks it covers and a group is spread over its buckets.
+    All quantiles come from one pass; a null value has no rank."""
+    seen = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    seen = seen.withColumn("_b", F.floor(F.col("_v") / F.lit(width)))
+    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    buckets = (seen.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
+               .select(*by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"), F.sum("_s").over(whole).alias("_n")))
+    last = F.sum("_c").over(inside)
+    ranked = join_null_safe(seen.withColumn("_hi", last), buckets, [*by, "_b"]).withColumns(
+        {"_to": F.col("_off") + F.col("_hi"), "_from": F.col("_off") + F.col("_hi") - F.col("_c")})   # ranks from 0, end open
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    place = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in ps.items()}
+    parts = ranked.groupBy(*by).agg(F.first("_n").alias("_n"), *(e for name, x in place.items() for e in (
+        at(F.floor(x)).alias(f"_lo_{name}"), at(F.ceil(x)).alias(f"_up_{name}"))))
+    return parts.select(*by, *((F.col(f"_lo_{name}") + (x - F.floor(x)) * (F.col(f"_up_{name}") - F.col(f"_lo_{name}"))).alias(name)
+                               for name, x in place.items()))
+
+
 def completion_lengths(log: DataFrame, length: str = "length", terminated: str = "terminated",
                        by: list[str] | None = None) -> DataFrame:
-    """Mean, exact percentiles (50/90/99) and share clipped (not terminated).
-    Exact ``percentile`` keeps a value->count map, bounded by the length limit."""
-    return log.groupBy(*(by or [])).agg(
+    """Mean, exact percentiles (50/90/99) and share clipped (not terminated)."""
+    keys = [*(by or []), "_g"]
+    log = log.withColumn("_g", F.lit(0))
+    stats = log.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_length"),
-        F.percentile(length, 0.5).alias("p50"), F.percentile(length, 0.9).alias("p90"),
-        F.percentile(length, 0.99).alias("p99"),
         (F.count_if(~F.col(terminated)) / F.count(F.lit(1))).alias("clipped_share"))
+    cuts = exact_quantiles(log, keys, length, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return join_null_safe(stats, cuts, keys, "left").select(*(by or []), "n", "mean_length", "p50", "p90", "p99", "clipped_share")
 
 
 def spikes(log: DataFrame, factor: float = 3.0, window: int = 50, run: str = "run_id", step: str = "step",

@@ -8,20 +8,25 @@ over an unbounded group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolloutlab.functions.text import kernel_source, python_source, scorable
 from rolloutlab.operators.checks import roll_up_checks
 from rolloutlab.operators.joins import join_null_safe
 from rolloutlab.operators.timing import compare_variants, device_time
-from rolloutlab.session import checkpoint_dir
 
 # FIXED VALUES: stage names and reward levels.
 NO_CODE, COMPILE_ERROR, VERIFY_ERROR, VERIFY_PARTIAL, PROFILE_ERROR, PROFILED = (
     "no_code", "compile_error", "verify_error", "verify_partial", "profile_error", "profiled")
 STAGES = (NO_CODE, "partial_files", COMPILE_ERROR, VERIFY_ERROR, VERIFY_PARTIAL, PROFILE_ERROR, PROFILED)
 STAGE_REWARD = {NO_CODE: -1.0, "partial_files": -0.9, COMPILE_ERROR: -0.5, PROFILE_ERROR: 1.0}
+#: Most seconds of each phase and of a whole task.
+LIMITS = {"compile_s": 90.0, "verify_s": 30.0, "profile_s": 60.0, "task_s": 180.0}
 SPEED_MARGIN = 0.95
 DEFAULT_REWARD = -1.0
 EPS = 1e-4
@@ -96,6 +101,18 @@ def first_user_source(turns: DataFrame, key: str = "prompt_id") -> DataFrame:
             .groupBy(key).agg(F.min_by("_code", "turn").alias("model_code")))
 
 
+def first_user_source_of(messages) -> Column:
+    """W1 on a ``messages`` array: the python code of its first user message that has a python fence, else null."""
+    source = F.transform(F.filter(_c(messages), lambda m: m["role"] == "user"), lambda m: python_source(m["content"]))
+    return F.get(F.filter(source, lambda c: c.isNotNull()), 0)
+
+
+def completion_text(completion, dtype: T.DataType) -> Column:
+    """A completion's text: a message list counts with its last message."""
+    c = _c(completion)
+    return F.try_element_at(c, F.lit(-1))["content"] if isinstance(dtype, T.ArrayType) else c
+
+
 def pair_completions(completions: DataFrame, prompts: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Align each completion with its prompt (left equi join, so completions
     without a prompt stay and later score the default)."""
@@ -115,13 +132,19 @@ def fill_missing(tasks: DataFrame, results: DataFrame, keys: list[str], default:
 
 def score_rollouts(completions: DataFrame, prompt_turns: DataFrame, checks: DataFrame, timings: DataFrame,
                    builds: DataFrame | None = None, noise: float = 0.0, seed: int = 0, n_checks: int = 5,
-                   warmup: int = 5, iters: int = 10, key: str = "prompt_id") -> DataFrame:
+                   warmup: int = 5, iters: int = 10, key: str = "prompt_id", durations: DataFrame | None = None,
+                   limits: dict[str, float] | None = None) -> DataFrame:
     """J6 -> F1 -> W1/X5 -> X4 -> build -> A1 -> A3/A4 -> R3 -> R4 -> J5.
 
     ``completions``: (prompt_id, generation, completion); ``checks``: verify
     checks keyed by ``model_id`` (= prompt_id); ``timings``: per model timing
     rows; ``builds``: optional (prompt_id, generation, compile_ok), else the
-    brace-balance stand-in. Returns (prompt_id, generation, stage, reward)."""
+    brace-balance stand-in; ``durations``: optional (prompt_id, generation,
+    compile_s, verify_s, profile_s), held against ``limits``: a phase over its
+    limit has failed, and a task over ``task_s`` in all gets the default. A
+    completion may be a message list. Returns (prompt_id, generation, stage, reward)."""
+    text = completion_text("completion", completions.schema["completion"].dataType)
+    completions = completions.withColumn("completion", text)
     code = first_user_source(prompt_turns, key).select(key, (F.col("model_code") != "").alias("has_code"))
     # only flags go through the joins, never a completion's or a prompt's text
     tasks = completions.withColumn("_k", kernel_source("completion")).select(
@@ -129,6 +152,14 @@ def score_rollouts(completions: DataFrame, prompt_turns: DataFrame, checks: Data
         brace_balanced(F.col("_k")["kernel"]).alias("compile_ok"))
     if builds is not None:
         tasks = join_null_safe(tasks.drop("compile_ok"), builds, [key, "generation"], "left")
+    over = {p: F.lit(False) for p in LIMITS}
+    if durations is not None:
+        most = LIMITS | (limits or {})
+        phases = [p for p in LIMITS if p != "task_s"]
+        took = durations.select(key, "generation", *(F.coalesce(p, F.lit(0.0)).alias(f"_{p}") for p in phases))
+        tasks = join_null_safe(tasks, took, [key, "generation"], "left")
+        over = {p: F.coalesce(F.col(f"_{p}") > most[p], F.lit(False)) for p in phases}
+        over["task_s"] = F.coalesce(reduce(add, (F.col(f"_{p}") for p in phases)) > most["task_s"], F.lit(False))
     verify = roll_up_checks(checks, "model_id", n_checks).select(
         F.col("model_id").alias(key), "verdict", "avg_mse")
     prof = compare_variants(device_time(timings, warmup, iters)).select(
@@ -136,9 +167,10 @@ def score_rollouts(completions: DataFrame, prompt_turns: DataFrame, checks: Data
     j = pair_completions(tasks, code, key).join(verify, key, "left").join(prof, key, "left")
     r1 = partial_reward(F.col("verdict") == "PARTIAL_PASS", F.col("verdict") == "SHAPE_OK", F.col("avg_mse"))
     profile_ok = F.col("eager_us").isNotNull() & F.col("compiled_us").isNotNull() & F.col("candidate_us").isNotNull()
-    sr = stage_and_reward(F.col("scorable"), F.col("has_hip"), F.col("compile_ok"), F.col("verdict"), r1,
-                          profile_ok, speed_reward("eager_us", "compiled_us", "candidate_us"))
-    evaluated = F.col("scorable") & F.coalesce("has_code", F.lit(False))
+    sr = stage_and_reward(F.col("scorable"), F.col("has_hip"), F.col("compile_ok") & ~over["compile_s"], F.when(~over["verify_s"], F.col("verdict")),
+                          F.when(over["verify_s"], F.lit(0.0)).otherwise(r1), profile_ok & ~over["profile_s"],
+                          speed_reward("eager_us", "compiled_us", "candidate_us"))
+    evaluated = F.col("scorable") & F.coalesce("has_code", F.lit(False)) & ~over["task_s"]
     noisy = finalise(sr["reward"], F.lit(True), F.concat_ws("|", F.col(key), F.col("generation")), noise, seed)
     # J5 row by row: every completion is still here, so what was not evaluated takes the default in place
     return j.select(key, "generation", F.when(evaluated, noisy).otherwise(F.lit(DEFAULT_REWARD)).alias("reward"),
@@ -150,13 +182,12 @@ def group_advantage(rewards: DataFrame, group: str = "prompt_id", reward: str =
     """(reward - group mean) / (group sample stddev + eps); a single-row
     group gets 0. Statistics come from a ``groupBy`` joined back on the key.
 
-    The input is read twice (statistics and rows). When it is an expensive
-    job (e.g. the scoring job), ``materialize`` writes it once with a reliable
-    ``checkpoint()`` under the shared checkpoint folder, which also cuts the
-    lineage a lost executor would otherwise replay."""
+    The input is used twice (statistics and rows). When it is an expensive job
+    (e.g. the scoring job), ``materialize`` deals its rows out once, evenly, by
+    all their columns: both uses read that one exchange, so the job runs once,
+    nothing runs while the plan is built, and a hot group is not gathered."""
     if materialize:
-        checkpoint_dir(rewards.sparkSession)   # the shared folder named by spark.checkpoint.dir
-        rewards = rewards.checkpoint(eager=True)
+        rewards = rewards.repartition(*(F.col(f"`{c}`") for c in rewards.columns))
     stats = rewards.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"),
                                        F.count(F.lit(1)).alias("_n"))
     adv = F.when(F.col("_n") > 1, (F.col(reward) - F.col("_mean")) / (F.coalesce(F.col("_std"), F.lit(0.0))

@@ -124,6 +124,12 @@ def q_truncate_at_stop(spark: SparkSession, sf: str) -> DataFrame:
     "v_samples", "v_checks", CHECKS_SQL, _samples_sql(), *_match_sql(), CHAT_CTE,
     body="""SELECT chat.sample_id, CAST(len(msgs) + CASE WHEN ver.model_id IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS n_messages,
        CASE WHEN ver.model_id IS NOT NULL THEN 'user' ELSE msgs[len(msgs)].role END AS last_role,
+       CASE WHEN ver.model_id IS NULL THEN msgs[len(msgs)].content
+            WHEN ver.verdict = 'PASS' THEN '[PASS] verify success'
+            WHEN ver.verdict = 'PARTIAL_PASS' THEN '[PARTIAL_PASS] ' || ver.pass_count || '/5 passed, ' || ver.shape_ok_count || '/5 shape-correct'
+            WHEN ver.verdict = 'SHAPE_OK' THEN '[SHAPE_OK] ' || ver.shape_ok_count || '/5 shape-correct, AVG_MSE='
+            ELSE '[FAIL] verify failed' END AS last_content,
+       CASE WHEN ver.verdict = 'SHAPE_OK' THEN ver.avg_mse END AS last_mse,
        CASE WHEN ver.model_id IS NOT NULL THEN ver.verdict ELSE NULL END AS feedback_verdict
 FROM (SELECT sample_id, from_json(prompt, '[{"role":"VARCHAR","content":"VARCHAR"}]') AS msgs FROM chat) chat
 LEFT JOIN ver ON ver.model_id = chat.sample_id"""))
@@ -136,6 +142,9 @@ def q_next_turn_prompt(spark: SparkSession, sf: str) -> DataFrame:
     msgs = F.when(F.col("feedback").isNotNull(), P.next_turn_prompt("messages", "feedback")).otherwise(F.col("messages"))
     return j.select("sample_id", F.size(msgs).cast("long").alias("n_messages"),
                     F.element_at(msgs, -1)["role"].alias("last_role"),
+                    # the number behind AVG_MSE= is compared as a number
+                    F.regexp_replace(F.element_at(msgs, -1)["content"], "AVG_MSE=.*$", "AVG_MSE=").alias("last_content"),
+                    F.regexp_extract(F.element_at(msgs, -1)["content"], "AVG_MSE=(.*)$", 1).try_cast("double").alias("last_mse"),
                     F.when(F.col("feedback").isNotNull(), F.col("verdict")).alias("feedback_verdict"))
 
 

@@ -7,6 +7,9 @@ cannot change a value hash. Derived from the Spark output schemas;
 """
 
 FLOAT_COLUMNS: dict[str, list[str]] = {
+    'next_turn_prompt': ['last_mse'],
+    'reduce_rows_prod': ['l_quantity_sum', 'l_quantity_prod'],
+    'score_with_limits': ['reward'],
     'adaptive_avg_pool': ['avg_pool'],
     'addmm': ['v'],
     'batch_norm': ['total', 'total_sq'],

@@ -158,6 +158,13 @@ def q_reduce_rows(spark: SparkSession, sf: str) -> DataFrame:
     return r
 
 
+@register("reduce_rows_prod", ["N1"], """SELECT l_orderkey, sum(l_quantity) AS l_quantity_sum, product(l_quantity) AS l_quantity_prod
+FROM lineitem GROUP BY l_orderkey""")
+def q_reduce_rows_prod(spark: SparkSession, sf: str) -> DataFrame:
+    """Products stay exact: an order has few lines of at most 50 pieces."""
+    return M.reduce_rows(read_table(spark, sf, "lineitem", "l_orderkey", "l_quantity"), ["l_orderkey"], "l_quantity", ("sum", "prod"))
+
+
 def _norm_sql(per_vector: str) -> str:
     return S.with_("v_vectors", body=_summary_sql(per_vector))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import uuid
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,17 +130,16 @@ po AS (SELECT coalesce(fa.model_id, fe.model_id) AS model_id, coalesce(fa.check_
   FROM fa FULL OUTER JOIN fe ON fa.model_id = fe.model_id AND fa.check_no = fe.check_no AND fa.path = fe.path)"""
 
 
-def _flat_checks(spark: SparkSession, sf: str, col: str) -> DataFrame:
-    c = fx.v_checks(spark, sf).select("model_id", "check_no", F.col(col).alias("v"))
-    flat = K.flatten_leaves(c, ["model_id", "check_no"], "v")
-    return flat.withColumn("path", F.regexp_replace("path", r"^v\[(\d+)\]$", ".$1"))
+def _check_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    c = fx.v_checks(spark, sf)
+    made, wanted = (c.select("model_id", "check_no", F.col(x).alias("v")) for x in ("actual", "expected"))
+    return K.pair_nested(made, wanted, ["model_id", "check_no"], "v")
 
 
 @register("pair_outputs", ["J7"], S.with_("v_checks", _LEAVES_SQL,
           body="SELECT status, CAST(count(*) AS BIGINT) AS n, sum(coalesce(expected, actual)) AS leaf_sum FROM po GROUP BY status"))
 def q_pair_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    p = K.pair_outputs(_flat_checks(spark, sf, "actual"), _flat_checks(spark, sf, "expected"),
-                       ["model_id", "check_no"])
+    p = _check_pairs(spark, sf)
     return p.groupBy("status").agg(F.count(F.lit(1)).alias("n"),
                                    F.sum(F.coalesce("expected", "actual")).alias("leaf_sum"))
 
@@ -146,8 +148,7 @@ def q_pair_outputs(spark: SparkSession, sf: str) -> DataFrame:
        avg((actual - expected) * (actual - expected)) AS mse FROM po WHERE status = 'matched' GROUP BY ALL"""))
 def q_mse_table(spark: SparkSession, sf: str) -> DataFrame:
     """A2 table form: mean squared difference over paired leaves of a long table."""
-    p = K.pair_outputs(_flat_checks(spark, sf, "actual"), _flat_checks(spark, sf, "expected"),
-                       ["model_id", "check_no"])
+    p = _check_pairs(spark, sf)
     return K.mse_table(p.where(F.col("status") == "matched"), ["model_id", "check_no"])
 
 
@@ -170,6 +171,18 @@ def q_compare_by_rule(spark: SparkSession, sf: str) -> DataFrame:
                      K.equal_by_rule(F.col("a"), F.col("e"), t).alias("ok"))
 
 
+@register("roll_up_tensors", ["A1", "K2"], S.with_("v_checks", """t AS (SELECT *, len(actual) = len(expected) AND check_no <> 4 AS so,
+         list_filter(range(1, len(expected) + 1), lambda i: NOT (abs(actual[i] - expected[i]) <= 0.01::DOUBLE + 0.01::DOUBLE * abs(expected[i]))) AS off
+  FROM v_checks)""", body="""SELECT model_id, CAST(count_if(so AND len(off) = 0) AS BIGINT) AS pass_count, CAST(count_if(so) AS BIGINT) AS shape_ok_count
+FROM t GROUP BY model_id"""))
+def q_roll_up_tensors(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-row tensors whose element types are named; check 4 gives another type than was asked for."""
+    two = lambda c: F.array(F.slice(c, 1, 32), F.slice(c, 33, 64))
+    c = fx.v_checks(spark, sf).select("model_id", two("actual").alias("actual"), two("expected").alias("expected"), F.lit("float32").alias("want"),
+                                      F.when(F.col("check_no") == 4, "float16").otherwise("float32").alias("got"))
+    return K.roll_up_checks(c, actual_dtype="got", expected_dtype="want").select("model_id", "pass_count", "shape_ok_count")
+
+
 @register("compare_nested", ["K3", "J7", "K1"], S.with_("v_checks", _LEAVES_SQL, body="""SELECT model_id, check_no,
        CAST(count_if(status = 'matched') AS BIGINT) AS n_matched, CAST(count_if(status = 'missing') AS BIGINT) AS n_missing,
        CAST(count_if(status = 'extra') AS BIGINT) AS n_extra,
@@ -244,19 +257,23 @@ def q_parse_profile_log(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("format_feedback", ["P8", "R2"], S.with_("v_timings", TIMING_SQL, body=f"""SELECT model_id,
        eager_us / candidate_us AS speedup_eager, compiled_us / candidate_us AS speedup_compile,
-       {_r2_sql('eager_us', 'compiled_us', 'candidate_us')} AS reward
+       {_r2_sql('eager_us', 'compiled_us', 'candidate_us')} AS reward, true AS text_holds_numbers
 FROM cv WHERE eager_us IS NOT NULL AND compiled_us IS NOT NULL AND candidate_us IS NOT NULL"""))
 def q_format_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    """The rendered text is parsed back into numbers for the comparison (T4:
-    Java and C rounding of ties may differ in the text, not in the values)."""
+    """Every number of the rendered text is parsed back: the reward is taken from it, and the three times and two
+    speed-ups must be the columns' to the places shown (T4: Java and C may round ties differently in the text)."""
     cv = TM.compare_variants(TM.device_time(fx.v_timings(spark, sf), WARMUP, ITERS)).dropna(
         subset=["eager_us", "compiled_us", "candidate_us"])
     fb = cv.withColumn("reward", R.speed_reward("eager_us", "compiled_us", "candidate_us")).withColumn(
         "feedback", P.format_feedback("eager_us", "compiled_us", "candidate_us", "reward"))
-    num = lambda pat: F.regexp_extract("feedback", pat, 1).cast("double")
-    return fb.select("model_id", (F.col("eager_us") / F.col("candidate_us")).alias("speedup_eager"),
-                     (F.col("compiled_us") / F.col("candidate_us")).alias("speedup_compile"),
-                     num(r"Reward: ([+-]?\d+)").alias("reward"))
+    whole = (r"^Torch Baseline: (\d+\.\d{3})us, Torch Compile: (\d+\.\d{3})us, HIP Extension: (\d+\.\d{3})us \| "
+             r"Speedup: (\d+\.\d{2})x eager, (\d+\.\d{2})x compile \| Reward: ([+-]\d+)$")
+    shown = [F.try_to_number(F.regexp_extract("feedback", whole, i), F.lit("S999999999999.999")).cast("double") for i in range(1, 7)]
+    eager, compiled = F.col("eager_us") / F.col("candidate_us"), F.col("compiled_us") / F.col("candidate_us")
+    wanted = [("eager_us", 5.1e-4), ("compiled_us", 5.1e-4), ("candidate_us", 5.1e-4), (eager, 5.1e-3), (compiled, 5.1e-3)]
+    holds = [F.coalesce(F.abs(x - (F.col(c) if isinstance(c, str) else c)) <= d, F.lit(False)) for x, (c, d) in zip(shown, wanted)]
+    return fb.select("model_id", eager.alias("speedup_eager"), compiled.alias("speedup_compile"), shown[5].alias("reward"),
+                     reduce(and_, holds).alias("text_holds_numbers"))
 
 
 # ---------------------------------------------------------------- scoring job
@@ -279,26 +296,35 @@ def _kernel_sql(col: str) -> str:
      END""", norm
 
 
-def _score_sql(final_body: str) -> str:
+#: Characters of a completion that stand for a second of each phase: longer texts go over the profile's, the verify's and the task's limit.
+_PHASES = {"compile_s": 50.0, "verify_s": 40.0, "profile_s": 12.0}
+
+
+def _score_sql(final_body: str, limits: bool = False) -> str:
     kexpr, norm = _kernel_sql("completion")
+    over = {k: f"length(kt.completion) / {n}::DOUBLE > {R.LIMITS[k]}" if limits else "false" for k, n in _PHASES.items()}
+    whole = " + ".join(f"length(kt.completion) / {n}::DOUBLE" for n in _PHASES.values()) + f" > {R.LIMITS['task_s']}" if limits else "false"
     return S.with_("v_completions", "v_prompt_turns", "v_checks", "v_timings", CHECKS_SQL, TIMING_SQL, _turns_sql(),
                    f"""kt AS (SELECT prompt_id, generation, completion, {kexpr} AS kernel
   FROM (SELECT *, {norm} AS nt FROM v_completions))""",
                    f"""tk AS (SELECT kt.prompt_id, kt.generation, kt.kernel,
-         coalesce(length(trim(kt.completion, {S.WS})) >= 20, false) AND coalesce(code.model_code <> '', false) AS evaluated,
+         coalesce(length(trim(kt.completion, {S.WS})) >= 20, false) AND coalesce(code.model_code <> '', false) AND NOT ({whole}) AS evaluated,
+         {over["verify_s"]} AS verify_over, {over["profile_s"]} AS profile_over, NOT ({over["compile_s"]}) AND
          coalesce(length(kt.kernel) - length(replace(kt.kernel, '{{', '')) = length(kt.kernel) - length(replace(kt.kernel, '}}', ''))
                   AND contains(kt.kernel, '__global__'), false) AS compile_ok
   FROM kt LEFT JOIN code USING (prompt_id))""",
                    f"""sc AS (SELECT tk.prompt_id, tk.generation, tk.evaluated,
     CASE WHEN tk.kernel IS NULL THEN 'no_code' WHEN NOT tk.compile_ok THEN 'compile_error'
+         WHEN tk.verify_over THEN 'verify_error'
          WHEN coalesce(ver.verdict, 'FAIL') <> 'PASS' THEN
               CASE WHEN {_r1_sql("ver.verdict = 'PARTIAL_PASS'", "ver.verdict = 'SHAPE_OK'", 'ver.avg_mse')} > 0
                    THEN 'verify_partial' ELSE 'verify_error' END
-         WHEN cv.eager_us IS NULL OR cv.compiled_us IS NULL OR cv.candidate_us IS NULL THEN 'profile_error'
+         WHEN tk.profile_over OR cv.eager_us IS NULL OR cv.compiled_us IS NULL OR cv.candidate_us IS NULL THEN 'profile_error'
          ELSE 'profiled' END AS stage,
     CASE WHEN tk.kernel IS NULL THEN -1.0::DOUBLE WHEN NOT tk.compile_ok THEN -0.5::DOUBLE
+         WHEN tk.verify_over THEN 0.0::DOUBLE
          WHEN coalesce(ver.verdict, 'FAIL') <> 'PASS' THEN {_r1_sql("ver.verdict = 'PARTIAL_PASS'", "ver.verdict = 'SHAPE_OK'", 'ver.avg_mse')}
-         WHEN cv.eager_us IS NULL OR cv.compiled_us IS NULL OR cv.candidate_us IS NULL THEN 1.0::DOUBLE
+         WHEN tk.profile_over OR cv.eager_us IS NULL OR cv.compiled_us IS NULL OR cv.candidate_us IS NULL THEN 1.0::DOUBLE
          ELSE {_r2_sql('cv.eager_us', 'cv.compiled_us', 'cv.candidate_us')} END AS reward
   FROM tk LEFT JOIN ver ON ver.model_id = tk.prompt_id LEFT JOIN cv ON cv.model_id = tk.prompt_id)""",
                    """fin AS (SELECT c.prompt_id, c.generation, sc.stage AS stage,
@@ -319,6 +345,18 @@ def q_score_rollouts(spark: SparkSession, sf: str) -> DataFrame:
     return _score(spark, sf).select("prompt_id", "generation", "stage", "reward")
 
 
+@register("score_with_limits", ["R5", "R3"], _score_sql("SELECT prompt_id, generation, stage, reward FROM fin", limits=True))
+def q_score_with_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Completions are message lists, of which the last one counts, and phases have time limits: one that takes too long
+    fails its phase (a profile that did not end is the ladder's ``profile_error``), a task that does has the default."""
+    c = fx.v_completions(spark, sf)
+    took = c.select("prompt_id", "generation", *((F.length("completion") / F.lit(n)).alias(k) for k, n in _PHASES.items()))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    lists = c.withColumn("completion", F.array(message("assistant", F.lit("```cpp\n__global__ {")), message("assistant", F.col("completion"))))
+    return R.score_rollouts(lists, fx.v_prompt_turns(spark, sf), fx.v_checks(spark, sf), fx.v_timings(spark, sf), n_checks=N_CHECKS, warmup=WARMUP,
+                            iters=ITERS, durations=took).select("prompt_id", "generation", "stage", "reward")
+
+
 @register("stage_and_reward", ["R3"], _score_sql(
     "SELECT stage, CAST(count(*) AS BIGINT) AS n, sum(reward) AS reward_sum FROM fin GROUP BY stage"))
 def q_stage_and_reward(spark: SparkSession, sf: str) -> DataFrame:
@@ -353,6 +391,14 @@ def q_first_user_source(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_user_source(fx.v_prompt_turns(spark, sf))
 
 
+@register("first_user_source_messages", ["W1", "X5"], S.with_("v_prompt_turns", _turns_sql(),
+          body="SELECT prompt_id, model_code FROM code"))
+def q_first_user_source_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The array form: the prompt's turns as one message list."""
+    said = fx.v_prompt_turns(spark, sf).groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages"))
+    return said.select("prompt_id", R.first_user_source_of("messages").alias("model_code")).where("model_code IS NOT NULL")
+
+
 @register("pair_completions", ["J6", "W1"], S.with_("v_completions", "v_prompt_turns", _turns_sql(), body="""SELECT
        c.prompt_id, c.generation, code.model_code IS NOT NULL AS has_model_code,
        CAST(length(code.model_code) AS BIGINT) AS model_code_chars

@@ -54,15 +54,28 @@ def write_split(df: DataFrame, path: str, split_col: str = "split", mode: str =
     df.write.mode(mode).partitionBy(split_col).parquet(path)
 
 
-def quarantine(df: DataFrame, predicate: Column, path: str) -> DataFrame:
-    """Append rows failing ``predicate`` (null counts as failing) to ``path``
-    and return the rows that pass. The side write is one job; the returned
-    DataFrame stays lazy."""
+def quarantine(df: DataFrame, predicate: Column, path: str, run_id: str = "run") -> DataFrame:
+    """Write rows failing ``predicate`` (null counts as failing) to the side table ``path`` and return those that pass.
+
+    The write is a job of its own. It is idempotent: a run's rows are a partition of its own, which a repeated run
+    overwrites, and the run stands in the ledger only when its rows are whole; ``quarantined`` reads runs of the
+    ledger. The returned DataFrame stays lazy."""
+    spark = df.sparkSession
     ok = F.coalesce(predicate, F.lit(False))
-    df.where(~ok).write.mode("append").parquet(path)
+    df.where(~ok).write.mode("overwrite").parquet(f"{path}/rows/run_id={run_id}")
+    n = spark.read.schema(df.schema).parquet(f"{path}/rows/run_id={run_id}").count()
+    spark.createDataFrame([(run_id, n)], "run_id string, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/run={run_id}")
     return df.where(ok)
 
 
+def quarantined(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The side table's rows of all runs in the ledger, with their ``run_id``."""
+    runs = spark.read.schema("run_id string, n long").option("recursiveFileLookup", "true").parquet(f"{path}/ledger")
+    fields = T.StructType([*(T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields, T.StructField("run_id", T.StringType())])
+    rows = spark.read.schema(fields).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.join(runs.select("run_id"), "run_id", "left_semi").select(*fields.names)
+
+
 def keep_latest(df: DataFrame, keys: list[str], order: str | Column, n: int = 3) -> DataFrame:
     """Newest ``n`` rows per group. ``row_number() <= n`` plans as a
     ``WindowGroupLimit``: each map task keeps only its top ``n`` per key before
