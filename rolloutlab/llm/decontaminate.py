@@ -12,9 +12,9 @@ A document is contaminated by an item if some window of its words is within
 3. Bit sampling: one bit of each of ``sample`` random output positions is a key.
    A window is a candidate if it agrees with the item in one of the
    repetitions. Their number follows from the agreement measured on random
-   edits of the items themselves, so that a window with all k edits allowed is
-   found with probability ``recall`` at least; the windows shifted by up to k
-   words are further chances.
+   edits of all items, and the item length that needs most decides: its windows
+   with all k edits allowed are found with probability ``recall`` on average; the
+   windows shifted by up to k words are further chances.
 4. Candidates are verified by exact word edit distance.
 
 Items are the query set, sent to the tasks in blocks of bounded size; every
@@ -91,23 +91,32 @@ def edited(words: np.ndarray, edits: int, rng) -> np.ndarray:
     return np.array(x, np.uint64)
 
 
-def repetitions(items: list[np.ndarray], rate: float, sample: int, recall: float, trials: int = 40, most: int = 4096) -> int:
-    """Repetitions of ``sample`` bits after which a window with all allowed edits is missed with probability 1 - recall."""
+def agreement(items: list[np.ndarray], edits: int, trials: int, rng) -> np.ndarray:
+    """For items of one length, the share of output bits in which randomly edited copies agree with them, one per copy."""
+    seeds, out = rng.integers(1, 2**62, 4).astype(np.uint64), []
+    for lo in range(0, len(items), 64):
+        many = np.stack([w for item in items[lo:lo + 64] for w in (item, *(edited(item, edits, rng) for _ in range(trials)))])
+        bits = embed(many, seeds).reshape(len(seeds), -1, trials + 1, 3 * many.shape[1])
+        out.append((bits[:, :, 1:] == bits[:, :, :1]).mean(axis=(0, 3)).ravel())
+    return np.concatenate(out)
+
+
+def repetitions(items: list[np.ndarray], rate: float, sample: int, recall: float, trials: int = 40) -> int:
+    """Repetitions of ``sample`` bits after which a window with all allowed edits is missed with probability 1 - recall,
+    for the item length for which that takes most. All items count; a recall that cannot be reached is an error."""
     rng = np.random.default_rng(11)
-    misses = []
-    for words in items[:: max(1, len(items) // 50)]:
-        k = int(rate * len(words))
-        if k == 0:
-            continue
-        many = np.stack([words, *(edited(words, k, rng) for _ in range(trials))])
-        bits = embed(many, rng.integers(1, 2**62, 4).astype(np.uint64))
-        misses.append((bits[:, 1:] == bits[:, :1]).mean(axis=2).mean(axis=0))
-    if not misses:
-        return 1
-    hit = np.concatenate(misses) ** sample            # chance of one repetition, per edited window
+    by_length: dict[int, list[np.ndarray]] = {}
+    for words in items:
+        by_length.setdefault(len(words), []).append(words)
     reps = 1
-    while reps < most and ((1 - hit) ** reps).mean() > 1 - recall:
-        reps *= 2
+    for n, same in sorted(by_length.items()):
+        if (k := int(rate * n)) == 0:
+            continue
+        hit = agreement(same, k, max(trials, -(-400 // len(same))), rng) ** sample       # chance of one repetition, per edited window
+        while ((1 - hit) ** reps).mean() > 1 - recall:
+            reps *= 2
+            if reps > 1 << 20:
+                raise ValueError(f"recall {recall} is out of reach for items of {n} words with {sample} bits a key")
     return reps
 
 

@@ -121,3 +121,20 @@ def test_query_equals_brute_force(spark, sf):
         hits = {i for k in range(len(w) - 3) for i in inverted.get(tuple(w[k:k + 4]), ())}
         near += brute([(d, t)], [x for x in items if x[0] in hits])
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got if r.doc_id in ids) == sorted(near)
+
+
+def test_repetitions_hold_the_worst_length_and_never_stop_short():
+    import numpy as np
+    import pytest
+
+    from rolloutlab.llm import decontaminate as D
+    rng = np.random.default_rng(3)
+    items = [rng.integers(1, 2**62, n).astype(np.uint64) for n in [200] * 60 + [5, 11, 16]]
+    reps = D.repetitions(items, D.RATE, D.SAMPLE, D.RECALL)
+    assert reps >= max(D.repetitions(items[k:k + 1], D.RATE, D.SAMPLE, 0.99) for k in (0, 60, 61, 62))
+    for n in (5, 11, 16, 200):
+        words = rng.integers(1, 2**62, n).astype(np.uint64)
+        hit = D.agreement([words], int(D.RATE * n), 2000, np.random.default_rng(8)) ** D.SAMPLE
+        assert ((1 - hit) ** reps).mean() < 0.005
+    with pytest.raises(ValueError):
+        D.repetitions(items, D.RATE, 4096, D.RECALL)
