@@ -3,8 +3,9 @@
 Both vocabularies split a text into pre-tokens that never span certain cuts,
 and a pre-token's ids depend on nothing else. So a text is cut at such places
 and only pieces not seen before by this Python worker reach the library. The
-cache has a fixed bound; a text whose cuts are unsafe is cut more carefully or
-encoded whole.
+cache has a fixed bound. Arrow splits a lot of texts and numbers its distinct
+pieces; only these are looked up, and one take lays the ids out. A text whose
+cuts are unsafe is cut more carefully or encoded whole.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import re
 import sys
 import types
 from array import array
-from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_ENTRIES = 300_000       # of each of two generations
-LOT_BYTES = 3 << 20           # of text that is split into pieces at a time
+LOT_BYTES = 8 << 20           # of text that is split into pieces at a time
 #: A trailing run of these never joins the letters before it into one pre-token (no apostrophe: contractions).
 TRAIL = ".,;:!?*#$%&|"
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -78,6 +80,23 @@ class _Pieces(dict):
             self.update(zip(lot, (raw[a:b] for a, b in zip(cut, end))))
 
 
+def _pieces_of(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts split at blanks: bounds of each text's pieces, the distinct pieces, and the place of every piece among them."""
+    parts = pc.split_pattern(column, " ")
+    coded = parts.flatten().dictionary_encode()
+    bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    return bounds, coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def _joined(bounds: np.ndarray, ids: list[bytes], places: np.ndarray) -> list[bytes]:
+    """The ids of each text, laid end to end by one take."""
+    laid = pa.array(ids, pa.large_binary()).take(pa.array(places))
+    _, offsets, data = laid.buffers()
+    cut = np.frombuffer(offsets, np.int64)[bounds].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
 class _Encoder:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -88,6 +107,9 @@ class _Encoder:
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()))
+
 
 class ByteLevelEncoder(_Encoder):
     """Byte-level BPE: a blank or line feed between two non-blank characters is always a cut."""
@@ -108,25 +130,26 @@ class ByteLevelEncoder(_Encoder):
             return pieces[core] + self.head[piece[len(core):]]
         return self.raw(pieces.prefix + piece)
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self.head.prime({line[0] for text in lines for line in text})
-        self.tail.prime(set().union(*(line[1:] for text in lines for line in text)))
-        return [self._joined(t, parts) for t, parts in zip(texts, lines)]
-
-    def _joined(self, text: str, lines: list[list[str]]) -> bytes:
-        try:
-            out = []
-            for parts in lines:
-                out.append(self.line_feed)
-                out.append(self.head[parts[0]])
-                if len(parts) > 2:
-                    out.extend(itemgetter(*parts[1:])(self.tail))
-                elif len(parts) == 2:
-                    out.append(self.tail[parts[1]])
-            return b"".join(out[1:])
-        except _Unsafe:
-            return b"".join(self._unit(u) for u in self._cuts.split(text))
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        # every line start is a piece with its line feed in front, the text's own start too
+        marked = pc.binary_join_element_wise("\n", pc.replace_substring(column, "\n", " \n"), "")
+        parts, words, places = _pieces_of(marked)
+        self.head.prime({w[1:] for w in words if w[:1] == "\n"})
+        self.tail.prime({w for w in words if w[:1] != "\n"})
+        ids, unsafe = [], np.zeros(len(words), bool)
+        for k, w in enumerate(words):
+            try:
+                ids.append(self.line_feed + self.head[w[1:]] if w[:1] == "\n" else self.tail[w])
+            except _Unsafe:
+                ids.append(b"")
+                unsafe[k] = True
+        skip = len(self.line_feed)
+        out = [text[skip:] for text in _joined(parts, ids, places)]
+        if unsafe.any():
+            counts = np.concatenate([[0], np.cumsum(unsafe[places])])
+            for i in np.flatnonzero(counts[parts[1:]] > counts[parts[:-1]]).tolist():
+                out[i] = b"".join(self._unit(u) for u in self._cuts.split(column[i].as_py()))
+        return out
 
     def _unit(self, unit: str) -> bytes:
         try:
@@ -150,17 +173,17 @@ class WordEncoder(_Encoder):
             return pieces[core] + pieces[piece[len(core):]]
         return self.raw(piece)
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        self.words.prime(set().union(*words))
-        return [b"".join(itemgetter(*w)(self.words)) if len(w) > 1 else self.words[w[0]] for w in words]
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        parts, words, places = _pieces_of(pc.replace_substring(column, "\n", " "))
+        self.words.prime(set(words))
+        return _joined(parts, [self.words[w] for w in words], places)
 
 
 class WholeEncoder(_Encoder):
     """Any other tokenizer: the library gets every text whole."""
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        return [self.raw(t) for t in texts]
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        return [self.raw(t) for t in column.to_pylist()]
 
 
 ENCODERS = {"byte_level": ByteLevelEncoder, "word": WordEncoder, "whole": WholeEncoder}
@@ -168,13 +191,12 @@ ENCODERS = {"byte_level": ByteLevelEncoder, "word": WordEncoder, "whole": WholeE
 
 def encoded(column, enc):
     """(first row, ids of each text as uint32 bytes) of a string column, in lots of bounded size."""
-    import pyarrow.compute as pc
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < len(ends):
         before = ends[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, before + LOT_BYTES, "right")))
-        yield lo, enc.encode_many(column.slice(lo, hi - lo).to_pylist())
+        yield lo, enc.encode_column(pc.fill_null(column.slice(lo, hi - lo), ""))
         lo = hi
 
 
