@@ -25,26 +25,115 @@ from pyspark.sql import DataFrame, SparkSession
 from rolloutlab.llm.common import id_text, table
 from rolloutlab.llm.vectext import LOWER, chunks, span_hashes, text_bytes, word_spans
 
-# The wording to look for (fixed values): base phrases first, then templates.
+# The wording to look for (fixed values): base phrases first, then templates. A "-notice" or "-tag" is a short mention,
+# a "-header" the whole wording that a licence asks for in source files, a "-text" the whole licence below its copyright line.
 BASE = {
     "mit": "under the MIT license",
     "apache-2": "Apache License Version 2",
     "cc-by-nc": "CC BY NC",
 }
+_AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF"
+          " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE")
+_DEALINGS = "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+_BSD_GRANT = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+              " conditions are met: <<beginOptional>><<var;match=1|a>><<endOptional>> Redistributions of source code must retain the above"
+              " copyright notice, this list of conditions and the following disclaimer. <<beginOptional>><<var;match=2|b>><<endOptional>>"
+              " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
+              " in the documentation and/or other materials provided with the distribution.")
+_BSD_NAMES = (" <<beginOptional>><<var;match=3|c>><<endOptional>> Neither the <<var;match=name|names>> of <<var;words=1-12>> nor the names of"
+              " <<var;words=1-4>> may be used to endorse or promote products derived from this software without specific prior written permission.")
+_BSD_WARRANTY = (" THIS SOFTWARE IS PROVIDED BY <<var;words=1-12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,"
+                 " THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL"
+                 " <<var;words=1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,"
+                 " BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+                 " HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR"
+                 " OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE")
+_ISC_GRANT = ("Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or"
+              " without fee is hereby granted")
+_ISC_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_WARRANTY = (". THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;words=1-12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL"
+                 " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;words=1-12>> BE LIABLE FOR ANY SPECIAL, DIRECT,"
+                 " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION"
+                 " OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE")
+
+
+def _gnu(name: str, version: str) -> str:
+    """The notice that a licence of the GNU family asks for, with or without later versions."""
+    return (f"free software: you can redistribute it and/or modify it under the terms of the {name}"
+            f" as published by the Free Software Foundation<<beginOptional>>, either<<endOptional>> version {version} <<beginOptional>>of the"
+            " License<<endOptional>> <<beginOptional>>, or (at your option) any later version<<endOptional>>. <<var;words=1-6>> is distributed in"
+            " the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+            f" PARTICULAR PURPOSE. See the {name} for more details")
+
+
+def _creative(terms: str) -> str:
+    return f"licensed under <<var;match=a|the>> Creative Commons {terms} 4.0 International <<beginOptional>>Public<<endOptional>> License"
+
+
 TEMPLATES = {
+    "0bsd-text": _ISC_GRANT + _ISC_WARRANTY,
+    "agpl-3.0-header": _gnu("GNU Affero General Public License", "3"),
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use <<var;words=1-4>> except in compliance with"
+                         " the License. You may obtain a copy of the License at <<var;match=http|https>>://www.apache.org/licenses/LICENSE-2.0"
+                         " <<beginOptional>>.txt<<endOptional>> <<beginOptional>>html<<endOptional>> Unless required by applicable law or agreed to in writing,"
+                         " software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY"
+                         " KIND, either express or implied. See the License for the specific language governing permissions and limitations"
+                         " under the License",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\")<<endOptional>>",
+    "bsd-2-clause-text": _BSD_GRANT + _BSD_WARRANTY,
+    "bsd-3-clause-text": _BSD_GRANT + _BSD_NAMES + _BSD_WARRANTY,
+    "bsl-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying"
+                    " documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the"
+                    " Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to"
+                    " do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above"
+                    " license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in"
+                    " part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of"
+                    f" machine-executable object code generated by a source language processor. {_AS_IS}, TITLE AND NON-INFRINGEMENT. IN NO EVENT"
+                    " SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN"
+                    f" CONTRACT, TORT OR OTHERWISE, {_DEALINGS}",
+    "cc-by-4.0-header": _creative("Attribution"),
+    "cc-by-nc-4.0-header": _creative("Attribution-NonCommercial"),
     "cc-by-nc-4.0-notice": "<<beginOptional>>This work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> CC BY-NC 4.0"
                            " <<beginOptional>>International<<endOptional>> <<beginOptional>>license<<endOptional>>",
+    "cc-by-nc-nd-4.0-header": _creative("Attribution-NonCommercial-<<var;match=NoDerivatives|NoDerivs>>"),
+    "cc-by-nc-sa-4.0-header": _creative("Attribution-NonCommercial-ShareAlike"),
+    "cc-by-nd-4.0-header": _creative("Attribution-<<var;match=NoDerivatives|NoDerivs>>"),
+    "cc-by-sa-4.0-header": _creative("Attribution-ShareAlike"),
+    "gpl-2.0-header": _gnu("GNU General Public License", "2"),
+    "gpl-3.0-header": _gnu("GNU General Public License", "3"),
     "gpl-3.0-notice": "This <<var;match=work|program|software|file>> is licensed under the GNU General Public License, version 3"
                       " <<beginOptional>>or <<beginOptional>>at your option<<endOptional>> any later version<<endOptional>>",
+    "isc-text": _ISC_GRANT + _ISC_NOTICE + _ISC_WARRANTY,
+    "lgpl-2.1-header": _gnu("GNU Lesser General Public License", "2.1"),
+    "lgpl-3.0-header": _gnu("GNU Lesser General Public License", "3"),
     "mit-notice": "<<var;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
                 " documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation"
                 " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and"
                 " to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above"
                 " copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be"
-                " included in all copies or substantial portions of <<var;words=1-4>>",
+                f" included in all copies or substantial portions of the Software. {_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;words=1-12>>"
+                " BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,"
+                f" {_DEALINGS}",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"
+                      " with this file, You can obtain one at <<var;match=http|https>>://mozilla.org/MPL/2.0",
     "spdx-tag": "SPDX License Identifier <<var;words=1-4>>",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,"
+                      " sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or"
+                      " non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software"
+                      " dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of"
+                      " the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of"
+                      " relinquishment in perpetuity of all present and future rights to this software under copyright law."
+                      f" {_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,"
+                      f" WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, {_DEALINGS}",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will <<var;words=1-6>> be held liable for any"
+                 " damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including"
+                 " commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+                 " <<beginOptional>>1<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the"
+                 " original software. If you use this software in a product, an <<var;match=acknowledgment|acknowledgement>> in the product"
+                 " documentation would be appreciated but is not required. <<beginOptional>>2<<endOptional>> Altered source versions must be plainly"
+                 " marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3<<endOptional>> This notice may"
+                 " not be removed or altered from any source distribution",
 }
 
 WORD_BYTE = np.ones(256, bool)

@@ -24,6 +24,96 @@ def test_automaton_equals_regular_expression():
     assert hits > 5
 
 
+def filled(items, rng):
+    """Words of a random text that the template accepts."""
+    out = []
+    for kind, *x in items:
+        if kind == "word":
+            out.append(x[0].decode())
+        elif kind == "one":
+            out.append(rng.choice(sorted(x[0])).decode())
+        elif kind == "any":
+            out += [f"holder{rng.randrange(9)}" for _ in range(rng.randint(*x))]
+        elif rng.random() < 0.5:
+            out += filled(x[0], rng)
+    return out
+
+
+@pytest.mark.parametrize("label", sorted(ls.TEMPLATES))
+def test_whole_wording_is_accepted_and_a_changed_word_is_judged_as_the_regular_expression_does(label):
+    items, rng = ls.parse(ls.TEMPLATES[label]), random.Random(label)
+    auto, pattern = ls.build({}, {label: ls.TEMPLATES[label]}), re.compile(ls.regex(items))
+    refused = 0
+    for _ in range(60):
+        words = filled(items, rng)
+        assert auto.match([w.encode() for w in words + ["more"]], 0).get("t:" + label, 0) >= len(words)
+        words[rng.randrange(len(words))] = "changed"
+        got = "t:" + label in auto.match([w.encode() for w in words], 0)
+        assert got == (pattern.match("".join(w + " " for w in words)) is not None), words
+        refused += not got
+    assert refused > 10
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+@pytest.mark.parametrize("text, labels", [
+    (MIT, "mit-text"),
+    (MIT.replace("THE\nAUTHORS OR COPYRIGHT HOLDERS", "ACME, INC. OR ITS AUTHORS"), "mit-text"),
+    (MIT.replace("WITHOUT WARRANTY", "WITH WARRANTY"), ""),
+    (MIT[:MIT.index("THE SOFTWARE IS")], ""),
+    (MIT.replace(", free of charge,", ""), ""),
+    (GPL, "gpl-3.0-header"),
+    (GPL.replace(", or\n(at your option) any later version", ""), "gpl-3.0-header"),
+    (GPL.replace("General", "Lesser General"), "lgpl-3.0-header"),
+    (GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), "gpl-2.0-header"),
+    (GPL.replace("WITHOUT ANY WARRANTY", "WITH A WARRANTY"), ""),
+    (APACHE, "apache-2,apache-2.0-header,apache-2.0-notice"),
+    (APACHE.replace("Unless", "Even if"), "apache-2,apache-2.0-notice"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa-4.0-header"),
+])
+def test_real_wording(text, labels):
+    auto = ls.build(ls.BASE, ls.TEMPLATES)
+    words = ls.words_of("(c) 2020 someone " + text + " end")
+    assert ",".join(sorted({k[2:] for at in range(len(words)) for k in auto.match(words, at)})) == labels
+
+
 @pytest.mark.parametrize("bad", ["<<endOptional>> x", "<<beginOptional>> x", "a <<what>>"])
 def test_bad_templates(bad):
     with pytest.raises(ValueError):
