@@ -9,7 +9,9 @@ A document is contaminated by an item if some window of its words is within
 2. CGK embedding: a random walk reads a window; at step j it outputs the current
    word and moves on or stays by a random bit of (j, word). Few edits become few
    differing output positions.
-3. Bit sampling: one bit of each of ``sample`` random output positions is a key.
+3. Sampling: the words at ``sample`` random output positions are a key (of the first
+   2 n steps, as later ones lie behind the end; the end itself never counts). Unrelated
+   windows rarely share one word at one place, so few of them have a common key.
    A window is a candidate if it agrees with the item in one of the
    repetitions. Their number follows from the agreement measured on random
    edits of all items, and the item length that needs most decides: its windows
@@ -41,7 +43,9 @@ from rolloutlab.llm.vectext import LOWER, chunks, mix, ngram_hashes, span_hashes
 
 RATE = 0.2
 RECALL = 0.999
-SAMPLE = 4
+SAMPLE = 2                    # outputs of a walk in a key
+SAMPLED = 2                   # steps, in item lengths, that keys are drawn from
+WALKS = 16                    # walks by which the agreement of an edited copy is measured
 BLOCK_WORDS = 2_000_000       # item words sent to the tasks at a time
 SCHEMA = "doc_id bigint, item_id bigint, distance int, first_word bigint, last_word bigint, n_passages int"
 _END = np.uint64(0x5BD1E995)
@@ -57,21 +61,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(low, starts, ends), rows
 
 
-def embed(windows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """CGK walks over windows (w, n), one per seed: outputs (seeds, w, 3n) as one random bit each."""
+def walk(windows: np.ndarray, seeds: np.ndarray, steps: int):
+    """CGK walks over windows (w, n), one per seed: the words put out at each step, as (seeds, w)."""
     w, n = windows.shape
-    padded = np.concatenate([windows, np.full((w, 1), _END, np.uint64)], axis=1)
-    out = np.empty((len(seeds), w, 3 * n), np.uint8)
-    rows = np.arange(w)
-    salt = mix(np.arange(3 * n, dtype=np.uint64)[None, :] + seeds[:, None])
-    for s in range(len(seeds)):
-        at = np.zeros(w, np.int64)
-        for j in range(3 * n):
-            word = padded[rows, np.minimum(at, n)]
-            coin = mix(word ^ salt[s, j])
-            out[s, :, j] = (coin >> np.uint64(17)) & np.uint64(1)
-            at += (coin & np.uint64(1)).astype(np.int64)
-    return out
+    flat = np.concatenate([windows, np.full((w, 1), _END, np.uint64)], axis=1).ravel()
+    begin, at = np.arange(w) * (n + 1), np.zeros((len(seeds), w), np.int64)
+    for j in range(steps):
+        word = flat[begin + np.minimum(at, n)]
+        yield word
+        at += (mix(word ^ mix(seeds + np.uint64(j))[:, None]) & np.uint64(1)).astype(np.int64)
+
+
+def embed(windows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The whole walks: outputs (seeds, w, 3n)."""
+    return np.stack(list(walk(windows, seeds, 3 * windows.shape[1])), axis=2)
 
 
 def edited(words: np.ndarray, edits: int, rng) -> np.ndarray:
@@ -92,16 +95,19 @@ def edited(words: np.ndarray, edits: int, rng) -> np.ndarray:
 
 
 def agreement(items: list[np.ndarray], edits: int, trials: int, rng) -> np.ndarray:
-    """For items of one length, the share of output bits in which randomly edited copies agree with them, one per copy."""
-    seeds, out = rng.integers(1, 2**62, 4).astype(np.uint64), []
+    """For items of one length, the share of outputs in which randomly edited copies agree with them, one per copy."""
+    seeds, out, n = rng.integers(1, 2**62, WALKS).astype(np.uint64), [], len(items[0])
     for lo in range(0, len(items), 64):
         many = np.stack([w for item in items[lo:lo + 64] for w in (item, *(edited(item, edits, rng) for _ in range(trials)))])
-        bits = embed(many, seeds).reshape(len(seeds), -1, trials + 1, 3 * many.shape[1])
-        out.append((bits[:, :, 1:] == bits[:, :, :1]).mean(axis=(0, 3)).ravel())
+        same = np.zeros((len(many) // (trials + 1), trials), np.int64)
+        for word in walk(many, seeds, SAMPLED * n):
+            lots = word.reshape(len(seeds), -1, trials + 1)
+            same += ((lots[:, :, 1:] == lots[:, :, :1]) & (lots[:, :, :1] != _END)).sum(axis=0)
+        out.append((same / (len(seeds) * SAMPLED * n)).ravel())
     return np.concatenate(out)
 
 
-def repetitions(items: list[np.ndarray], rate: float, sample: int, recall: float, trials: int = 40) -> int:
+def repetitions(items: list[np.ndarray], rate: float, sample: int, recall: float, trials: int = 10) -> int:
     """Repetitions of ``sample`` bits after which a window with all allowed edits is missed with probability 1 - recall,
     for the item length for which that takes most. All items count; a recall that cannot be reached is an error."""
     rng = np.random.default_rng(11)
@@ -174,16 +180,19 @@ class Screen:
         return out
 
     def agrees(self, item: np.ndarray, windows: np.ndarray) -> bool:
-        """Whether a window shares the item's sampled bits in some repetition (repetitions in growing lots)."""
-        n, lot, done = len(item), 4, 0
+        """Whether a window shares the item's sampled outputs in some repetition (repetitions in growing lots)."""
+        steps, lot, done = SAMPLED * len(item), 4, 0
         both = np.concatenate([item[None, :], windows])
         while done < self.reps:
             seeds = self.seeds[done:done + lot]
-            bits = embed(both, seeds)
-            for s, seed in enumerate(seeds):
-                at = (mix(seed + np.arange(1, self.sample + 1, dtype=np.uint64)) % np.uint64(3 * n)).astype(np.int64)
-                if (bits[s][1:, at] == bits[s][:1, at]).all(axis=1).any():
-                    return True
+            at = mix(seeds[:, None] + np.arange(1, self.sample + 1, dtype=np.uint64)) % np.uint64(steps)
+            shared = np.ones((len(seeds), len(windows)), bool)
+            for j, word in enumerate(walk(both, seeds, steps)):
+                if (now := (at == j).any(axis=1)).any():
+                    first = word[now, :1]
+                    shared[now] &= (word[now, 1:] == first) & (first != _END)
+            if shared.any():
+                return True
             done += len(seeds)
             lot *= 2
         return False

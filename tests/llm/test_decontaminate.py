@@ -138,3 +138,19 @@ def test_repetitions_hold_the_worst_length_and_never_stop_short():
         assert ((1 - hit) ** reps).mean() < 0.005
     with pytest.raises(ValueError):
         D.repetitions(items, D.RATE, 4096, D.RECALL)
+
+
+@pytest.mark.parametrize("n", [5, 12, 30, 60, 120])
+def test_keys_find_edited_windows_and_refuse_unrelated_ones(n):
+    rng = np.random.default_rng(n)
+    k = int(dc.RATE * n)
+    vocabulary = rng.integers(1, 2**62, 20_000).astype(np.uint64)
+    item = rng.choice(vocabulary, n)
+    reps = dc.repetitions([item], dc.RATE, dc.SAMPLE, dc.RECALL)
+    screen = dc.Screen([1], [item], dc.RATE, dc.SAMPLE, reps)
+    near = [screen.agrees(item, dc.edited(item, k, rng)[None, :]) for _ in range(400)]
+    far = [screen.agrees(item, rng.choice(vocabulary, (2 * k + 1, n))) for _ in range(100)]
+    assert sum(near) >= 0.99 * len(near) and sum(far) <= 1
+    front = item.copy()                                                 # all edits at the front
+    front[:k] = rng.integers(1, 2**62, k)
+    assert screen.agrees(item, front[None, :])
