@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolloutlab.llm.common import stored, table
+from rolloutlab.llm.common import shuffle_width, stored, table
 from rolloutlab.llm.vectext import mix
 
 K = 5
@@ -255,7 +255,9 @@ def build_index(vectors: DataFrame, k: int = K, shard: int = SHARD, links: int =
                          "layers": pa.array([[{"nodes": n.astype(np.int32).tobytes(), "links": e.astype(np.int32).tobytes()} for n, e in layers]],
                                             pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary())])))})
 
-    graphs = dealt.select("dim", "shard", "ids", "v", "draw").groupBy("dim", "shard").applyInArrow(run, INDEX_SCHEMA)
+    # a shard is few bytes and much work: a fixed number of partitions keeps adaptive execution from giving many to one task
+    graphs = (dealt.select("dim", "shard", "ids", "v", "draw").repartition(shuffle_width(vectors.sparkSession), "dim", "shard")
+              .groupBy("dim", "shard").applyInArrow(run, INDEX_SCHEMA))
     return stored(graphs, "ann-index")
 
 
@@ -303,7 +305,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH
                          "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     keys = ("dim", "shard", "block")
-    found = (graphs.groupBy(*keys).cogroup(asked.withColumn("h", F.xxhash64("v")).groupBy(*keys))
+    width = shuffle_width(index.sparkSession)
+    found = (graphs.repartition(width, *keys).groupBy(*keys).cogroup(asked.withColumn("h", F.xxhash64("v")).repartition(width, *keys).groupBy(*keys))
              .applyInArrow(run, "query_id bigint, h bigint, vec_id bigint, score double"))
     place = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(place)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score"))

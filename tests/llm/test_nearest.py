@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from rolloutlab.llm import nearest as N
@@ -107,3 +108,11 @@ def test_unusable_vectors_lengths_and_few_candidates(spark):
 def test_empty_table(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [], [(1, [1.0])]) == {}
+
+
+def test_shards_are_dealt_to_many_tasks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)]
+    index = N.build_index(spark.createDataFrame(rows, SCHEMA), shard=25)
+    shards = index.select(F.input_file_name().alias("file"), "shard").collect()
+    assert len(shards) > 8 and len({r.file for r in shards}) > 2        # each task writes a file
