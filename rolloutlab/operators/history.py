@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rolloutlab.operators.joins import join_null_safe
+from rolloutlab.operators.joins import join_null_safe, plain_keys
 from rolloutlab.operators.sampling import ranked_within
 
 ERROR_STAGE = "compile_error"
@@ -40,39 +40,40 @@ def trajectory(turns: DataFrame, key: str = "conv_id", order: str = "turn", rewa
 
     A turn stops when its text is non-empty and (reward >= ``stop_reward`` or
     iteration >= ``max_iterations``); empty text never stops but counts.
-    The stop position is found with aggregates only: the ``max_iterations``-th
-    order key comes from a per-key top-k (bounded shuffle), the first stopping
-    reward and the first non-empty turn at/after that key from ``min``. Only
-    turns up to the stop are numbered; with an integral turn column they are
-    numbered per chunk of ``turn_chunk`` turn values (per hour for a timestamp
-    column) plus chunk offsets, so even a conversation that never stops is not
-    held by one task."""
-    nonempty = F.coalesce(F.length(F.col(text)) > 0, F.lit(False))
-    w = Window.partitionBy(key).orderBy(order)
-    kth = (turns.select(key, order).withColumn("_rn", F.row_number().over(w))
-           .where(F.col("_rn") <= max_iterations)
-           .groupBy(key).agg(F.max(order).alias("_kth"), F.count(F.lit(1)).alias("_nk")))
-    kth = kth.where(F.col("_nk") == max_iterations).select(key, "_kth")
-    first_win = (turns.where(nonempty & (F.col(reward) >= stop_reward))
-                 .groupBy(key).agg(F.min(order).alias("_a")))
-    first_cap = (turns.join(kth, key).where(nonempty & (F.col(order) >= F.col("_kth")))
-                 .groupBy(key).agg(F.min(order).alias("_b")))
-    stops = first_win.join(first_cap, key, "full_outer").select(key, F.least("_a", "_b").alias("_stop"))
-    kept = (turns.join(stops, key, "left")
-            .where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))))
+    A prefix combine over chunks: turns are dealt to chunks of ``turn_chunk`` turn
+    values (an hour for a timestamp column; one chunk where ``order`` is neither
+    integral nor a timestamp) and numbered inside theirs. A chunk is summed up in
+    one row: its turns, its first stopping reward, and its first non-empty turns,
+    of which only the first ``max_iterations`` places matter. A scan over a
+    conversation's chunk rows adds the counts up and takes the first stop, so one
+    task never holds a long conversation. Rows are shuffled once, by conversation
+    and chunk. Null conversations are one conversation; a turn without an order
+    value comes first, never stops, and goes where there is a stop."""
     dtype = turns.schema[order].dataType
-    chunk = None
+    chunk = F.lit(0)
     if turn_chunk and isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
         chunk = F.floor(F.col(order) / F.lit(turn_chunk))
     elif turn_chunk and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         chunk = F.date_trunc("hour", F.col(order))
-    if chunk is not None:
-        numbered = (ranked_within(kept, [key], chunk, [F.col(order)])
-                    .withColumn("iteration", F.col("pos") + 1).drop("pos", "group_n"))
-    else:
-        numbered = kept.withColumn("iteration", F.row_number().over(w).cast("long"))
-    return (numbered.withColumn("should_stop", F.coalesce(F.col(order) == F.col("_stop"), F.lit(False)))
-            .drop("_stop"))
+    marked, plain = plain_keys(turns.withColumn("_chunk", chunk), [key, "_chunk"])
+    owner, place = plain[:2], plain[2:]
+    placed = marked.withColumn("_rn", F.row_number().over(Window.partitionBy(*plain).orderBy(order)))
+    said = F.coalesce(F.length(F.col(text)) > 0, F.lit(False)) & F.col(order).isNotNull()
+    early = F.col("_rn") <= max_iterations
+    chunks = placed.groupBy(*plain).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(F.when(said & (F.col(reward) >= stop_reward), F.col(order))).alias("_won"),
+        F.collect_list(F.when(said & early, F.struct("_rn", F.col(order).alias("at")))).alias("_early"),
+        F.min(F.when(said & ~early, F.col(order))).alias("_late"))
+    before = Window.partitionBy(*owner).orderBy(F.desc(place[1]), place[0]).rowsBetween(Window.unboundedPreceding, -1)
+    scan = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    full = F.array_min(F.transform(F.filter("_early", lambda t: t["_rn"] + F.col("_off") >= max_iterations), lambda t: t["at"]))
+    stops = scan.withColumn("_stop", F.least("_won", "_late", full)).select(
+        *plain, "_off", F.min("_stop").over(Window.partitionBy(*owner)).alias("_stop"))
+    return (placed.join(stops, plain).where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop")))
+            .withColumn("iteration", (F.col("_off") + F.col("_rn")).cast("long"))
+            .withColumn("should_stop", F.coalesce(F.col(order) == F.col("_stop"), F.lit(False)))
+            .drop("_stop", "_off", "_rn", "_chunk", *plain))
 
 
 def stage_distribution(log: DataFrame, stage: str = "stage", reward: str = "reward") -> DataFrame:

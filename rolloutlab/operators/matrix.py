@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloutlab.operators.joins import join_null_safe
+from rolloutlab.operators.joins import plain_keys
 from rolloutlab.operators.sampling import ranked_within
 
 
@@ -30,15 +30,17 @@ def softmax_rows(df: DataFrame, group: list[str], value: str, out: str = "softma
     column within each group of rows.
 
     Group max and sum come from ``groupBy`` (partial aggregation) joined back on
-    the group key; both outputs come from the same two statistics, and the
-    second aggregate and join reuse the first join's partitioning."""
-    mx = df.groupBy(*group).agg(F.max(value).alias("_mx"))
-    e = join_null_safe(df, mx, group).withColumn("_e", F.exp(F.col(value) - F.col("_mx")))
-    s = e.groupBy(*group).agg(F.sum("_e").alias("_s"))
-    res = join_null_safe(e, s, group).withColumn(out, F.col("_e") / F.col("_s"))
+    the group key; both outputs come from the same two statistics. The rows are
+    shuffled by the key once for both joins, and once more, with the value alone,
+    for the sum."""
+    marked, plain = plain_keys(df, group)
+    mx = marked.groupBy(*plain).agg(F.max(value).alias("_mx"))
+    e = marked.join(mx, plain).withColumn("_e", F.exp(F.col(value) - F.col("_mx")))
+    s = e.groupBy(*plain).agg(F.sum("_e").alias("_s"))
+    res = e.join(s, plain).withColumn(out, F.col("_e") / F.col("_s"))
     if log_out:
         res = res.withColumn(log_out, F.col(value) - F.col("_mx") - F.ln("_s"))
-    return res.drop("_mx", "_e", "_s")
+    return res.drop("_mx", "_e", "_s", *plain)
 
 
 def feature_stats(df: DataFrame, col: str) -> DataFrame:

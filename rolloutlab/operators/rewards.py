@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from rolloutlab.functions.text import kernel_source, python_source, scorable
 from rolloutlab.operators.checks import roll_up_checks
-from rolloutlab.operators.joins import join_null_safe
+from rolloutlab.operators.joins import join_null_safe, with_statistics
 from rolloutlab.operators.timing import compare_variants, device_time
 
 # FIXED VALUES: stage names and reward levels.
@@ -188,11 +188,10 @@ def group_advantage(rewards: DataFrame, group: str = "prompt_id", reward: str =
     nothing runs while the plan is built, and a hot group is not gathered."""
     if materialize:
         rewards = rewards.repartition(*(F.col(f"`{c}`") for c in rewards.columns))
-    stats = rewards.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"),
-                                       F.count(F.lit(1)).alias("_n"))
     adv = F.when(F.col("_n") > 1, (F.col(reward) - F.col("_mean")) / (F.coalesce(F.col("_std"), F.lit(0.0))
                                                                       + F.lit(eps))).otherwise(F.lit(0.0))
-    return join_null_safe(rewards, stats, [group]).withColumn("advantage", adv).drop("_mean", "_std", "_n")
+    known = with_statistics(rewards, [group], F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"), F.count(F.lit(1)).alias("_n"))
+    return known.withColumn("advantage", adv).drop("_mean", "_std", "_n")
 
 
 def with_reward(df: DataFrame, fns: list, weights: list[float] | None = None, out: str = "reward") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rolloutlab.dictionaries import OP_DICTS, lit_map, phase_of, snippet_rows
-from rolloutlab.operators.joins import join_null_safe
+from rolloutlab.operators.joins import plain_keys
 from rolloutlab.operators.matching import key_lookup
 
 HEX_DIGITS = 3  # default: 16**3 = 4,096 buckets; more digits for more rows
@@ -46,18 +46,17 @@ def bucketed_rank(df: DataFrame, bucket: Column, order: list[Column]) -> DataFra
 
     ``bucket`` must be a coarse prefix of the ordering with a bounded number of
     values (here at most a few tens of thousands)."""
-    keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # bounded table (one row per bucket): a single small window is fine here
-    w_all = Window.orderBy("_bucket")
+    keyed, plain = plain_keys(df.withColumn("_bucket", bucket), ["_bucket"])
+    counts = keyed.groupBy(*plain).agg(F.count(F.lit(1)).alias("_n"))
+    # bounded table (one row per bucket): a single small window is fine here; a null bucket comes first
+    w_all = Window.orderBy(F.desc("_null0"), "_key0")
     offsets = counts.select(
-        "_bucket",
+        *plain,
         F.coalesce(F.sum("_n").over(w_all.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("n_total"))
-    ranked = join_null_safe(keyed, offsets, ["_bucket"])
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    return ranked.withColumn("rank", (F.col("_off") + F.row_number().over(w)).cast("long")) \
-        .drop("_bucket", "_off")
+    w = Window.partitionBy(*plain).orderBy(*order)
+    return (keyed.join(offsets, plain).withColumn("rank", (F.col("_off") + F.row_number().over(w)).cast("long"))
+            .drop("_bucket", "_off", *plain))
 
 
 def shuffled_rank(df: DataFrame, id_col: str = "sample_id", seed: int = 42, method: str = "md5",
@@ -74,17 +73,19 @@ def ranked_within(df: DataFrame, group: list[str], bucket: Column, order: list[C
     (e.g. the hour of a timestamp): rows are counted per (group, bucket), the
     small count table gives each bucket its offset, and ``row_number`` runs per
     (group, bucket). A hot group is therefore spread over many tasks."""
-    keyed = df.withColumn("_bk", bucket)          # null groups and null order keys are groups of their own
-    counts = keyed.groupBy(*group, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    wg = Window.partitionBy(*group).orderBy("_bk")
-    offs = counts.select(*group, "_bk",
+    # null groups and null order keys are groups of their own
+    keyed, plain = plain_keys(df.withColumn("_bk", bucket), [*group, "_bk"])
+    owner, place = plain[:-2], plain[-2:]
+    counts = keyed.groupBy(*plain).agg(F.count(F.lit(1)).alias("_n"))
+    wg = Window.partitionBy(*owner).orderBy(F.desc(place[1]), place[0])
+    offs = counts.select(*plain,
                          F.coalesce(F.sum("_n").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                          .alias("_off"),
-                         F.sum("_n").over(Window.partitionBy(*group)).alias("group_n"))
-    w = Window.partitionBy(*group, "_bk").orderBy(*order)
-    return (join_null_safe(keyed, offs, [*group, "_bk"])
+                         F.sum("_n").over(Window.partitionBy(*owner)).alias("group_n"))
+    w = Window.partitionBy(*plain).orderBy(*order)
+    return (keyed.join(offs, plain)
             .withColumn("pos", (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_bk", "_off"))
+            .drop("_bk", "_off", *plain))
 
 
 def exact_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", seed: int = 42,
@@ -110,13 +111,12 @@ def exact_split(df: DataFrame, ratio: float = 0.1, id_col: str = "sample_id", se
     val_table = bounds.where("_off < _val").agg(
         F.max_by("_b", "_end").alias("last"), F.max_by(F.col("_val") - F.col("_off"), "_end").alias("take")).select(
         F.struct("last", "take").alias("v"))
-    last, take = val_table.select("v.last").scalar(), val_table.select("v.take").scalar()
-    marked = keyed.withColumn("_last", last)
+    marked = keyed.withColumn("_at", val_table.scalar()).withColumn("_last", F.col("_at.last"))
     clear = marked.where(~F.col("_b").eqNullSafe(F.col("_last"))).select(
         *names, F.when(F.col("_b") < F.col("_last"), "val").otherwise("train").alias("split"))
     order = Window.partitionBy("_b").orderBy("_k", id_col, F.xxhash64(*names))
-    edge = (marked.where(F.col("_b").eqNullSafe(F.col("_last"))).withColumn("_rank", F.row_number().over(order)).withColumn("_take", take)
-            .select(*names, F.when(F.col("_rank") <= F.col("_take"), "val").otherwise("train").alias("split")))
+    edge = (marked.where(F.col("_b").eqNullSafe(F.col("_last"))).withColumn("_rank", F.row_number().over(order))
+            .select(*names, F.when(F.col("_rank") <= F.col("_at.take"), "val").otherwise("train").alias("split")))
     return clear.unionAll(edge)
 
 

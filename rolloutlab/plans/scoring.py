@@ -459,11 +459,9 @@ def q_spikes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _traj_turns(spark: SparkSession, sf: str) -> DataFrame:
-    r = fx.v_rollouts(spark, sf)
-    ev = read_table(spark, sf, "events", "event_id", "user_id")
-    return (r.join(ev, "event_id").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "reward",
-                                          F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code"))
-                                          .alias("text")))
+    return fx.v_rollouts(spark, sf, "user_id").select(
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "reward",
+        F.when(F.col("stage") == "no_code", F.lit("")).otherwise(F.lit("code")).alias("text"))
 
 
 _TRAJ_TURNS_SQL = """tt AS (SELECT e.user_id AS conv_id, r.event_id AS turn, r.reward,

@@ -234,9 +234,9 @@ V_TIMINGS_SQL = """v_timings AS (
 
 
 # --------------------------------------------------------------------------- rollouts
-def v_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_rollouts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """One scored completion per event: (event_id, ts, run_id, step, generation,
-    prompt_id, stage, reward, loss, kl, length, terminated)."""
+    prompt_id, stage, reward, loss, kl, length, terminated) and the ``keep`` columns of ``events``."""
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     et = F.col("event_type")
     stage = (F.when(et == "error", "compile_error").when(et == "signup", "no_code")
@@ -252,7 +252,7 @@ def v_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 8).alias("generation"), F.floor(F.col("event_id") / 4).cast("long").alias("prompt_id"),
         stage.alias("stage"), reward.alias("reward"), F.col("value").alias("loss"),
         (F.col("value") * F.col("value") / 100.0).alias("kl"),
-        length.alias("length"), (length < 1900).alias("terminated"))
+        length.alias("length"), (length < 1900).alias("terminated"), *keep)
 
 
 V_ROLLOUTS_SQL = """v_rollouts AS (

@@ -292,3 +292,39 @@ def test_trajectory_timestamp_turns_are_chunked(spark):
     a = sorted(rows(HI.trajectory(ev, max_iterations=20), *cols))
     b = sorted(rows(HI.trajectory(ev, max_iterations=20, turn_chunk=None), *cols))
     assert a == b and len(a) > 0
+
+
+def test_trajectory_equals_a_plain_walk(spark):
+    """Gaps, null conversations, empty texts, turns without a value, and a conversation with most of the rows."""
+    import random
+
+    from rolloutlab.operators import history as HI
+    rng = random.Random(4)
+    data = []
+    for conv, size in [("hot", 600), (None, 40), ("never", 50), ("short", 3)] + [(f"c{i}", rng.randint(1, 30)) for i in range(25)]:
+        for turn in rng.sample(range(-50, 5 * size), size):
+            r = rng.choice([0.0, 0.5, 1.0, None]) if conv in ("hot", "never") else rng.choice([0.0, 1.0, 3.0, None])
+            data.append((conv, turn, r, "" if conv == "never" else rng.choice(["x", "x", "", None])))
+    data.append(("never", None, 3.0, "x"))
+    want = []
+    for conv in {d[0] for d in data}:
+        mine = sorted((d for d in data if d[0] == conv), key=lambda d: (d[1] is not None, d[1] or 0))
+        stop = next((t for i, (_, t, r, x) in enumerate(mine, 1) if x and t is not None and ((r or 0) >= 3.0 or i >= 7)), None)
+        want += [(conv, t, i, stop is not None and t == stop) for i, (_, t, _, _) in enumerate(mine, 1)
+                 if stop is None or (t is not None and t <= stop)]
+    df = spark.createDataFrame(data, "conv_id string, turn long, reward double, text string").repartition(5)
+    for chunk in (5, 64, 4096, None):
+        got = rows(HI.trajectory(df, max_iterations=7, turn_chunk=chunk), "conv_id", "turn", "iteration", "should_stop")
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_keys_of_any_type_join_their_nulls(spark):
+    from rolloutlab.operators.joins import with_statistics
+    for kind, values in [("string", ["", "a", None]), ("double", [0.0, 1.5, None]), ("date", ["1970-01-01", "2020-01-02", None]),
+                         ("timestamp", ["1970-01-01 00:00:00", None]), ("boolean", [False, True, None]), ("binary", [b"", b"x", None]),
+                         ("decimal(9,2)", [0, 3, None]), ("array<int>", [[], [1], None]), ("struct<a:int,b:string>", [(0, ""), (None, None), None])]:
+        plain = kind.startswith(("date", "timestamp", "decimal"))
+        df = spark.createDataFrame([(str(v) if plain and v is not None else v, i) for i, v in enumerate(values * 3)],
+                                   f"k {'string' if plain else kind}, i int").withColumn("k", F.col("k").cast(kind))
+        got = with_statistics(df, ["k"], F.count(F.lit(1)).alias("n")).collect()
+        assert [r.n for r in got] == [3] * len(values) * 3, kind

@@ -68,3 +68,20 @@ def test_no_cartesian_products_anywhere(spark):
         assert "CartesianProduct" not in p, name
         if "BroadcastNestedLoopJoin" in p:
             assert name in {"match_fuzzy", "attach_snippets", "reference_text_join", "curriculum"}, name
+
+
+@pytest.mark.parametrize("name,exchanges,reads", [("trajectory", 4, 2), ("softmax_rows", 4, 4), ("prepare_prompts", 3, 3)])
+def test_shuffles_and_scans_without_broadcasts(spark, name, exchanges, reads):
+    """Shuffles planned, and scans outside the split's boundary (one subquery, which all its places share) plus its own."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(spark, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    boundary = set(re.findall(r"Subquery (subquery#\d+), \[id=#\d+\]\n", p))
+    assert len(boundary) <= 1
+    copies = len(re.findall(r"\+- Subquery subquery#", p))
+    inside = 1 if copies else 0                       # a boundary has one scan and one shuffle of its own
+    assert len(scans(p)) - copies * inside + inside <= reads
+    assert len(re.findall(r"Exchange hashpartitioning", p)) - copies * inside + inside <= exchanges
