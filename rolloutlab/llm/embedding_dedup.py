@@ -37,11 +37,11 @@ MAX_PIVOTS = 1024   # pivots sent to every task, over all labels (bounds the bro
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """Distinct usable vectors: label, h1, h2, cid (key of the class), class_id (its smallest id), weight, v."""
+    """Distinct usable vectors: label, h1, h2, cid (a number given when they are written), class_id (its smallest id), weight, v."""
     usable = rows.where("label IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
                         " AND exists(v, x -> x <> 0)")
     return usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"),
-                                                   F.any_value("v").alias("v")).withColumn("cid", F.xxhash64("label", "h1", "h2"))
+                                                   F.any_value("v").alias("v")).withColumn("cid", F.monotonically_increasing_id())
 
 
 def pick_pivots(classes: DataFrame, cell: int, limit: int) -> dict[tuple[int, int], np.ndarray]:

@@ -41,6 +41,7 @@ NUMERATOR, DENOMINATOR = 75, 100       # similarity >= 75 / 100, compared in who
 BANDS, ROWS = 32, 4
 BATCH = 32                             # signature values compared at a time
 MISS = 1e-6                            # posterior probability below which a pair is pruned
+CLASS = ["n", "h1", "h2"]              # what a class of equal sets is known by
 BLOCK, BLOCK_VALUES = 2048, 2_000_000  # members and shingles of one side of a task that compares a split bucket
 
 WORD_BYTE = np.ones(256, bool)
@@ -255,7 +256,7 @@ def compare_buckets(members: DataFrame, details: DataFrame, least: dict[int, int
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(cid, values) of the wanted (cid, doc_id) classes, from the texts."""
+    """(cid, values) of the wanted (cid, doc_id, n, h1, h2) classes, from the texts."""
 
     def run(batches):
         for batch in batches:
@@ -269,16 +270,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     found = (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
              .withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"]).select("text"))
-    sets = found.mapInArrow(run, "n bigint, h1 bigint, h2 bigint, values binary").select(F.xxhash64("n", "h1", "h2").alias("cid"), "values")
-    return sets.join(wanted.select("cid"), "cid", "left_semi")
+    sets = found.mapInArrow(run, "n bigint, h1 bigint, h2 bigint, values binary")
+    return sets.join(wanted.select("cid", *CLASS), CLASS).select("cid", "values")
 
 
 def groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], bands: int, rows: int, batch: int, miss: float) -> tuple[DataFrame, DataFrame]:
-    """The sketch and class (cid) of every row of (doc_id, text), and (cid, doc_id, c) with the component c of every class."""
+    """The sketch of every row of (doc_id, text), and (*CLASS, doc_id, c) with the component c of every class.
+
+    A class is known by its size and both fingerprints; its cid is a number given when the classes are written."""
     num, den = similarity
-    sketches = stored(sketch(docs, shingle, bands, rows).withColumn("cid", F.when(F.col("n") > 0, F.xxhash64("n", "h1", "h2"))), "sketches")
-    classes = stored(sketches.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"),
-                                                                F.any_value("sig").alias("sig")), "classes")
+    sketches = stored(sketch(docs, shingle, bands, rows), "sketches")
+    classes = stored(sketches.where("n > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"))
+                     .withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = band_keys(classes, bands, rows)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stored(keys.join(shared, "key"), "buckets")
@@ -296,7 +299,7 @@ def groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], bands: in
         fitting = pairs.join(x, "a").join(y, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
         left = stored(bayes_prune(fitting, limits, batch), "survivors")
         need = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets = stored(full_sets(docs, classes.select("cid", "doc_id").join(need, "cid"), shingle), "full-sets")
+        sets = stored(full_sets(docs, classes.select("cid", "doc_id", *CLASS).join(need, "cid"), shingle), "full-sets")
         return stored(verify(left, sets, num, den), "links")
 
     links = linked(star)
@@ -307,11 +310,11 @@ def groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], bands: in
     split = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rest = stored(marked.join(split, "key"), "split-buckets")
     open_ = classes.join(rest.select("cid").distinct(), "cid")
-    sets = stored(full_sets(docs, open_.select("cid", "doc_id"), shingle), "full-sets")
+    sets = stored(full_sets(docs, open_.select("cid", "doc_id", *CLASS), shingle), "full-sets")
     more = stored(compare_buckets(rest, open_.select("cid", "n", "sig").join(sets, "cid"), limits, batch, rows, num, den), "links")
     comps = components(links.unionAll(more), "near-components")
-    return sketches, (classes.select("cid", "doc_id").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
-                      .select("cid", "doc_id", F.coalesce("component", "cid").alias("c")))
+    return sketches, (classes.select("cid", "doc_id", *CLASS).join(comps.withColumnRenamed("id", "cid"), "cid", "left")
+                      .select(*CLASS, "doc_id", F.coalesce("component", "cid").alias("c")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = (NUMERATOR, DENOMINATOR), bands: int = BANDS,
@@ -319,8 +322,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     """doc_id, n_shingles, component_id, kept for every row."""
     sketches, named = groups(id_text(docs, id_col, text_col), shingle, similarity, bands, rows, batch, miss)
     smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "c").select("cid", "component_id")
-    return (sketches.select("doc_id", "n", "cid").join(named, "cid", "left")
+    named = named.join(smallest, "c").select(*CLASS, "component_id")
+    return (sketches.select("doc_id", *CLASS).join(named, CLASS, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
@@ -333,7 +336,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int,
     texts under the same id do not come with it. Rows without words all stay."""
     sketches, named = groups(id_text(docs, id_col, text_col), shingle, similarity, bands, rows, batch, miss)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r")
-    chosen = (sketches.where("n > 0").select("cid", "doc_id", "text_hash").join(named.select("cid", "c"), "cid").groupBy("c").agg(first)
+    chosen = (sketches.where("n > 0").select(*CLASS, "doc_id", "text_hash").join(named.select(*CLASS, "c"), CLASS).groupBy("c").agg(first)
               .select("r.doc_id", "r.text_hash", F.lit(True)))
     wordless = sketches.where("n = 0").select("doc_id", "text_hash", F.lit(False)).distinct()
     kept = chosen.unionAll(wordless).toDF("__id", "__hash", "__words")
