@@ -16,6 +16,7 @@ import uuid
 from bisect import insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,40 +119,55 @@ def stream_scores(rollouts: DataFrame, window: str = "1 day", delay: str | None
     return last.select("window_start", "stage", "s.n", (F.col("s.total") / F.when(F.col("s.n_reward") > 0, F.col("s.n_reward"))).alias("mean_reward"))
 
 
-_OPEN = "subs array<struct<id:long,ts:long>>, results array<struct<ts:long,id:long,value:double>>"
+SLOTS = 16             # groups of keys per time bucket; a checkpoint holds for one number
+_OPEN = "sub_key array<long>, sub_ms array<long>, sub_id array<long>, res_key array<long>, res_ms array<long>, res_id array<long>, res_value array<double>"
 
 
 def _decide_fn(within_ms: int):
-    """Holds the open submissions of one (key, time bucket) and emits each once: with its earliest result as soon as no
-    earlier one can come, or without one when its time has passed."""
+    """Holds the open submissions of one (slot of keys, time bucket) and emits each once: with its key's earliest result as
+    soon as no earlier one can come, or without one when its time has passed. All keys of a slot are decided together, by
+    one sort and one search, as a call per key costs far more than its few rows."""
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        subs, found = [[tuple(x) for x in (part or [])] for part in (state.get if state.exists else ([], []))]
+        held = state.get if state.exists else [[]] * 7
+        cols = [[np.array(c, "float64" if i == 6 else "int64")] for i, c in enumerate(held)]
         if not state.hasTimedOut:
             for pdf in pdfs:
-                for is_result, id_, ts, value in zip(pdf["is_result"], pdf["id"], pdf["ms"], pdf["value"]):
-                    if is_result:
-                        insort(found, (int(ts), int(id_), None if pd.isna(value) else float(value)))
-                    else:
-                        subs.append((int(id_), int(ts)))
+                is_result = pdf["is_result"].to_numpy(bool)
+                for i, name in enumerate(("key", "ms", "id")):
+                    column = pdf[name].to_numpy("int64")
+                    cols[i].append(column[~is_result])
+                    cols[3 + i].append(column[is_result])
+                cols[6].append(pdf["value"].to_numpy("float64")[is_result])
+        sub_key, sub_ms, sub_id, res_key, res_ms, res_id, res_value = (np.concatenate(c) for c in cols)
+        # (key, time) as one number: the rank of the key, then the time within the two buckets of the group
+        rank = np.unique(np.concatenate([sub_key, res_key]), return_inverse=True)[1]
+        times = np.concatenate([sub_ms, res_ms])
+        place = rank * (np.ptp(times) + 1) + times - times.min() if len(times) else times
+        sub_place, res_place = place[:len(sub_key)], place[len(sub_key):]
+        order = np.lexsort((res_id, res_place))
+        res_key, res_ms, res_id, res_value = res_key[order], res_ms[order], res_id[order], res_value[order]
+        found, until = np.zeros(len(sub_key), bool), sub_ms + within_ms
+        if len(res_key):
+            first = np.searchsorted(res_place[order], sub_place)
+            best = np.minimum(first, len(res_key) - 1)
+            found = (first < len(res_key)) & (res_key[best] == sub_key) & (res_ms[best] <= until)
+            until = np.where(found, res_ms[best], until)
         now = state.getCurrentWatermarkMs()
-        out, waiting, due = [], [], []
-        for id_, ts in subs:
-            best = next((r for r in found if ts <= r[0] <= ts + within_ms), None)
-            until = best[0] if best else ts + within_ms
-            if until < now:                       # nothing that is not late can change it
-                out.append((id_, best[1] if best else None, best[2] if best else None))
-            else:
-                waiting.append((id_, ts))
-                due.append(until)
-        first = min([ts for _, ts in waiting], default=now)
-        found = [r for r in found if r[0] >= min(first, now)]
-        if waiting or found:
-            state.update(([list(x) for x in waiting], [list(x) for x in found]))
-            state.setTimeoutTimestamp(max(min(due, default=found[-1][0] if found else now), now) + 1)
+        done = until < now                        # nothing that is not late can change it
+        kept = res_ms >= now                      # an earlier one is the first of no submission that waits or may still come
+        if not done.all() or kept.any():
+            state.update(tuple(c.tolist() for c in (sub_key[~done], sub_ms[~done], sub_id[~done], res_key[kept], res_ms[kept], res_id[kept], res_value[kept])))
+            state.setTimeoutTimestamp(max(int(until[~done].min() if not done.all() else res_ms[kept].max()), now) + 1)
         else:
             state.remove()
-        yield pd.DataFrame(out, columns=["sub_id", "res_id", "res_value"]).astype({"sub_id": "int64", "res_id": "Int64", "res_value": "float64"})
+        if done.any():
+            with_result = found[done]
+            res, value = np.zeros(len(with_result), "int64"), np.full(len(with_result), np.nan)
+            if with_result.any():
+                at = best[done][with_result]
+                res[with_result], value[with_result] = res_id[at], res_value[at]
+            yield pd.DataFrame({"sub_id": sub_id[done], "res_id": pd.arrays.IntegerArray(res, ~with_result), "res_value": value})
 
     return fn
 
@@ -175,7 +191,8 @@ def stream_timeout_join(subs: DataFrame, res: DataFrame, within_s: int = 6 * 360
     """ST2: each submission (sub_id, key, ts) is paired with the earliest result (res_id, key, ts, value) of its key that
     comes within ``within_s`` seconds; submissions without one get ``default``.
 
-    State holds the open submissions per key and time bucket of that length, so a busy key is spread over many groups. A
+    State holds the open submissions per time bucket of that length and slot of keys (``SLOTS`` of them), so a busy key is
+    spread over many groups, and the number of groups grows with the time that the input spans, not with its keys. A
     submission is emitted once: with its result when the watermark has passed that, or without when its time is over;
     event-time timers do both. Rows behind the watermark (``delay``) do not reach the state; all rows are also written
     to ``out/seen``, from which submissions that got none, or never came out, are looked up again: ``late`` marks a
@@ -189,9 +206,11 @@ def stream_timeout_join(subs: DataFrame, res: DataFrame, within_s: int = 6 * 360
         res.select(F.lit(True), F.col("res_id"), "key", "ts", "value"))
     schema = "is_result boolean, id bigint, key bigint, ts timestamp, value double"
     bucket = F.floor(F.unix_micros("ts") / F.lit(within_s * 1_000_000)).cast("long")
-    dealt = (both.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+    # rows without a key stand together, in a slot of their own
+    slot = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int"))
+    dealt = (both.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).withColumn("slot", slot).withColumn("key", F.coalesce("key", F.lit(0)))
              .withColumn("b", F.explode(F.when(F.col("is_result"), F.array(bucket, bucket - 1)).otherwise(F.array(bucket)))))
-    decided = dealt.groupBy("key", "b").applyInPandasWithState(_decide_fn(within_s * 1000), "sub_id long, res_id long, res_value double", _OPEN,
+    decided = dealt.groupBy("slot", "b").applyInPandasWithState(_decide_fn(within_s * 1000), "sub_id long, res_id long, res_value double", _OPEN,
                                                                "append", GroupStateTimeout.EventTimeTimeout)
     for name, stream in (("decided", decided), ("seen", both)):
         _drain(stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/{name}"), f"{checkpoint}/{name}")
