@@ -34,6 +34,11 @@ def fenced_blocks(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
             .select(*keys, F.col("pos").cast("long").alias("pos"), "b.lang", "b.body"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once a row: a column that is named several times in (nested) lambdas is computed as often."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def signature_params(c) -> Column:
     """The launcher's parameters strictly between the last ``int ...size...``
     and the last ``hipStream_t`` parameter, as ``array<struct<pos,ctype,name>>``.
@@ -41,13 +46,7 @@ def signature_params(c) -> Column:
     an unknown type, or the markers are adjacent/out of order."""
     c = _c(c)
     present = F.coalesce(c.rlike(LAUNCH_RE), F.lit(False))
-    params = F.transform(F.split(F.regexp_replace(F.regexp_extract(c, LAUNCH_RE, 1), r"\s+", " "), ","),
-                         lambda p: F.trim(p))
-    size_i = F.array_max(F.transform(params, lambda p, i: F.when(p.rlike(SIZE_PARAM_RE), i)))
-    stream_i = F.array_max(F.transform(params, lambda p, i: F.when(p.contains(STREAM_TYPE), i)))
-    valid = present & size_i.isNotNull() & stream_i.isNotNull() & (stream_i > size_i + 1)
-    extras = F.slice(params, F.coalesce(size_i + 2, F.lit(1)),
-                     F.greatest(F.coalesce(stream_i - size_i - 1, F.lit(0)), F.lit(0)))
+    empty = F.array().cast(PARAM_TYPE)
 
     def item(p: Column, j: Column) -> Column:
         ptr = p.rlike(POINTER_RE)
@@ -56,9 +55,19 @@ def signature_params(c) -> Column:
         name = F.when(ptr, F.regexp_extract(p, POINTER_RE, 2)).when(scal, F.regexp_extract(p, SCALAR_RE, 2))
         return F.struct(j.alias("pos"), ctype.alias("ctype"), name.alias("name"))
 
-    items = F.transform(extras, item)
-    empty = F.array().cast(PARAM_TYPE)
-    return F.when(valid & F.forall(items, lambda x: x["ctype"].isNotNull()), items).otherwise(empty).cast(PARAM_TYPE)
+    def marked(params: Column) -> Column:
+        size_i = F.array_max(F.transform(params, lambda p, i: F.when(p.rlike(SIZE_PARAM_RE), i)))
+        stream_i = F.array_max(F.transform(params, lambda p, i: F.when(p.contains(STREAM_TYPE), i)))
+        return F.struct(params.alias("params"), size_i.alias("size_i"), stream_i.alias("stream_i"))
+
+    def between(m: Column) -> Column:
+        extras = F.slice(m["params"], m["size_i"] + 2, m["stream_i"] - m["size_i"] - 1)
+        known = _once(F.transform(extras, item), lambda items: F.when(F.forall(items, lambda x: x["ctype"].isNotNull()), items).otherwise(empty))
+        return F.when(m["stream_i"] > m["size_i"] + 1, known).otherwise(empty)      # not when a marker is missing (null)
+
+    params = F.transform(F.split(F.regexp_replace(F.regexp_extract(c, LAUNCH_RE, 1), r"\s+", " "), ","),
+                         lambda p: F.trim(p))
+    return F.when(present, _once(_once(params, marked), between)).otherwise(empty).cast(PARAM_TYPE)
 
 
 def _type_map() -> Column:
@@ -93,7 +102,8 @@ def argument_table(df: DataFrame, params_col: str, keys: list[str], type_map: Da
     dtype, cast flag and call expression. The library's own type map has 8 rows
     and is broadcast with ``small=True``; by default adaptive execution decides
     from the table's measured size."""
-    rows = df.select(*keys, F.explode(params_col).alias("p")).select(*keys, "p.pos", "p.ctype", "p.name")
+    # rows without a parameter go after the explode: a filter before it would make the parameters a second time
+    rows = df.select(*keys, F.explode_outer(params_col).alias("p")).where("p IS NOT NULL").select(*keys, "p.pos", "p.ctype", "p.name")
     j = rows.join(F.broadcast(type_map) if small else type_map, "ctype", "left")
     is_ptr = F.col("ctype").contains("*")
     host = F.when(is_ptr, F.lit("torch::Tensor")).otherwise(F.coalesce("host_type", "ctype"))

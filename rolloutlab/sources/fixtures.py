@@ -129,8 +129,12 @@ _CTOR = {0: "def __init__(self):", 1: "def __init__(self, a: float = 1.0):",
 
 
 def v_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model_id, kernel_code, model_code) from ``part``: launcher and constructor texts."""
+    """(model_id, kernel_code, model_code) from ``part``: launcher and constructor texts.
+
+    The two narrow columns are dealt to the session's width first: the file of a million parts is a few MB, one or two
+    scan tasks, and each row becomes two texts that are searched at length."""
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_size")
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     m5 = F.col("p_partkey") % 5
     extra = F.when(m5 == 0, _EXTRA[0]).when(m5 == 1, _EXTRA[1]).when(m5 == 2, _EXTRA[2]) \
         .when(m5 == 3, _EXTRA[3]).otherwise(_EXTRA[4])
