@@ -24,6 +24,8 @@ LOT_BYTES = 8 << 20           # of text that is split into pieces at a time
 #: A trailing run of these never joins the letters before it into one pre-token (no apostrophe: contractions).
 TRAIL = ".,;:!?*#$%&|"
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTER = frozenset(c for c in map(chr, range(256)) if _LETTERS.fullmatch(c))
+_ABSENT = object()
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,45 +41,40 @@ def worker_state(key, make):
     return holder.__dict__[key]
 
 
-class _Unsafe(Exception):
-    pass
-
-
 class _Pieces(dict):
-    """piece -> ids as little-endian uint32 bytes; ``prefix`` stands before every piece."""
+    """piece -> ids as little-endian uint32 bytes, None if it is unsafe; ``prefix`` stands before every piece."""
 
     def __init__(self, owner, prefix: str):
         super().__init__()
         self.owner, self.prefix, self.older = owner, prefix, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes | None:
         ids = self[piece] = self.owner.piece(piece, self)
         return ids
 
-    def prime(self, pieces: set[str]) -> None:
-        """Encode the unknown letters-only pieces (without trailing marks) in a few long calls.
-
-        Joined by ``joint`` each is one pre-token, so the library's word numbers tell them apart."""
+    def prime(self, pieces: list[str]) -> None:
+        """Encode the unknown letters-only pieces (without trailing marks) in a few long calls, and lay the marks' ids behind them."""
         if len(self) >= CACHE_ENTRIES:
             self.older = dict(self)          # what is still in use moves back piece by piece
             self.clear()
         new = [p for p in pieces if p not in self]
         if self.older:
-            self.update((p, self.older[p]) for p in new if p in self.older)
-            new = [p for p in new if p not in self]
-        cores = {p.rstrip(TRAIL) for p in new}
+            old = self.older.get
+            self.update(back := {p: ids for p in new if (ids := old(p, _ABSENT)) is not _ABSENT})
+            new = [p for p in new if p not in back]
+        stripped = [p.rstrip(TRAIL) for p in new]
+        cores = {c for c in stripped if c not in self}
         if self.older:
-            self.update((c, self.older[c]) for c in cores if c in self.older)
-        cores = [c for c in cores if c not in self and _LETTERS.fullmatch(c)]
-        first, joint, every = self.owner.joints[self.prefix]
+            self.update(back := {c: ids for c in cores if (ids := old(c, _ABSENT)) is not _ABSENT})
+            cores -= back.keys()
+        cores = [c for c in cores if _LETTERS.fullmatch(c)]
         for lo in range(0, len(cores), 2048):
             lot = cores[lo:lo + 2048]
-            code = self.owner.tokenizer.encode(first + joint.join(lot), add_special_tokens=False)
-            word = np.array(code.word_ids, np.int64)
-            raw = np.array(code.ids, "<u4").tobytes()
-            cut = (np.searchsorted(word, np.arange(len(lot)) * every, "left") * 4).tolist()
-            end = (np.searchsorted(word, np.arange(len(lot)) * every, "right") * 4).tolist()
-            self.update(zip(lot, (raw[a:b] for a, b in zip(cut, end))))
+            self.update(zip(lot, self.owner.words_ids(lot, self.prefix)))
+        marks = self.owner.marks
+        for p, core in zip(new, stripped):
+            if len(core) < len(p) and core and core[-1] in _LETTER and (ids := self.get(core)) is not None:
+                self[p] = ids + marks[p[len(core):]]
 
 
 def _pieces_of(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -85,10 +82,11 @@ def _pieces_of(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     parts = pc.split_pattern(column, " ")
     coded = parts.flatten().dictionary_encode()
     bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-    return bounds, coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    # one call makes all strings; to_pylist makes a scalar of each first
+    return bounds, coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
 
 
-def _joined(bounds: np.ndarray, ids: list[bytes], places: np.ndarray) -> list[bytes]:
+def _joined(bounds: np.ndarray, ids: list[bytes | None], places: np.ndarray) -> list[bytes]:
     """The ids of each text, laid end to end by one take."""
     laid = pa.array(ids, pa.large_binary()).take(pa.array(places))
     _, offsets, data = laid.buffers()
@@ -104,6 +102,14 @@ class _Encoder:
     def raw(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def words_ids(self, words: list[str], prefix: str) -> list[bytes]:
+        """The ids of letters-only words; joined by ``joint`` each is one pre-token, so the library's word numbers tell them apart."""
+        first, joint, every = self.joints[prefix]
+        code = self.tokenizer.encode(first + joint.join(words), add_special_tokens=False)
+        word, raw, at = np.array(code.word_ids, np.int64), np.array(code.ids, "<u4").tobytes(), np.arange(len(words)) * every
+        cut, end = ((np.searchsorted(word, at, side) * 4).tolist() for side in ("left", "right"))
+        return [raw[a:b] for a, b in zip(cut, end)]
+
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
@@ -120,11 +126,26 @@ class ByteLevelEncoder(_Encoder):
     def __init__(self, tokenizer):
         super().__init__(tokenizer)
         self.head, self.tail = _Pieces(self, ""), _Pieces(self, " ")
-        self.line_feed = self.raw("\n")
-
-    def piece(self, piece: str, pieces: _Pieces) -> bytes:
+        self.marks, self.line_feed = self.head, self.raw("\n")
+        blank = tokenizer.id_to_token(int(np.frombuffer(self.raw(" "), "<u4")[0]))
+        self.leads = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        self.leads[[i for t, i in tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+
+    def words_ids(self, words: list[str], prefix: str) -> list[bytes]:
+        if not prefix:
+            return super().words_ids(words, prefix)
+        # a blank starts every pre-token and stands nowhere else, so the ids whose token starts with one tell the words apart
+        code = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(code.ids, "<u4")
+        cut = np.flatnonzero(self.leads[ids])
+        if len(cut) != len(words):
+            return super().words_ids(words, prefix)
+        cut, raw = [*(cut * 4).tolist(), 4 * len(ids)], ids.tobytes()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+    def piece(self, piece: str, pieces: _Pieces) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
+            return None
         core = piece.rstrip(TRAIL)
         if core != piece and core and _LETTERS.fullmatch(core[-1]):
             return pieces[core] + self.head[piece[len(core):]]
@@ -134,15 +155,18 @@ class ByteLevelEncoder(_Encoder):
         # every line start is a piece with its line feed in front, the text's own start too
         marked = pc.binary_join_element_wise("\n", pc.replace_substring(column, "\n", " \n"), "")
         parts, words, places = _pieces_of(marked)
-        self.head.prime({w[1:] for w in words if w[:1] == "\n"})
-        self.tail.prime({w for w in words if w[:1] != "\n"})
-        ids, unsafe = [], np.zeros(len(words), bool)
-        for k, w in enumerate(words):
-            try:
-                ids.append(self.line_feed + self.head[w[1:]] if w[:1] == "\n" else self.tail[w])
-            except _Unsafe:
-                ids.append(b"")
-                unsafe[k] = True
+        starts = [k for k, w in enumerate(words) if w[:1] == "\n"]
+        heads = [words[k][1:] for k in starts]
+        for k in starts:
+            words[k] = ""
+        self.head.prime(heads)
+        self.tail.prime(words)
+        ids = list(map(self.tail.__getitem__, words))
+        for k, head in zip(starts, heads):
+            found = self.head[head]
+            ids[k] = None if found is None else self.line_feed + found
+        unsafe = np.zeros(len(words), bool)
+        unsafe[[k for k, x in enumerate(ids) if x is None]] = True
         skip = len(self.line_feed)
         out = [text[skip:] for text in _joined(parts, ids, places)]
         if unsafe.any():
@@ -152,10 +176,8 @@ class ByteLevelEncoder(_Encoder):
         return out
 
     def _unit(self, unit: str) -> bytes:
-        try:
-            return self.tail[unit[1:]] if unit[:1] == " " else self.head[unit]
-        except _Unsafe:
-            return self.raw(unit)
+        ids = self.tail[unit[1:]] if unit[:1] == " " else self.head[unit]
+        return self.raw(unit) if ids is None else ids
 
 
 class WordEncoder(_Encoder):
@@ -165,7 +187,7 @@ class WordEncoder(_Encoder):
 
     def __init__(self, tokenizer):
         super().__init__(tokenizer)
-        self.words = _Pieces(self, "")
+        self.words = self.marks = _Pieces(self, "")
 
     def piece(self, piece: str, pieces: _Pieces) -> bytes:
         core = piece.rstrip(TRAIL)
@@ -175,8 +197,8 @@ class WordEncoder(_Encoder):
 
     def encode_column(self, column: pa.Array) -> list[bytes]:
         parts, words, places = _pieces_of(pc.replace_substring(column, "\n", " "))
-        self.words.prime(set(words))
-        return _joined(parts, [self.words[w] for w in words], places)
+        self.words.prime(words)
+        return _joined(parts, list(map(self.words.__getitem__, words)), places)
 
 
 class WholeEncoder(_Encoder):
